@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.lineage import cut
+from ..operators import zonal
+from . import q_learn, q_masks, q_patches, q_rules, q_space
+from .base import ORACLES, QUERIES, Query
+
+MODULES = (q_masks, q_patches, q_space, q_rules, q_learn)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One row: hysteresis patches, their sizes and the division of the landscape."""
+    patches = cut(q_patches.patches(spark, sf_dir))
+    return zonal.size_summary(patches).crossJoin(F.broadcast(zonal.landscape_division(patches)))  # one row each
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
