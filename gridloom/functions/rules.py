@@ -119,7 +119,7 @@ def safe_labels(df: DataFrame, name: str, order: str) -> DataFrame:
 
 def parse_list(c: Column) -> Column:
     """A comma-separated list: trimmed, without empty items, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def newest(df: DataFrame, path: str, mtime: str) -> DataFrame:

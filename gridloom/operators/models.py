@@ -65,7 +65,7 @@ def maxent_features(df: DataFrame, bands: list[str], knots: int = 4) -> tuple[Da
     return df.withColumns(cols), list(cols)
 
 
-def maxent(df: DataFrame, bands: list[str], reg: float = 0.01, weight: float = 100.0) -> DataFrame:
+def maxent(df: DataFrame, bands: list[str], reg: float = 1e-5, weight: float = 100.0) -> DataFrame:
     """`suitability` of all rows by infinitely weighted logistic regression of presence (y = 1) against background (Fithian and Hastie, 2013) (M6)."""
     f, names = maxent_features(df, bands)
     v = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="skip").transform(f).withColumn("w", F.when(F.col("y") == 1, 1.0).otherwise(weight))

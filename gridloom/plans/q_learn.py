@@ -28,7 +28,7 @@ def blocked(spark: S, d: str) -> DataFrame:
     return K.spatial_blocks(V.pts(spark, d).withColumn("label", F.col("id") % 4))
 
 
-@query(sql("SELECT id, bx, by, block FROM bl", "pts", **BLOCK))
+@query(sql("SELECT id, bx, \"by\", block FROM bl", "pts", **BLOCK))
 def spatial_blocks(spark: S, d: str) -> DataFrame:
     return blocked(spark, d).select("id", "bx", "by", "block")
 
@@ -212,7 +212,7 @@ def fpr_checkpoints(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT threshold, round(fpr,6) AS fpr FROM c WHERE round(threshold,2) BETWEEN 0.15 AND 0.30", "oof", c=FPR))
 def sweep_slice(spark: S, d: str) -> DataFrame:
-    return _rounded(fpr_curve(spark, d).where(F.round("threshold", 2).between(0.15, 0.30)))
+    return _rounded(fpr_curve(spark, d).where(F.round("threshold", 2).between(0.15, 0.30)).select("threshold", "fpr"))
 
 
 @query(
