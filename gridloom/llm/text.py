@@ -30,7 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = np.cumprod(np.concatenate(([1], np.full(63, 0x9E3779B97F4A7C15, np.uint64))).astype(np.uint64), dtype=np.uint64)
+def _powers(n: int) -> np.ndarray:
+    """P^0 .. P^(n - 1) mod 2^64."""
+    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS = _powers(64)
 
 
 def hash_strings(words: pa.Array | list[str]) -> np.ndarray:
@@ -47,7 +54,7 @@ def hash_strings(words: pa.Array | list[str]) -> np.ndarray:
         at = np.arange(len(data)) - np.repeat(ends[:-1] - first, sizes)
         powers = _POWERS
         if (longest := int(sizes.max())) > len(powers):
-            powers = np.cumprod(np.concatenate(([1], np.full(longest, 0x9E3779B97F4A7C15, np.uint64))).astype(np.uint64), dtype=np.uint64)
+            powers = _powers(longest)
         out[some] += np.add.reduceat(data * powers[at], ends[:-1][some] - first)
     return mix(out)
 
