@@ -150,12 +150,12 @@ def _noisy(word: str, rng: np.random.Generator, letters: str) -> list[str]:
     return [word[:a] + x + word[a:], word[:a] + x + word[a:b] + y + word[b:]]
 
 
-def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, seed: int = 17, negatives: int = 12_000, rounds: int = 3, witness: float = 0.012) -> Svm:
+def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, seed: int = 17, negatives: int = 12_000, rounds: int = 3, chance: float = 0.2) -> Svm:
     """A multiple-instance SVM from (units of a text, label).
 
     Texts that share their two least unit hashes count as copies of one, so copies lend no weight. A positive text's witnesses are at
-    first its units that occur in a share of `witness` of the positive texts (3 at least) and in no negative one; later, those of 2 texts that the SVM scores
-    above the margin too. All units of negative texts are negative (`negatives` of them, the most frequent half and a seeded draw, plus
+    first its units that occur in no negative text and in n positive ones, n so great that, were labels drawn by chance, `chance` of
+    all units would be expected to do so; later, those of 2 texts that the SVM scores above the margin too. All units of negative texts are negative (`negatives` of them, the most frequent half and a seeded draw, plus
     all that come out above the margin). Landmarks are spread over the positive words by farthest-first traversal, a quarter over negative ones.
     The threshold lies above all units of the negative texts.
     """
@@ -167,8 +167,10 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, seed: int
         (pos if label else neg).update(own if copy not in seen else () if label else own)
         texts += label and copy not in seen
         seen.add(copy)
+    share = texts / max(1, len(seen))  # of positive texts
+    least = max(3, int(np.ceil(np.log(max(1, len(pos)) / chance) / -np.log(share)))) if 0 < share < 1 else 3
     clean = sorted((w for w in neg if len(w) >= LENGTH), key=lambda w: (-neg[w], w))
-    bad = sorted((w for w, n in pos.items() if n >= max(3, witness * texts) and w not in neg and LENGTH <= len(w) <= LONGEST), key=lambda w: (-pos[w], w))
+    bad = sorted((w for w, n in pos.items() if n >= least and w not in neg and LENGTH <= len(w) <= LONGEST), key=lambda w: (-pos[w], w))
     if not bad:
         model = Svm(clean[:2] or ["abc"])
         model.b = np.float32(-1)
