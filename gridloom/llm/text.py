@@ -59,14 +59,10 @@ def hash_strings(words: pa.Array | list[str]) -> np.ndarray:
     return mix(out)
 
 
-def normalise(run: str) -> str:
-    """The word of one white-space separated run; empty if it holds no letter or digit."""
-    return pc.replace_substring_regex(pc.utf8_lower(pa.scalar(run)), DROP, "").as_py()
-
-
 def words_of(text: str | None) -> list[str]:
     """The plain definition of the words of a text, for tests and single strings."""
-    return [w for w in map(normalise, (text or "").split()) if w]
+    runs = pa.array((text or "").split(), pa.string())
+    return [w for w in pc.replace_substring_regex(pc.utf8_lower(runs), DROP, "").to_pylist() if w]
 
 
 class Chunk:
