@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, small
 from .text import Chunk, mix
 
 SHARD_DOCS, WINDOW_WORDS = 2048, 2048
@@ -87,9 +88,9 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
     as documents of their own. Other columns are ignored; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    shards = own.groupBy("lang").agg(F.ceil(F.count("*") / shard_docs).cast("int").alias("shards")).select(F.col("lang").alias("l"), "shards")
+    shards = cut(own.groupBy("lang").agg(F.ceil(F.count("*") / shard_docs).cast("int").alias("shards")).select(F.col("lang").alias("l"), "shards"))
     # languages are few; should the column hold many values, the join shuffles
-    placed = own.join(shards, own.lang == shards.l).withColumn("shard", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit(seed))), F.col("shards")).cast("int"))
+    placed = own.join(small(shards), own.lang == shards.l).withColumn("shard", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit(seed))), F.col("shards")).cast("int"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
@@ -109,7 +110,8 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
         order = np.argsort(mix(names[rank].view(np.uint64) + np.uint64(seed)), kind="stable")
         rows = []
         for w, items in enumerate(pack(counts, index, order, window)):
-            rows += [(f"{key[0].as_py()}-{key[1].as_py()}-{w}", p, ids[rank[d]], a, b, round(s, 6)) for p, (d, a, b, s) in enumerate(items)]
+            rows += [(f"{key[0].as_py()}-{w}", p, ids[rank[d]], a, b, round(s, 6)) for p, (d, a, b, s) in enumerate(items)]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["window", "position", "doc_id", "start_word", "end_word", "score"])
 
-    return placed.select("lang", "shard", "doc_id", "text").groupBy("lang", "shard").applyInArrow(run, _SCHEMA)
+    # one key: rows that a join put together by language alone are dealt anew by shard
+    return placed.select(F.concat_ws("-", "lang", "shard").alias("shard"), "doc_id", "text").groupBy("shard").applyInArrow(run, _SCHEMA)
