@@ -1,10 +1,13 @@
 """N-gram Jaccard join by MinHash banding.
 
 1. Every document's set of word n-grams is hashed; documents of equal sets form a class, so exact copies cost nothing further.
-2. Each class has a MinHash signature of bands * rows values; the numbers of bands and rows are the fewest values that give the
-   target recall at the threshold. Classes are shuffled on band hashes; those that share one are linked.
-3. Linked classes form components. Of these, the full n-gram sets are brought together and all pairs verified exactly. A large
-   component is cut into tiles that different tasks verify, so no partner is capped and no task holds a component.
+2. Each class has a MinHash signature of bands * rows values; bands and rows are chosen to give the target recall at the
+   threshold. Classes are shuffled on band hashes. Those of one band hash are linked in a line, by the sizes of their sets, and to the
+   first of them: links grow with the classes, not with their pairs.
+3. Links whose signatures agree too little (the threshold less 2.7 standard errors) fall away. What is still linked forms components:
+   near copies do, documents that share no more than a passage don't.
+4. The full n-gram sets of a component are brought together and all its pairs verified exactly. A large component is cut into tiles
+   that different tasks verify, so no partner is capped and no task holds a component.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, small
 from .text import Chunk, mix, ngrams, pieces
 
-N, THRESHOLD, RECALL = 5, 0.7, 0.98
+N, THRESHOLD, RECALL = 3, 0.5, 0.98
 #: Classes of a component that one tile side holds.
 TILE = 256
 
@@ -36,13 +39,13 @@ def choose_bands(threshold: float, recall: float, most: int = 256) -> tuple[int,
     return best
 
 
-def signatures(grams: np.ndarray, ends: np.ndarray, bands: int, rows: int, seed: int = 17) -> np.ndarray:
-    """Band hashes (documents, bands) of documents with at least one n-gram."""
+def signatures(grams: np.ndarray, ends: np.ndarray, bands: int, rows: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (documents, bands), and a byte of each signature value, of documents with at least one n-gram."""
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32)
     low, high = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros((len(ends) - 1, bands), np.uint64)
+    out, short = np.zeros((len(ends) - 1, bands), np.uint64), np.zeros((len(ends) - 1, bands * rows), np.uint8)
     work = np.empty_like(low)
     for b in range(bands):
         for r in range(rows):
@@ -52,7 +55,8 @@ def signatures(grams: np.ndarray, ends: np.ndarray, bands: int, rows: int, seed:
             work *= np.uint32(0x9E3779B1)
             least = np.minimum.reduceat(work, ends[:-1])
             out[:, b] = mix(out[:, b] + least + np.uint64(0x632BE59BD9B4E019))
-    return out
+            short[:, k] = mix(least.astype(np.uint64)) & np.uint64(0xFF)
+    return out, short
 
 
 def _sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,13 +115,13 @@ def _classes(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 has = np.flatnonzero(np.diff(ends))
                 if not len(has):
                     continue
-                keys = signatures(grams, np.append(ends[has], ends[-1]), bands, rows)
+                keys, short = signatures(grams, np.append(ends[has], ends[-1]), bands, rows)
                 names = [xxhash.xxh3_128_digest(grams[ends[i] : ends[i + 1]].tobytes()) for i in has]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(has)), pa.array(names, pa.binary()), flat], ["doc_id", "name", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(has)), pa.array(names, pa.binary()), flat, pa.array([x.tobytes() for x in short], pa.binary()), pa.array(np.diff(ends)[has].astype(np.int64))], ["doc_id", "name", "bands", "short", "size"])
 
-    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(sketch, "doc_id long, name binary, bands array<long>")
-    return cut(sketched.groupBy("name").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.first("bands").alias("bands")))
+    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(sketch, "doc_id long, name binary, bands array<long>, short binary, size long")
+    return cut(sketched.groupBy("name").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.first("bands").alias("bands"), F.first("short").alias("short"), F.first("size").alias("size")))
 
 
 def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -125,16 +129,28 @@ def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     bands, rows = choose_bands(threshold, recall)
     classes = _classes(docs, n, bands, rows)
     # a doc_id that comes with different texts is in several classes: a class is named by (rep, name)
-    keyed = classes.select(F.xxhash64("name").alias("node"), "name", "rep", "bands")
-    edges = (
-        keyed.select("node", F.posexplode("bands").alias("band", "hash"))
+    keyed = classes.select(F.xxhash64("name").alias("node"), "name", "rep", "bands", "short", "size")
+    links = (
+        keyed.select(F.struct("size", "node").alias("k"), F.posexplode("bands").alias("band", "hash"))
         .groupBy("band", "hash")
-        .agg(F.min("node").alias("a"), F.collect_set("node").alias("nodes"))
-        .where(F.size("nodes") > 1)
-        .select("a", F.explode("nodes").alias("b"))
+        .agg(F.sort_array(F.collect_list("k")).alias("ks"))
+        .where(F.size("ks") > 1)
+        .select("ks", F.explode(F.sequence(F.lit(1), F.size("ks") - 1)).alias("i"))
+        .select(F.explode(F.array(*[F.struct(F.col("ks")[at]["node"].alias("a"), F.col("ks")[F.col("i")]["node"].alias("b")) for at in (F.lit(0), F.col("i") - 1)])).alias("l"))
+        .select("l.a", "l.b")
         .where("a != b")
         .distinct()
     )
+    least = threshold - 2.7 * float(np.sqrt(threshold * (1 - threshold) / (bands * rows)))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least)) if batch.num_rows else batch.select(["a", "b"])
+
+    short = keyed.select("node", "short")
+    both = links.join(short.select(F.col("node").alias("a"), F.col("short").alias("sa")), "a").join(short.select(F.col("node").alias("b"), F.col("short").alias("sb")), "b")
+    edges = both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
     comps = cut(components(edges).join(keyed.select("node", "rep", "name"), "node"))
     sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
     # members of a component are dealt to its tiles; every pair of tiles is a task's work

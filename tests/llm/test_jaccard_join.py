@@ -9,7 +9,7 @@ from gridloom.llm.jaccard_join import choose_bands, drop_near_duplicates, jaccar
 from gridloom.llm.text import words_of
 
 
-def grams(text, n=5):
+def grams(text, n=3):
     w = words_of(text)
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
@@ -23,7 +23,7 @@ def pairs_of(df):
     return out
 
 
-def brute(rows, threshold=0.7):
+def brute(rows, threshold=0.5):
     sets = [(i, grams(t)) for i, t in rows]
     out = {}
     for (a, x), (b, y) in itertools.combinations(sets, 2):
@@ -99,6 +99,6 @@ def test_awkward(awkward, nothing):
 
 
 def test_short_texts_and_same_number_with_other_text(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, "A b!"), (3, "a c"), (3, "q r s"), (4, "q r s")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a b"), (2, "A b!"), (3, "a c"), (3, "q r s t"), (4, "q r s t")], "doc_id long, text string")
     assert pairs_of(jaccard_join(df)) == {(1, 2): 1.0, (3, 4): 1.0}
     assert np.isclose(max(pairs_of(jaccard_join(df)).values()), 1)

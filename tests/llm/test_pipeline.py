@@ -74,7 +74,7 @@ def test_near_duplicates(stages):
     for r in before:
         w = words_of(r.text)
         if w:
-            sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+            sets[r.doc_id] = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
     up = {}
 
     def root(x):
@@ -84,7 +84,7 @@ def test_near_duplicates(stages):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if min(len(x), len(y)) >= 0.7 * max(len(x), len(y)) and len(x & y) >= 0.7 * len(x | y):
+        if 2 * min(len(x), len(y)) >= max(len(x), len(y)) and 2 * len(x & y) >= len(x | y):
             up[max(root(a), root(b))] = min(root(a), root(b))
     want = {r.doc_id for r in before if root(r.doc_id) == r.doc_id}
     got = {r.doc_id for r in after}
