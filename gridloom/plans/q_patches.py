@@ -71,14 +71,14 @@ def balanced_output(spark: S, d: str) -> DataFrame:
     sql(
         "SELECT core.lin, min(core.lin) OVER (PARTITION BY m) AS patch_id FROM core JOIN (SELECT a AS g, min(b) AS m FROM reach GROUP BY a) r ON r.g=core.row*1000+core.col",
         "px",
-        core="SELECT row, col, lin FROM px WHERE prob>=0.95::DOUBLE",
+        core="SELECT row, col, lin FROM px WHERE raw>=180",
         low="SELECT DISTINCT row+dr AS row, col+dc AS col, (row+dr)*1000+col+dc AS g FROM core, (VALUES (-1),(0),(1)) a(dr), (VALUES (-1),(0),(1)) b(dc)",
         e="SELECT a.g AS a, b.g AS b FROM low a, (VALUES (-1),(0),(1)) x(dr), (VALUES (-1),(0),(1)) y(dc), low b WHERE b.row=a.row+dr AND b.col=a.col+dc",
         reach="SELECT g AS a, g AS b FROM low UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b=e.a",
     )
 )
 def bridge_components(spark: S, d: str) -> DataFrame:
-    return C.bridge(low_mask(spark, d, 0.95), 1, V.WIDTH).select("lin", "patch_id")
+    return C.bridge(V.px(spark, d).where("raw >= 180"), 1, V.WIDTH).select("lin", "patch_id")
 
 
 @query(sql("SELECT DISTINCT row+dr AS row, col+dc AS col FROM px, (VALUES (-2),(-1),(0),(1),(2)) a(dr), (VALUES (-2),(-1),(0),(1),(2)) b(dc) WHERE prob>=0.97::DOUBLE AND abs(dr)+abs(dc)<=2 AND row+dr BETWEEN 0 AND (SELECT max(row) FROM px) AND col+dc BETWEEN 0 AND 99", "px"))

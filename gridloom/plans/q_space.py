@@ -264,7 +264,7 @@ def mask_cascade_counts(spark: S, d: str) -> DataFrame:
 
 
 GRID = GridSpec(0.0, 1000.0, 1.0, 1000, 1000)
-CELLS = "SELECT r.row::INTEGER AS row, c.col::INTEGER AS col, max(id)::BIGINT AS id FROM b, (SELECT unnest(range(0,1000)) AS row) r, (SELECT unnest(range(0,1000)) AS col) c WHERE {} GROUP BY 1,2"
+CELLS = "SELECT r.row::INTEGER AS row, c.col::INTEGER AS col, max(id)::BIGINT AS id FROM b, LATERAL (SELECT unnest(range(greatest(0, floor(998-y1))::BIGINT, least(1000, ceil(1002-y0))::BIGINT)) AS row) r, LATERAL (SELECT unnest(range(greatest(0, floor(x0-2))::BIGINT, least(1000, ceil(x1+2))::BIGINT)) AS col) c WHERE {} GROUP BY 1,2"
 
 
 @query(sql(CELLS.format("c.col+0.5>=x0 AND c.col+0.5<x1 AND 1000-(r.row+0.5)>=y0 AND 1000-(r.row+0.5)<y1"), b=RECT))
