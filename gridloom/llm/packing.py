@@ -1,25 +1,35 @@
-"""Lexical retrieval packing: windows of documents that a sharded BM25 inverted index holds for neighbours.
+"""Lexical retrieval packing: windows of documents that a sharded BM25 inverted index of the whole table holds for neighbours.
 
-Documents of one language are dealt to shards of about `shard_docs` by a hash of their doc_id; the number of shards follows the exact number of
-documents. A shard builds the BM25 inverted index of its documents and packs them: seeds come in a seeded random order; a
-seed's query is the whole seed; its unused neighbours, best first (ties: the earlier in shard order), are put into the
-window while they fit. Search is exact inside the shard. Every document's every word lands in exactly one window.
+Documents get places in a seeded random order, the order of the seeds, and lie in shards of `shard_docs` places, each with an inverted
+index of its own. Document frequencies, their number and the mean length are those of the whole table. A seed's query is the whole seed; every
+seed asks every shard; its unused neighbours, best first (ties: the earlier place), are put into the window while they fit.
+Every document's every word lands in exactly one window.
 
-A shard is one group in one task, bounded by `shard_docs` and not by the corpus, and work grows in proportion to the input.
+The windows are those of a plain loop over the seeds. They are made in rounds: some of the next seeds are searched at once, and the driver then
+goes through them in order. A shard returns only documents that the loop can reach: a document of c words can't fit any more if the better ones of at
+most c words hold more than the room less c, as all of these would have been taken. Lists allow `SLACK` windows beyond the room, so they stay
+complete while no more words of them are taken by earlier seeds of the round; at a seed that lost more, the round ends and the next begins.
+
+Every seed is scored against every unused document, so work grows with seeds x documents. The driver holds a byte for each document.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
-from .text import Chunk, mix
+from .common import shared_folder
+from .text import Chunk, mix, pieces
 
 SHARD_DOCS, WINDOW_WORDS = 2048, 2048
-_SCHEMA = "window string, position int, doc_id long, start_word int, end_word int, score double"
+#: Seeds of a round at most; windows of words by which a seed's list exceeds its room; share of a shard's documents from which a term is multiplied densely.
+SEEDS, SLACK, DENSE = 512, 1, 0.04
+K1, B = 1.2, 0.75
 
 
 class Bm25:
@@ -80,38 +90,260 @@ def pack(counts: np.ndarray, index: Bm25 | None, order: np.ndarray, window: int)
     return out
 
 
+def pickable(order: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
+    """Of documents `order`, best first, those that a loop with `limit` words of room can reach, and some more.
+
+    One goes if its words and those of the better ones up to a level, itself no more than its words, exceed the limit.
+    """
+    if not len(order):
+        return order
+    levels = np.unique(np.quantile(counts[order], np.concatenate((0.5 ** np.arange(12, 4, -1), np.linspace(0, 1, 17))), method="lower"))
+    level = np.searchsorted(levels, counts, "right") - 1
+    kept, full, rest = [], np.zeros(len(levels), np.int64), order
+    while len(rest):
+        block = rest[:128]
+        words = np.where(counts[block][:, None] <= levels, counts[block][:, None], 0)
+        sums = np.cumsum(words, 0)
+        at = np.arange(len(block)), level[block]
+        kept.append(block[full[level[block]] + sums[at] <= limit])
+        full += sums[-1]
+        rest = rest[128:]
+        rest = rest[full[level[rest]] + counts[rest] <= limit]
+    return np.concatenate(kept)
+
+
+def _numbers(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document: words, a hash of the words in order, and its distinct terms with their counts."""
+    for batch in batches:
+        for part in pieces(batch):
+            c = Chunk(part.column("text"))
+            content, terms, tfs = np.zeros(part.num_rows, np.uint64), [], []
+            if len(has := np.flatnonzero(c.counts)):
+                content[has] = np.add.reduceat(mix(c.hashes + np.arange(len(c.codes), dtype=np.uint64) - np.repeat(c.offsets[:-1], c.counts).astype(np.uint64)), c.offsets[:-1][has])
+            hashes = c.hashes
+            for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True):
+                t, n = np.unique(hashes[a:b], return_counts=True)
+                terms.append(t.tobytes())
+                tfs.append(n.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c.counts.astype(np.int64)), pa.array(content.view(np.int64)), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())], ["doc_id", "n", "content", "terms", "tfs"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for s in _shards(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(s["vocabulary"].view(np.int64)), pa.array(np.diff(s["ends"]))], ["term", "df"])
+
+
+_KINDS = {"ids": np.int64, "null": np.uint8, "counts": np.int64, "vocabulary": np.uint64, "ends": np.int64, "docs": np.int32, "tfs": np.int32}
+_SHARD = "part int, number int, size long, words long, " + ", ".join(f"{k} binary" for k in _KINDS)
+
+
+def _index(shard_docs: int):
+    """Inverted indexes of runs of `shard_docs` rows of a sorted partition: postings of vocabulary[t] are docs and tfs from ends[t] to ends[t + 1]."""
+
+    def one(part: int, number: int, table: pa.Table) -> pa.RecordBatch:
+        terms, tfs = _numbers(table.column("terms"), np.uint64), _numbers(table.column("tfs"), np.int32)
+        doc, term = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms]), np.concatenate(terms)
+        order = np.argsort(term, kind="stable")
+        vocabulary, size = np.unique(term, return_counts=True)
+        counts = table.column("n").to_numpy()
+        ids, null = table.column("doc_id").fill_null(0).to_numpy(), table.column("doc_id").is_null().to_numpy()
+        blobs = [x.tobytes() for x in (ids, null.astype(np.uint8), counts, vocabulary, np.concatenate(([0], np.cumsum(size))), doc[order], np.concatenate(tfs)[order])]
+        numbers = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(terms)], pa.int64()), pa.array([int(counts.sum())], pa.int64())]
+        return pa.RecordBatch.from_arrays([*numbers, *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "number", "size", "words", *_KINDS])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, rows, number, part = [], 0, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            while rows >= shard_docs:
+                table = pa.Table.from_batches(held)
+                yield one(part, number, table.slice(0, shard_docs))
+                held, rows, number = table.slice(shard_docs).to_batches(), rows - shard_docs, number + 1
+        if rows:
+            yield one(part, number, pa.Table.from_batches(held))
+
+    return build
+
+
+def _shards(batches: Iterator[pa.RecordBatch], firsts: dict[tuple[int, int], int] | None = None) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s = {k: np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in _KINDS.items()}
+            if firsts is not None:
+                s["places"] = firsts[batch.column("part")[i].as_py(), batch.column("number")[i].as_py()] + np.arange(len(s["counts"]))
+            yield s
+
+
+def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, room: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, mean: float, slack: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(seed's position, places, counts, scores) of a shard: seed i asks with terms[ends[i]:ends[i + 1]] and their weights."""
+    alive = ~used[shard["places"]] & (shard["counts"] <= room.max())
+    n, at = int(alive.sum()), np.cumsum(alive) - 1
+    if not n:
+        return
+    places, counts = shard["places"][alive], shard["counts"][alive]
+    keep = alive[shard["docs"]]
+    docs, tf = at[shard["docs"][keep]], shard["tfs"][keep]
+    posts = np.concatenate(([0], np.cumsum(keep)))[shard["ends"]]
+    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * counts[docs] / mean))
+    where = np.searchsorted(shard["vocabulary"], terms)
+    where[where == len(shard["vocabulary"])] = 0
+    hit = shard["vocabulary"][where] == terms
+    size = np.where(hit, posts[where + 1] - posts[where], 0)
+    many = np.unique(where[size > max(8, DENSE * n)])
+    column = np.full(len(shard["vocabulary"]), -1)
+    column[many] = np.arange(len(many))
+    table = np.zeros((len(many), n))
+    for k, t in enumerate(many):
+        table[k, docs[posts[t] : posts[t + 1]]] = value[posts[t] : posts[t + 1]]
+    asker = np.repeat(np.arange(len(seeds)), np.diff(ends))
+    few = (size > 0) & (column[where] < 0)
+    dense = (size > 0) & ~few
+    for low in range(0, len(seeds), 256):
+        high = min(low + 256, len(seeds))
+        a, b = ends[low], ends[high]
+        query = np.zeros((high - low, len(many)))
+        d = dense[a:b]
+        query[asker[a:b][d] - low, column[where[a:b][d]]] = weights[a:b][d]
+        scores = query @ table
+        f = few[a:b]
+        s, first = size[a:b][f], posts[where[a:b][f]]
+        if total := int(s.sum()):
+            post = np.arange(total) + np.repeat(first - np.cumsum(s) + s, s)
+            scores += np.bincount(np.repeat((asker[a:b][f] - low) * n, s) + docs[post], value[post] * np.repeat(weights[a:b][f], s), scores.size).reshape(scores.shape)
+        scores = np.round(scores, 6)
+        for i in range(low, high):
+            own = scores[i - low]
+            free = np.flatnonzero((own > 0) & (places > seeds[i]) & (counts <= room[i]))
+            if len(free):
+                got = pickable(free[np.argsort(-own[free], kind="stable")], counts, int(room[i]) + slack)
+                yield np.full(len(got), i), places[got], counts[got], own[got]
+
+
+def _merge(lists: pa.Table, room: np.ndarray, slack: int) -> pa.Table:
+    """Lists of shards made one for each seed; of that, what is pickable."""
+    lists = lists.sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
+    seeds, n = lists.column("seed").to_numpy(), lists.column("n").to_numpy()
+    ends = np.flatnonzero(np.diff(seeds, append=-1)) + 1
+    return lists.take(pa.array(np.concatenate([a + pickable(np.arange(b - a), n[a:b], int(room[seeds[a]]) + slack) for a, b in zip([0, *ends[:-1]], ends, strict=True)])))
+
+
 def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int = SHARD_DOCS, seed: int = 17) -> DataFrame:
     """(window, position, doc_id, start_word, end_word, score): the pieces of every window, in order.
 
-    A document longer than a window first fills whole windows; what remains is a seed. Texts without a word (null, empty, blank) have no piece. Null
-    languages are a language of their own. Rows of null doc_id are packed like others, by a hash of their text, and carry null. Repeated rows are packed
-    as documents of their own. Other columns are ignored; an empty table gives an empty result.
+    A document longer than a window first fills whole windows; what remains is a seed. Texts without a word (null, empty, blank) have no piece, but count
+    as documents. Rows of null doc_id are packed like others, placed by a hash of their words, and carry null. Repeated rows are packed
+    as documents of their own. Other columns are ignored; an empty table gives an empty result. `shard_docs` changes no result.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    shards = cut(own.groupBy("lang").agg(F.ceil(F.count("*") / shard_docs).cast("int").alias("shards")).select(F.col("lang").alias("l"), "shards"))
-    # languages are few; should the column hold many values, the join shuffles
-    placed = own.join(small(shards), own.lang == shards.l).withColumn("shard", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit(seed))), F.col("shards")).cast("int"))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_pylist()
-        first = Chunk(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
-        names = np.array([-1 if i is None else i for i in ids], np.int64)
-        # shard order: by doc_id, then length, then words, whatever order the rows came in
-        content = np.zeros(len(ids), np.uint64)
-        if len(has := np.flatnonzero(first.counts)):
-            content[has] = np.add.reduceat(mix(first.hashes + np.arange(len(first.codes), dtype=np.uint64) - np.repeat(first.offsets[:-1], first.counts).astype(np.uint64)), first.offsets[:-1][has])
-        rank = np.lexsort((content, first.counts, names))
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank))
-        counts = first.counts[rank]
-        doc = place[first.doc]
-        codes = first.codes[np.argsort(doc, kind="stable")]
-        index = Bm25(codes, np.concatenate(([0], np.cumsum(counts))), len(first.words)) if len(codes) else None
-        order = np.argsort(mix(names[rank].view(np.uint64) + np.uint64(seed)), kind="stable")
+    spark = docs.sparkSession
+    base = f"{shared_folder(spark)}/packing-{uuid.uuid4().hex}"
+    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n long, content long, terms binary, tfs binary")
+    turn = F.when(F.col("doc_id").isNull(), F.xxhash64("content", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    ordered = sketched.where("n > 0").withColumn("turn", turn).orderBy("turn", "doc_id", "n", "content").select("doc_id", "n", "terms", "tfs")
+    ordered.mapInArrow(_index(shard_docs), _SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
+    shards = spark.read.schema(_SHARD).parquet(f"{base}/shards")
+    shards.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{base}/df")
+    frequencies = spark.read.schema("term long, df long").parquet(f"{base}/df")
+    # places run on from shard to shard and from partition to partition
+    sizes = sorted(map(tuple, shards.select("part", "number", "size", "words").collect()))
+    starts = np.concatenate(([0], np.cumsum([x[2] for x in sizes]))).astype(np.int64)
+    firsts = {x[:2]: int(a) for x, a in zip(sizes, starts, strict=False)}
+    count, total = int(starts[-1]), docs.count()
+    mean = max(1.0, sum(x[3] for x in sizes) / max(1, total))
+    used, kind = np.zeros(count, bool), "window string, position int, place long, start_word int, end_word int, score double"
+    left = count
+    spark.createDataFrame([], kind).write.parquet(f"{base}/out")
+    while left:
+        whole = left <= SEEDS // 2  # lists of all documents then, and one round
+        batch = np.flatnonzero(~used)[: left if whole else min(SEEDS, max(64, left // 32))]
+        sent = spark.sparkContext.broadcast((used, batch))
+
+        def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            _, batch = sent.value
+            for s in _shards(batches, firsts):
+                if not len(mine := np.flatnonzero(np.isin(s["places"], batch))):
+                    continue
+                row = np.full(len(s["places"]), -1)
+                row[mine] = np.arange(len(mine))
+                keep = np.flatnonzero(row[s["docs"]] >= 0)
+                order = keep[np.argsort(row[s["docs"][keep]], kind="stable")]
+                term = np.repeat(s["vocabulary"], np.diff(s["ends"]))[order]
+                size = np.concatenate(([0], np.cumsum(np.bincount(row[s["docs"][keep]], minlength=len(mine)))))
+                cells = [pa.array([x[a:b].tobytes() for a, b in zip(size[:-1], size[1:], strict=True)], pa.binary()) for x in (term, s["tfs"][order])]
+                yield pa.RecordBatch.from_arrays([pa.array(s["places"][mine]), pa.array(s["counts"][mine]), *cells], ["place", "n", "terms", "tfs"])
+
+        low, high = (sizes[int(np.searchsorted(starts, int(x), "right")) - 1][0] for x in (batch[0], batch[-1]))
+        open_ = shards.where(F.col("part") >= low)
+        asked = open_.where(F.col("part") <= high).mapInArrow(ask, "place long, n long, terms binary, tfs binary").toArrow().sort_by("place")
+        n, terms, tfs = asked.column("n").to_numpy(), _numbers(asked.column("terms"), np.uint64), _numbers(asked.column("tfs"), np.int32)
+        ends, flat = np.concatenate(([0], np.cumsum([len(t) for t in terms]))), np.concatenate(terms)
+        wanted = spark.sparkContext.broadcast(np.unique(flat))
+
+        def known(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                term = b.column("term").to_numpy().view(np.uint64)
+                yield b.filter(pa.array(wanted.value[np.minimum(np.searchsorted(wanted.value, term), len(wanted.value) - 1)] == term))
+
+        found = frequencies.mapInArrow(known, "term long, df long").toArrow()
+        term, df = found.column("term").to_numpy().view(np.uint64), found.column("df").to_numpy()
+        order = np.argsort(term)
+        df = df[order][np.searchsorted(term[order], flat)]
+        room = np.where(n % window > 0, window - n % window, 0)
+        slack = int(1 << 60) if whole else SLACK * window
+        query = spark.sparkContext.broadcast((room, ends, flat, np.log1p((total - df + 0.5) / (df + 0.5)) * np.concatenate(tfs)))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, query=query, slack=slack) -> Iterator[pa.RecordBatch]:
+            (used, batch), names, held = sent.value, ["seed", "place", "n", "score"], []
+            for s in _shards(batches, firsts):
+                got = list(_search(s, used, batch, *query.value, mean, slack))
+                if got:
+                    held.append(pa.table([np.concatenate(c) for c in zip(*got, strict=True)], names=names))
+                    if sum(t.num_rows for t in held) > 1 << 20:
+                        held = [_merge(pa.concat_tables(held), query.value[0], slack)]
+            if held:
+                yield from _merge(pa.concat_tables(held), query.value[0], slack).to_batches()
+
+        def merge(key: tuple, table: pa.Table) -> pa.Table:
+            return _merge(table, query.value[0], slack)
+
+        shape = "seed long, place long, n long, score double"
+        lists = open_.mapInArrow(search, shape).groupBy("seed").applyInArrow(merge, shape).toArrow().sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
+        owner, place, words, score = (lists.column(c).to_numpy() for c in ("seed", "place", "n", "score"))
+        first = np.searchsorted(owner, np.arange(len(batch) + 1))
         rows = []
-        for w, items in enumerate(pack(counts, index, order, window)):
-            rows += [(f"{key[0].as_py()}-{w}", p, ids[rank[d]], a, b, round(s, 6)) for p, (d, a, b, s) in enumerate(items)]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["window", "position", "doc_id", "start_word", "end_word", "score"])
+        for i, s in enumerate(batch):
+            if used[s]:
+                continue
+            mine = slice(first[i], first[i + 1])
+            taken = used[place[mine]]
+            if words[mine][taken].sum() > slack:
+                break
+            used[s] = True
+            full = int(n[i]) // window
+            rows += [(f"{s}-{k}", 0, int(s), k * window, (k + 1) * window, 0.0) for k in range(full)]
+            if not room[i]:
+                continue
+            rows.append((f"{s}-{full}", 0, int(s), full * window, int(n[i]), 0.0))
+            space, position = int(room[i]), 1
+            for p, c, x in zip(place[mine][~taken].tolist(), words[mine][~taken].tolist(), score[mine][~taken].tolist(), strict=True):
+                if c <= space:
+                    rows.append((f"{s}-{full}", position, p, 0, c, x))
+                    used[p] = True
+                    space, position = space - c, position + 1
+        spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["window", "position", "place", "start_word", "end_word", "score"])).write.mode("append").parquet(f"{base}/out")
+        left = count - int(used.sum())
+        for x in (sent, wanted, query):
+            x.destroy()
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _shards(batches, firsts):
+            yield pa.RecordBatch.from_arrays([pa.array(s["places"]), pa.array(s["ids"], mask=s["null"] > 0)], ["place", "doc_id"])
 
-    # one key: rows that a join put together by language alone are dealt anew by shard
-    return placed.select(F.concat_ws("-", "lang", "shard").alias("shard"), "doc_id", "text").groupBy("shard").applyInArrow(run, _SCHEMA)
+    out = spark.read.schema(kind).parquet(f"{base}/out")
+    return out.join(shards.mapInArrow(named, "place long, doc_id long"), "place").select("window", "position", "doc_id", "start_word", "end_word", "score")

@@ -75,3 +75,25 @@ def test_awkward(awkward, nothing):
     assert Counter(r.doc_id for r in rows if r.doc_id != 5) == {1: 2, None: 1, 6: 1}
     assert sum(r.end_word - r.start_word for r in rows if r.doc_id == 5) == 30_000
     assert pack_documents(nothing).count() == 0
+
+
+def test_many_shards_against_brute_force_over_the_whole_table(spark, monkeypatch):
+    import gridloom.llm.packing as P
+
+    monkeypatch.setattr(P, "SEEDS", 40, raising=False)  # several rounds
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) % 300) for _ in range(700)]
+    df = spark.createDataFrame([(i, t, ["en", "de"][i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    order = [r.doc_id for r in df.selectExpr("doc_id", "xxhash64(doc_id, 17) h").orderBy("h").collect()]
+    c = Chunk(pa.array([texts[i] for i in order]))
+    plain = Bm25(c.codes, c.offsets, len(c.words))
+
+    class Rounded:
+        def scores(self, q):
+            return np.round(plain.scores(q), 6)
+
+    want = {tuple((order[d], a, b) for d, a, b, _ in w) for w in pack(c.counts, Rounded(), np.arange(700), 120)}
+    got = defaultdict(list)
+    for r in sorted(pack_documents(df, window=120, shard_docs=32).collect(), key=lambda r: r.position):
+        got[r.window].append((r.doc_id, r.start_word, r.end_word))
+    assert {tuple(w) for w in got.values()} == want
