@@ -3,10 +3,10 @@
 1. Documents are counted by source and exact length (words between white space).
 2. The total budget T is the greatest for which every source can supply its share: T = min over sources of tokens / weight,
    times `share`. A source's budget is floor(weight * T).
-3. Per source, a proportional part of every length is taken first: floor(count * budget / tokens). What remains of the budget
-   is fitted by bounded-knapsack dynamic programming over the lengths' remaining counts: the greatest sum that does not exceed it.
-   The program's table is as wide as the remainder. Where that is over `table`, documents of the greatest remaining counts
-   are first taken one at a time, longest first, while it stays over.
+3. Per source, a proportional part of every length is taken first: floor(count * budget / tokens). Then lengths are drawn in a seeded
+   order, with the fractions that the floors left as weights, and give one document each while at least `table` words and one of the
+   longest documents remain. What is left is fitted by bounded-knapsack dynamic programming over the remaining counts, in the same
+   order: the greatest sum that does not exceed it. Where that misses the budget, the program runs over all that the floors left.
 4. The planned number of documents of each length is chosen in the order of a seeded hash.
 """
 
@@ -25,28 +25,16 @@ def length() -> "F.Column":
     return F.expr("coalesce(size(filter(split(text, '\\\\s+'), w -> w != '')), 0)")
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = 1 << 20) -> np.ndarray:
-    """How many documents of each length to take: sum(take * lengths) <= budget, as near to it as the method gets."""
-    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    total, take = int((lengths * counts).sum()), np.zeros(len(lengths), np.int64)
-    if total <= budget:
-        return counts.copy()
-    if budget <= 0:
-        return take
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    rest = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest <= table:
-            break
-        n = min(int(counts[i] - take[i]), (rest - table) // max(1, int(lengths[i])) + 1, rest // max(1, int(lengths[i])))
-        take[i] += n
-        rest -= n * int(lengths[i])
-    # bounded knapsack over what remains: bit s of `reach` says that a sum s can be made; each step keeps its table for the way back
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, rest: int, order: np.ndarray) -> np.ndarray:
+    """How many of each length make the greatest sum of at most `rest`."""
+    take, some = np.zeros(len(lengths), np.int64), lengths[(counts > 0) & (lengths > 0)]
+    unit = int(np.gcd.reduce(some)) if len(some) else 1
+    rest //= unit
+    # bit s of `reach` says that a sum s can be made; each step keeps its table for the way back
     mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for i in np.argsort(-lengths, kind="stable"):
-        have, size = int(counts[i] - take[i]), int(lengths[i])
-        have = min(have, rest // size) if size else 0
-        part = 1
+    for i in order:
+        size = int(lengths[i]) // unit
+        have, part = min(int(counts[i]), rest // size) if size else 0, 1
         while have > 0:
             part = min(part, have)
             new = (reach | reach << (part * size)) & mask
@@ -61,7 +49,29 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = 1 <<
     for i, part, before in reversed(steps):
         if not before >> at & 1:
             take[i] += part
-            at -= part * int(lengths[i])
+            at -= part * (int(lengths[i]) // unit)
+    return take
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = 1 << 20, seed: int = 17) -> np.ndarray:
+    """How many documents of each length to take: the greatest sum(take * lengths) <= budget that the proportional part allows."""
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    total = int((lengths * counts).sum())
+    if total <= budget:
+        return counts.copy()
+    if budget <= 0:
+        return np.zeros(len(lengths), np.int64)
+    base = np.array([int(c) * budget // total for c in counts], np.int64)
+    rest = budget - int((base * lengths).sum())
+    part = np.array([int(c) * budget % total / total for c in counts])
+    order = np.argsort(np.random.default_rng(seed).exponential(size=len(lengths)) / np.maximum(part, 1e-12), kind="stable")
+    order = order[(counts[order] > base[order]) & (lengths[order] > 0)]
+    bulk = order[: int(np.searchsorted(np.cumsum(lengths[order]), rest - max(table, int(lengths.max())), "right"))]
+    take = base.copy()
+    take[bulk] += 1
+    take += _knapsack(lengths, counts - take, budget - int((take * lengths).sum()), order)
+    if len(bulk) and int((take * lengths).sum()) < budget:
+        take = base + _knapsack(lengths, counts - base, rest, order)
     take[lengths == 0] = 0
     return take
 

@@ -65,3 +65,15 @@ def test_awkward(awkward, nothing):
     assert Counter(r.doc_id for r in whole.collect()) == {1: 2, None: 1, 5: 1}
     assert mix(nothing).count() == 0
     assert mix(awkward, {}).count() == 0
+
+
+def test_all_lengths_share_the_budget():
+    # a source whose floors are nearly all 0: what is drawn follows the source, not the longest documents
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique(np.minimum(rng.lognormal(5.5, 0.8, 1000).astype(int) + 5, 5000), return_counts=True)
+    budget = int((lengths * counts).sum()) // 4
+    take = fit(lengths, counts, budget, table=1 << 14)
+    assert int((take * lengths).sum()) == budget
+    assert (take <= counts).all()
+    mean, got = (lengths * counts).sum() / counts.sum(), budget / take.sum()
+    assert 0.75 * mean < got < 1.25 * mean
