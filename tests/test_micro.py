@@ -231,3 +231,12 @@ def test_stream_equals_batch(spark, data, tmp_path):
     got = {(r.slice_start, r.cell): (r.n, round(r.mean, 6)) for r in spark.table("slices_out").collect()}
     want = {(r.slice_id, r.cell): (r.n, round(r.mean, 6)) for r in Z.slice_stats(slices(spark, data), ["cell", "slice_id"]).collect()}
     assert got == want
+
+
+def test_bridge_components_asks_for_every_likely_pixel(spark, data):
+    from gridloom.plans.q_patches import bridge_components
+    from gridloom.sources import views as V
+
+    want = {r.lin for r in V.px(spark, data).where("prob >= 0.95").select("lin").collect()}
+    assert want
+    assert {r.lin for r in bridge_components(spark, data).select("lin").collect()} == want
