@@ -1,16 +1,16 @@
 """Lexical retrieval packing: windows of documents that a sharded BM25 inverted index of the whole table holds for neighbours.
 
-Documents get places in a seeded random order, the order of the seeds, and lie in shards of `shard_docs` places, each with an inverted
-index of its own. Document frequencies, their number and the mean length are those of the whole table. A seed's query is the whole seed; every
-seed asks every shard; its unused neighbours, best first (ties: the earlier place), are put into the window while they fit.
-Every document's every word lands in exactly one window.
+The seeds are the documents whose doc_id is divisible by `every`, in a seeded random order. All documents lie in shards of `shard_docs`, each with
+an inverted index of its own. Document frequencies, their number and the mean length are those of the whole table. A seed's query is the whole seed; every
+seed asks every shard; its unused neighbours, best first (ties: the earlier place), are put into its window while they fit. Documents that no
+seed took are laid end to end, in the seeded order, in windows of their own. Every document's every word lands in exactly one window.
 
-The windows are those of a plain loop over the seeds. They are made in rounds: some of the next seeds are searched at once, and the driver then
+The seeds' windows are those of a plain loop over the seeds. They are made in rounds: some of the next seeds are searched at once, and the driver then
 goes through them in order. A shard returns only documents that the loop can reach: a document of c words can't fit any more if the better ones of at
-most c words hold more than the room less c, as all of these would have been taken. Lists allow `SLACK` windows beyond the room, so they stay
-complete while no more words of them are taken by earlier seeds of the round; at a seed that lost more, the round ends and the next begins.
+most c words hold more than the room less c, as all of these would have been taken. Lists reach some windows beyond the room, so they stay
+complete while no more words of them are taken by earlier seeds of the round; at a seed that lost more, the round ends, and the next one's lists reach twice as far.
 
-Every seed is scored against every unused document, so work grows with seeds x documents. The driver holds a byte for each document.
+Every seed is scored against every unused document, so the search grows with seeds x documents. The driver holds a byte, and tasks get a bit, for each document.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 from .text import Chunk, mix, pieces
 
-SHARD_DOCS, WINDOW_WORDS = 2048, 2048
-#: Seeds of a round at most; windows of words by which a seed's list exceeds its room; share of a shard's documents from which a term is multiplied densely.
-SEEDS, SLACK, DENSE = 512, 1, 0.04
+SHARD_DOCS, WINDOW_WORDS, EVERY = 8192, 2048, 50
+#: Seeds of a round; windows of words by which their lists exceed the room at first; share of a shard's documents from which a term is multiplied densely.
+SEEDS, SLACK, DENSE = 512, 4, 0.02
 K1, B = 1.2, 0.75
 
 
@@ -90,26 +90,32 @@ def pack(counts: np.ndarray, index: Bm25 | None, order: np.ndarray, window: int)
     return out
 
 
-def pickable(order: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
-    """Of documents `order`, best first, those that a loop with `limit` words of room can reach, and some more.
+def pickable(free: np.ndarray, score: np.ndarray, counts: np.ndarray, limit: int, first: int = 512) -> np.ndarray:
+    """Of documents `free`, best score first (ties: as they come), those that a loop with `limit` words of room can reach, and some more.
 
-    One goes if its words and those of the better ones up to a level, itself no more than its words, exceed the limit.
+    One goes if its words and those of the better ones up to a level, itself no more than its words, exceed the limit. `score` goes with `free`.
     """
-    if not len(order):
-        return order
-    levels = np.unique(np.quantile(counts[order], np.concatenate((0.5 ** np.arange(12, 4, -1), np.linspace(0, 1, 17))), method="lower"))
-    level = np.searchsorted(levels, counts, "right") - 1
-    kept, full, rest = [], np.zeros(len(levels), np.int64), order
+    if not len(free):
+        return free
+    own = counts[free]
+    levels = np.unique(np.quantile(own, np.concatenate((0.5 ** np.arange(12, 4, -1), np.linspace(0, 1, 17))), method="lower"))
+    level = np.searchsorted(levels, own, "right") - 1
+    kept, full, rest = [], np.zeros(len(levels), np.int64), np.arange(len(free))
     while len(rest):
-        block = rest[:128]
-        words = np.where(counts[block][:, None] <= levels, counts[block][:, None], 0)
-        sums = np.cumsum(words, 0)
-        at = np.arange(len(block)), level[block]
-        kept.append(block[full[level[block]] + sums[at] <= limit])
-        full += sums[-1]
-        rest = rest[128:]
-        rest = rest[full[level[rest]] + counts[rest] <= limit]
-    return np.concatenate(kept)
+        top, low = rest, rest[:0]
+        if len(rest) > 2 * first:
+            least = np.partition(score[rest], len(rest) - first)[len(rest) - first]
+            top, low = rest[score[rest] >= least], rest[score[rest] < least]
+        top = top[np.argsort(-score[top], kind="stable")]
+        while len(top):
+            block = top[:128]
+            sums = np.cumsum(np.where(own[block][:, None] <= levels, own[block][:, None], 0), 0)
+            kept.append(block[full[level[block]] + sums[np.arange(len(block)), level[block]] <= limit])
+            full += sums[-1]
+            top = top[128:]
+            top = top[full[level[top]] + own[top] <= limit]
+        rest = low[full[level[low]] + own[low] <= limit]
+    return free[np.concatenate(kept)]
 
 
 def _numbers(column: pa.Array, kind: type) -> list[np.ndarray]:
@@ -138,10 +144,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _KINDS = {"ids": np.int64, "null": np.uint8, "counts": np.int64, "vocabulary": np.uint64, "ends": np.int64, "docs": np.int32, "tfs": np.int32}
-_SHARD = "part int, number int, size long, words long, " + ", ".join(f"{k} binary" for k in _KINDS)
+_SHARD = "part int, number int, size long, words long, seeds long, " + ", ".join(f"{k} binary" for k in _KINDS)
 
 
-def _index(shard_docs: int):
+def _index(shard_docs: int, every: int):
     """Inverted indexes of runs of `shard_docs` rows of a sorted partition: postings of vocabulary[t] are docs and tfs from ends[t] to ends[t + 1]."""
 
     def one(part: int, number: int, table: pa.Table) -> pa.RecordBatch:
@@ -152,8 +158,8 @@ def _index(shard_docs: int):
         counts = table.column("n").to_numpy()
         ids, null = table.column("doc_id").fill_null(0).to_numpy(), table.column("doc_id").is_null().to_numpy()
         blobs = [x.tobytes() for x in (ids, null.astype(np.uint8), counts, vocabulary, np.concatenate(([0], np.cumsum(size))), doc[order], np.concatenate(tfs)[order])]
-        numbers = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(terms)], pa.int64()), pa.array([int(counts.sum())], pa.int64())]
-        return pa.RecordBatch.from_arrays([*numbers, *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "number", "size", "words", *_KINDS])
+        numbers = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), *[pa.array([int(x)], pa.int64()) for x in (len(terms), counts.sum(), (~null & (ids % every == 0)).sum())]]
+        return pa.RecordBatch.from_arrays([*numbers, *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "number", "size", "words", "seeds", *_KINDS])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -205,8 +211,8 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, r
     asker = np.repeat(np.arange(len(seeds)), np.diff(ends))
     few = (size > 0) & (column[where] < 0)
     dense = (size > 0) & ~few
-    for low in range(0, len(seeds), 256):
-        high = min(low + 256, len(seeds))
+    for low in range(0, len(seeds), 128):
+        high = min(low + 128, len(seeds))
         a, b = ends[low], ends[high]
         query = np.zeros((high - low, len(many)))
         d = dense[a:b]
@@ -222,7 +228,7 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, r
             own = scores[i - low]
             free = np.flatnonzero((own > 0) & (places > seeds[i]) & (counts <= room[i]))
             if len(free):
-                got = pickable(free[np.argsort(-own[free], kind="stable")], counts, int(room[i]) + slack)
+                got = pickable(free, own[free], counts, int(room[i]) + slack)
                 yield np.full(len(got), i), places[got], counts[got], own[got]
 
 
@@ -231,38 +237,37 @@ def _merge(lists: pa.Table, room: np.ndarray, slack: int) -> pa.Table:
     lists = lists.sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
     seeds, n = lists.column("seed").to_numpy(), lists.column("n").to_numpy()
     ends = np.flatnonzero(np.diff(seeds, append=-1)) + 1
-    return lists.take(pa.array(np.concatenate([a + pickable(np.arange(b - a), n[a:b], int(room[seeds[a]]) + slack) for a, b in zip([0, *ends[:-1]], ends, strict=True)])))
+    return lists.take(pa.array(np.concatenate([a + pickable(np.arange(b - a), -np.arange(b - a), n[a:b], int(room[seeds[a]]) + slack) for a, b in zip([0, *ends[:-1]], ends, strict=True)])))
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int = SHARD_DOCS, seed: int = 17) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int = SHARD_DOCS, every: int = EVERY, seed: int = 17) -> DataFrame:
     """(window, position, doc_id, start_word, end_word, score): the pieces of every window, in order.
 
-    A document longer than a window first fills whole windows; what remains is a seed. Texts without a word (null, empty, blank) have no piece, but count
-    as documents. Rows of null doc_id are packed like others, placed by a hash of their words, and carry null. Repeated rows are packed
-    as documents of their own. Other columns are ignored; an empty table gives an empty result. `shard_docs` changes no result.
+    Windows of seeds are named s..., the others r...; a piece that is no neighbour (a seed, or what no seed took) has the score 0. A document longer than a window first fills whole windows; what remains is a seed. Texts without a word (null, empty, blank) have no piece, but count
+    as documents. Rows of null doc_id are packed like others, placed by a hash of their words, carry null and are no seeds. Repeated rows are packed
+    as documents of their own. Other columns are ignored; an empty table gives an empty result. `shard_docs` changes no window of a seed; windows of the rest end with a shard.
     """
     spark = docs.sparkSession
     base = f"{shared_folder(spark)}/packing-{uuid.uuid4().hex}"
     sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n long, content long, terms binary, tfs binary")
     turn = F.when(F.col("doc_id").isNull(), F.xxhash64("content", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
-    ordered = sketched.where("n > 0").withColumn("turn", turn).orderBy("turn", "doc_id", "n", "content").select("doc_id", "n", "terms", "tfs")
-    ordered.mapInArrow(_index(shard_docs), _SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
+    later = F.coalesce(F.col("doc_id") % every != 0, F.lit(True))
+    ordered = sketched.where("n > 0").withColumns({"later": later, "turn": turn}).orderBy("later", "turn", "doc_id", "n", "content").select("doc_id", "n", "terms", "tfs")
+    ordered.mapInArrow(_index(shard_docs, every), _SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
     shards = spark.read.schema(_SHARD).parquet(f"{base}/shards")
     shards.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{base}/df")
     frequencies = spark.read.schema("term long, df long").parquet(f"{base}/df")
     # places run on from shard to shard and from partition to partition
-    sizes = sorted(map(tuple, shards.select("part", "number", "size", "words").collect()))
+    sizes = sorted(map(tuple, shards.select("part", "number", "size", "words", "seeds").collect()))
     starts = np.concatenate(([0], np.cumsum([x[2] for x in sizes]))).astype(np.int64)
     firsts = {x[:2]: int(a) for x, a in zip(sizes, starts, strict=False)}
     count, total = int(starts[-1]), docs.count()
     mean = max(1.0, sum(x[3] for x in sizes) / max(1, total))
     used, kind = np.zeros(count, bool), "window string, position int, place long, start_word int, end_word int, score double"
-    left = count
     spark.createDataFrame([], kind).write.parquet(f"{base}/out")
-    while left:
-        whole = left <= SEEDS // 2  # lists of all documents then, and one round
-        batch = np.flatnonzero(~used)[: left if whole else min(SEEDS, max(64, left // 32))]
-        sent = spark.sparkContext.broadcast((used, batch))
+    seeds, slack = sum(x[4] for x in sizes), SLACK * window  # the seeds have the first places
+    while len(batch := np.flatnonzero(~used[:seeds])[:SEEDS]):
+        sent = spark.sparkContext.broadcast((np.packbits(used), batch))
 
         def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             _, batch = sent.value
@@ -295,11 +300,11 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
         order = np.argsort(term)
         df = df[order][np.searchsorted(term[order], flat)]
         room = np.where(n % window > 0, window - n % window, 0)
-        slack = int(1 << 60) if whole else SLACK * window
         query = spark.sparkContext.broadcast((room, ends, flat, np.log1p((total - df + 0.5) / (df + 0.5)) * np.concatenate(tfs)))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, query=query, slack=slack) -> Iterator[pa.RecordBatch]:
-            (used, batch), names, held = sent.value, ["seed", "place", "n", "score"], []
+            (bits, batch), names, held = sent.value, ["seed", "place", "n", "score"], []
+            used = np.unpackbits(bits, count=count).astype(bool)
             for s in _shards(batches, firsts):
                 got = list(_search(s, used, batch, *query.value, mean, slack))
                 if got:
@@ -323,27 +328,49 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
             mine = slice(first[i], first[i + 1])
             taken = used[place[mine]]
             if words[mine][taken].sum() > slack:
+                slack *= 2
                 break
             used[s] = True
             full = int(n[i]) // window
-            rows += [(f"{s}-{k}", 0, int(s), k * window, (k + 1) * window, 0.0) for k in range(full)]
+            rows += [(f"s{s}-{k}", 0, int(s), k * window, (k + 1) * window, 0.0) for k in range(full)]
             if not room[i]:
                 continue
-            rows.append((f"{s}-{full}", 0, int(s), full * window, int(n[i]), 0.0))
+            rows.append((f"s{s}-{full}", 0, int(s), full * window, int(n[i]), 0.0))
             space, position = int(room[i]), 1
             for p, c, x in zip(place[mine][~taken].tolist(), words[mine][~taken].tolist(), score[mine][~taken].tolist(), strict=True):
                 if c <= space:
-                    rows.append((f"{s}-{full}", position, p, 0, c, x))
+                    rows.append((f"s{s}-{full}", position, p, 0, c, x))
                     used[p] = True
                     space, position = space - c, position + 1
         spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["window", "position", "place", "start_word", "end_word", "score"])).write.mode("append").parquet(f"{base}/out")
-        left = count - int(used.sum())
         for x in (sent, wanted, query):
             x.destroy()
+    sent = spark.sparkContext.broadcast(np.packbits(used))
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of each shard that no seed took, end to end."""
+        used = np.unpackbits(sent.value, count=count).astype(bool)
+        for s in _shards(batches, firsts):
+            free = np.flatnonzero(~used[s["places"]])
+            if not len(free):
+                continue
+            stop = np.cumsum(s["counts"][free])
+            start = stop - s["counts"][free]
+            # a document's pieces lie between its ends and the windows' borders among its words
+            pieces = (stop - 1) // window - start // window + 1
+            own = np.repeat(np.arange(len(free)), pieces)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            w = start[own] // window + nth
+            a, b = np.maximum(start[own], w * window) - start[own], np.minimum(stop[own], (w + 1) * window) - start[own]
+            edge = np.flatnonzero(np.diff(w, prepend=-1))
+            position = np.arange(len(w)) - np.repeat(edge, np.diff(np.append(edge, len(w))))
+            ids, none = s["ids"][free][own], s["null"][free][own] > 0
+            yield pa.RecordBatch.from_arrays([pa.array([f"r{s['places'][0]}-{x}" for x in w]), pa.array(position, pa.int32()), pa.array(ids, mask=none), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(np.zeros(len(w)))], ["window", "position", "doc_id", "start_word", "end_word", "score"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _shards(batches, firsts):
             yield pa.RecordBatch.from_arrays([pa.array(s["places"]), pa.array(s["ids"], mask=s["null"] > 0)], ["place", "doc_id"])
 
     out = spark.read.schema(kind).parquet(f"{base}/out")
-    return out.join(shards.mapInArrow(named, "place long, doc_id long"), "place").select("window", "position", "doc_id", "start_word", "end_word", "score")
+    taken = out.join(shards.mapInArrow(named, "place long, doc_id long"), "place").select("window", "position", "doc_id", "start_word", "end_word", "score")
+    return taken.unionByName(shards.mapInArrow(lay, "window string, position int, doc_id long, start_word int, end_word int, score double"))

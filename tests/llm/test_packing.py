@@ -84,7 +84,7 @@ def test_many_shards_against_brute_force_over_the_whole_table(spark, monkeypatch
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) % 300) for _ in range(700)]
     df = spark.createDataFrame([(i, t, ["en", "de"][i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    order = [r.doc_id for r in df.selectExpr("doc_id", "xxhash64(doc_id, 17) h").orderBy("h").collect()]
+    order = [r.doc_id for r in df.selectExpr("doc_id", "doc_id % 7 != 0 later", "xxhash64(doc_id, 17) h").orderBy("later", "h").collect()]
     c = Chunk(pa.array([texts[i] for i in order]))
     plain = Bm25(c.codes, c.offsets, len(c.words))
 
@@ -92,8 +92,36 @@ def test_many_shards_against_brute_force_over_the_whole_table(spark, monkeypatch
         def scores(self, q):
             return np.round(plain.scores(q), 6)
 
-    want = {tuple((order[d], a, b) for d, a, b, _ in w) for w in pack(c.counts, Rounded(), np.arange(700), 120)}
+    want = {tuple((order[d], a, b) for d, a, b, _ in w) for w in pack(c.counts, Rounded(), np.arange(100), 120)}
+    got, rest, words = defaultdict(list), defaultdict(list), Counter()
+    for r in sorted(pack_documents(df, window=120, shard_docs=32, every=7).collect(), key=lambda r: r.position):
+        (got if r.window[0] == "s" else rest)[r.window].append((r.doc_id, r.start_word, r.end_word))
+        words[r.doc_id] += r.end_word - r.start_word
+    assert {tuple(w) for w in got.values()} == want
+    assert words == {i: len(words_of(t)) for i, t in enumerate(texts)}
+    assert all(sum(b - a for _, a, b in w) <= 120 for w in rest.values())
+    assert all(d % 7 for w in rest.values() for d, _, _ in w)
+
+
+def test_seeds_of_one_group_share_it_out(spark, monkeypatch):
+    """Seeds that all want the same documents: the lists must reach far enough."""
+    import gridloom.llm.packing as P
+
+    monkeypatch.setattr(P, "SLACK", 1)
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 500, 12)]
+    texts = [" ".join([*base, f"v{x}"]) for x in rng.integers(0, 50, 300)] + [" ".join(f"w{x}" for x in rng.integers(0, 500, 13)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = [r.doc_id for r in df.selectExpr("doc_id", "doc_id % 5 != 0 later", "xxhash64(doc_id, 17) h").orderBy("later", "h").collect()]
+    c = Chunk(pa.array([texts[i] for i in order]))
+    plain = Bm25(c.codes, c.offsets, len(c.words))
+
+    class Rounded:
+        def scores(self, q):
+            return np.round(plain.scores(q), 6)
+
+    want = {tuple((order[d], a, b) for d, a, b, _ in w) for w in pack(c.counts, Rounded(), np.arange(80), 60)}
     got = defaultdict(list)
-    for r in sorted(pack_documents(df, window=120, shard_docs=32).collect(), key=lambda r: r.position):
+    for r in sorted(pack_documents(df, window=60, shard_docs=64, every=5).where("window like 's%'").collect(), key=lambda r: r.position):
         got[r.window].append((r.doc_id, r.start_word, r.end_word))
     assert {tuple(w) for w in got.values()} == want
