@@ -3,7 +3,8 @@
 Vectors are dealt to a number of shards by a hash of their id. A shard's graph (Malkov and Yashunin, 2016) is kept as flat neighbour
 arrays: per layer, an int32 matrix of `m` (layer 0: 2 m) links, -1 where there are fewer. Searches run for a block of queries in
 lockstep: every step expands each query's best unexpanded candidate, so that distances are computed for thousands of links at a time.
-Every query asks every shard; the best k over all shards are the answer.
+The queries are the rows whose id is divisible by `every`. Every query asks every shard, a graph meeting blocks of
+queries; the best k over all shards are the answer.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .text import mix
 
-M, EF_BUILD, EF_SEARCH, K, SHARD_ROWS = 16, 64, 96, 10, 20_000
+M, EF_BUILD, EF_SEARCH, K, SHARD_ROWS, EVERY = 16, 64, 96, 10, 8192, 50
 
 
 class Graph:
@@ -27,7 +28,7 @@ class Graph:
     def __init__(self, x: np.ndarray, ids: np.ndarray, m: int = M, ef: int = EF_BUILD):
         n = len(x)
         self.x, self.m, self.norm = np.ascontiguousarray(x, np.float32), m, (x.astype(np.float32) ** 2).sum(1)
-        # a node's top layer, from a hash of its id: exponential with factor 1 / ln(m)
+        # a node's top layer, from a hash of its id: exponential with factor 1 / ln(m); layer 6 is expected from 16^6 rows on, far beyond a shard
         u = (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2**53
         level = np.minimum((-np.log(np.maximum(u, 1e-12)) / np.log(m)).astype(int), 6)
         order = np.lexsort((np.arange(n), -level))  # the upper layers come first, so that blocks can be linked at once
@@ -167,8 +168,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
-def nearest(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_block: int = 4096, ef: int = EF_SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, neighbour, rank, distance): for every row as a query, its k nearest others by Euclidean distance.
+def nearest(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_block: int = 32_768, ef: int = EF_SEARCH, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, neighbour, rank, distance): for every row whose id is divisible by `every`, its k nearest others among all rows by Euclidean distance.
 
     The number of shards is the number of vectors over `shard_rows`, rounded up: a graph is held by one task, whatever the table's
     size. Ties: the smaller id first. Rows of null id, null or empty vector, or with a null or non-finite component, and rows whose
@@ -179,11 +180,13 @@ def nearest(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(c) < 3e38)")
     dims = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1)
     rows = cut(clean.join(F.broadcast(dims), F.size(clean.v) == F.col("d")).groupBy("id").agg(F.min("v").alias("v")))
-    shards = -(-rows.count() // shard_rows)
+    total = rows.count()
+    shards = -(-total // shard_rows)
     empty = spark.createDataFrame([], "vec_id long, neighbour long, rank int, distance double")
     if not shards:
         return empty
-    blocks = max(shards, -(-rows.count() // query_block))
+    queries = rows.where(F.col("id") % every == 0)
+    blocks = max(1, -(-queries.count() // query_block))
     base = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
@@ -193,9 +196,10 @@ def nearest(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_
         flat = [x for links in graph.links for x in (links.shape[0], links.shape[1])]
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "x": [graph.x.tobytes()], "order": [graph.order.astype(np.int64).tobytes()], "shape": [np.array(flat, np.int64).tobytes()], "links": [b"".join(x.tobytes() for x in graph.links)]})
 
-    graphs = cut(base.groupBy("shard").applyInArrow(build, "shard int, ids binary, x binary, order binary, shape binary, links binary"))
-    # one task for each pair of a block of queries and a shard
-    asks = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    # a task a shard: AQE would put small shards together
+    graphs = cut(base.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, ids binary, x binary, order binary, shape binary, links binary"))
+    # one task for each pair of a block of queries and a shard: a graph of 8,192 vectors travels once for each 32,768 queries
+    asks = queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -28,18 +28,19 @@ def test_recall_over_shards(spark, data):
     rows = v.orderBy("vec_id").collect()
     want = brute(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows]), 10)
     got: dict[int, list] = {}
-    for r in nearest(v, shard_rows=150, query_block=100).collect():
+    for r in nearest(v, shard_rows=150, query_block=40, every=3).collect():
         got.setdefault(r.vec_id, []).append(r.neighbour)
-    assert set(got) == set(want)
+    assert set(got) == {i for i in want if i % 3 == 0}
     assert all(len(x) == 10 for x in got.values())
-    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.97
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in got]) >= 0.97
 
 
 def test_awkward(spark):
     nan = float("nan")
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [5.0, 5.0]), (None, [1.0, 1.0]), (4, None), (5, []), (6, [1.0]), (7, [nan, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, "s", 1) for r in rows], "vec_id long, embedding array<float>, shard string, id int")
-    got = sorted((r.vec_id, r["rank"], r.neighbour) for r in nearest(df, k=2).collect())
+    got = sorted((r.vec_id, r["rank"], r.neighbour) for r in nearest(df, k=2, every=1).collect())
     assert got == [(1, 1, 2), (1, 2, 9), (2, 1, 9), (2, 2, 1), (3, 1, 2), (3, 2, 9), (9, 1, 2), (9, 2, 1)]
+    assert {r.vec_id for r in nearest(df, k=2, every=3).collect()} == {3, 9}
     assert nearest(df.limit(0)).count() == 0
     assert nearest(df.where("vec_id = 1")).count() == 0
