@@ -90,12 +90,12 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_labelled: int
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
-        .groupBy(F.col("doc_id").alias("__gl_id"))
+        .groupBy(F.col("doc_id").cast("long").alias("__gl_id"))
         .agg(F.max(label_col).cast("int").alias("__gl_label"))
         .orderBy(F.xxhash64("__gl_id", F.lit(seed)), "__gl_id")
         .limit(max_labelled)
     )
-    own = docs.select(F.col("doc_id"), F.col("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,11 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = 18, threshold: float
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, bits: int = 18, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs`, all columns, that `score` keeps. Only the text goes through Python with the row; nothing is shuffled."""
+    """The rows of `docs`, all columns, that `score` keeps; nothing is shuffled.
+
+    Null, empty and blank texts go. Repeated rows are kept or dropped alike; a null doc_id doesn't matter. An empty table stays empty, and
+    columns of any name pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -235,12 +235,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, seed: in
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
-        .groupBy(F.col("doc_id").alias("__gl_id"))
+        .groupBy(F.col("doc_id").cast("long").alias("__gl_id"))
         .agg(F.max(label_col).cast("int").alias("__gl_label"))
         .orderBy(F.xxhash64("__gl_id", F.lit(seed)), "__gl_id")
         .limit(max_labelled)
     )
-    own = docs.select("doc_id", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -59,3 +59,10 @@ def test_awkward(spark, awkward, nothing):
     assert Q.keep_good(awkward, w).columns == awkward.columns
     assert Q.score(nothing, w).count() == Q.keep_good(nothing, w).count() == 0
     assert not Q.train(awkward, labels.limit(0)).any()
+
+
+def test_integer_ids(spark, awkward):
+    labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id int, quality int")
+    docs = awkward.withColumn("doc_id", awkward.doc_id.cast("int"))
+    w = Q.train(docs, labels)
+    assert Q.score(docs, w).count() == 9
