@@ -5,27 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.graph import connected
 from ..functions.lineage import cut
 from .morphology import dilate
 
 
-def graph_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the graph of edges (a, b): a component is named by its least node.
-
-    Min-label propagation with pointer jumping; the labels of each round are cut. Ends when nothing changes.
-    """
-    both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("label")))
-    while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        root = step.select(F.col("node").alias("r"), F.col("label").alias("to"))
-        new = cut(step.join(root, step.label == root.r, "left").select("node", "old", F.least("label", F.coalesce("to", "label")).alias("label")))
-        if not new.where("old != label").limit(1).count():
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
-
-
 def runs(mask: DataFrame) -> DataFrame:
     """(row, c0, c1, node): maximal horizontal runs of the pixels (row, col, lin) of a mask; node is the first pixel's lin."""
     w = Window.partitionBy("row").orderBy("col")
@@ -44,7 +28,7 @@ def label_patches(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     up = r.select("row", "c0", "c1", "node", bins(F.col("c0") - reach, F.col("c1") + reach).alias("bin"))
     down = r.select((F.col("row") - 1).alias("row2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"), bins(F.col("c0"), F.col("c1")).alias("bin2"))
     edges = up.join(down, (F.col("row") == F.col("row2")) & (F.col("bin") == F.col("bin2")) & (F.col("c0") <= F.col("d1") + reach) & (F.col("c1") >= F.col("d0") - reach)).select(F.col("node").alias("a"), "b").distinct()
-    comps = graph_components(edges).withColumnRenamed("node", "n")
+    comps = connected(edges).withColumnRenamed("node", "n")
     labelled = r.join(comps, r.node == comps.n, "left").select("row", "c0", "c1", F.coalesce("component", "node").alias("patch_id"))
     pixels = labelled.select("row", F.explode(F.sequence("c0", "c1")).alias("col"), "patch_id")
     return mask.join(pixels, ["row", "col"])
@@ -54,8 +38,8 @@ def bridge(mask: DataFrame, n: int, width: int, connectivity: int = 8) -> DataFr
     """Components of the mask dilated n times, given to the original pixels only (E2). patch_id is the least original lin."""
     grown = dilate(mask, n, connectivity).withColumn("lin", F.col("row") * F.lit(width + 4 * n) + F.col("col"))
     wide = label_patches(grown, connectivity).select("row", "col", F.col("patch_id").alias("__gl_c"))
-    joined = mask.join(wide, ["row", "col"])
-    return joined.withColumn("patch_id", F.min("lin").over(Window.partitionBy("__gl_c"))).drop("__gl_c")
+    joined = cut(mask.join(wide, ["row", "col"]))
+    return joined.join(joined.groupBy("__gl_c").agg(F.min("lin").alias("patch_id")), "__gl_c").drop("__gl_c")
 
 
 def hysteresis(px: DataFrame, low: float, high: float, min_size: int = 1, connectivity: int = 8) -> DataFrame:
