@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (id, number) up to which a table is broadcast: some 16 MB. Beyond it, joins shuffle.
-BROADCAST_ROWS = 500_000
+from gridloom.functions.graph import connected as components  # noqa: F401
+
+#: Bytes up to which a table is broadcast, as `small` counts them. Beyond it, joins shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,26 +43,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (already cut) with a broadcast hint if it has at most `limit` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of the undirected graph of `edges`; a component is named by its least node.
-
-    Every round, a node takes the least label among its own and its neighbours', then the label of its label (pointer
-    jumping); rounds end when nothing changes. Each round's labels are cut. Null ends make no edge; loops and repeated edges
-    don't matter.
-    """
-    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    both = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("label")))
-    while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        root = step.select(F.col("node").alias("r"), F.col("label").alias("to"))
-        new = cut(step.join(root, step.label == root.r, "left").select("node", "old", F.least("label", F.coalesce("to", "label")).alias("label")))
-        if not new.where("old != label").limit(1).count():
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (already cut) with a broadcast hint if its cells have at most `limit` bytes; else as it is, for a shuffled join."""
+    cell = {"string": F.octet_length, "binary": F.octet_length}
+    width = [F.coalesce(cell[t](c), F.lit(0)) + 8 if t in cell else F.greatest(F.size(c), F.lit(0)) * 16 + 8 if t.startswith("array") else F.lit(8) for c, t in df.dtypes]
+    return F.broadcast(df) if (df.agg(F.sum(sum(width, F.lit(8)))).first()[0] or 0) <= limit else df

@@ -151,7 +151,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = cut(
         repeated_intervals(docs, window).where("doc_id is not null").distinct().groupBy(F.col("doc_id").alias("__gl_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__gl_spans"))
     )
-    joined = docs.join(small(spans, 100_000), docs["doc_id"] == spans["__gl_id"], "left").drop("__gl_id")
+    joined = docs.join(small(spans), docs["doc_id"] == spans["__gl_id"], "left").drop("__gl_id")
     names = docs.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

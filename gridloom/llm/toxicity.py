@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import cut
 from .text import Chunk, hash_strings, pieces
 
 LENGTH, DECAY, LANDMARKS, LONGEST = 4, 0.7, 40, 24
@@ -281,7 +281,7 @@ def toxic_units(docs: DataFrame, model: Svm) -> DataFrame:
     return cut(docs.select("text").mapInArrow(collect, "unit string").distinct().mapInArrow(rate, "unit string, score double"))
 
 
-def toxic_documents(docs: DataFrame, model: Svm, limit: int = BROADCAST_ROWS) -> DataFrame:
+def toxic_documents(docs: DataFrame, model: Svm, limit: int = 500_000) -> DataFrame:
     """(doc_id, score, unit): the toxic documents, with their highest unit (ties: the least string) and its score.
 
     Null, empty and blank texts are not toxic. Repeated rows are reported as often as they occur; null doc_ids stay null. Other columns are ignored. An

@@ -1,11 +1,11 @@
 import itertools
 import random
+from collections import Counter
 
-import numpy as np
 import pytest
 
 from gridloom.llm.common import components
-from gridloom.llm.jaccard_join import choose_bands, drop_near_duplicates, jaccard_join
+from gridloom.llm.jaccard_join import choose_bands, drop_near_duplicates, jaccard_join, similar_pairs
 from gridloom.llm.text import words_of
 
 
@@ -14,12 +14,23 @@ def grams(text, n=3):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def pairs_of(df):
-    out = {}
-    for r in df.collect():
-        for a, b in itertools.product(r.docs_a, r.docs_b):
+def pairs_of(df, **how):
+    """All pairs of documents that the join finds: copies by their class, others by pairs of classes."""
+    members, out = {}, {}
+    rows = jaccard_join(df, **how).collect()
+    for r in rows:
+        members.setdefault(r.class_id, set()).add(r.doc_id)
+    for c in members.values():
+        out |= {p: 1.0 for p in itertools.combinations(sorted(c), 2)}
+    links = Counter()
+    for r in similar_pairs(df, **how).collect():
+        links.update((r.class_a, r.class_b))
+        for a, b in itertools.product(members[r.class_a], members[r.class_b]):
             if a != b:
                 out[min(a, b), max(a, b)] = r.jaccard
+    for r in rows:
+        assert r.n_links == links[r.class_id]
+        assert r.n_copies == len(members[r.class_id])
     return out
 
 
@@ -52,13 +63,13 @@ def test_bands_reach_the_recall():
     for t, r in ((0.5, 0.9), (0.7, 0.98), (0.8, 0.95), (0.95, 0.99)):
         bands, n = choose_bands(t, r)
         assert 1 - (1 - t**n) ** bands >= r - 1e-9
-        assert bands * n <= 256
+        assert bands * n <= 96
 
 
-@pytest.mark.parametrize("tile", [256, 3])
-def test_against_brute_force(spark, rows, tile):
+@pytest.mark.parametrize(("tile", "bucket"), [(512, 4096), (3, 2)])
+def test_against_brute_force(spark, rows, tile, bucket):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got, want = pairs_of(jaccard_join(df, tile=tile)), brute(rows)
+    got, want = pairs_of(df, tile=tile, bucket=bucket), brute(rows)
     assert want
     assert set(got) <= set(want)
     assert len(got) >= 0.97 * len(want)
@@ -69,7 +80,7 @@ def test_against_brute_force(spark, rows, tile):
 def test_drop_keeps_the_least_of_each_group(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r.doc_id for r in drop_near_duplicates(df).collect()}
-    pairs, up = pairs_of(jaccard_join(df)), {}
+    pairs, up = pairs_of(df), {}
     def root(x):
         while up.get(x, x) != x:
             x = up[x]
@@ -77,6 +88,8 @@ def test_drop_keeps_the_least_of_each_group(spark, rows):
     for a, b in pairs:
         up[max(root(a), root(b))] = min(root(a), root(b))
     assert left == {i for i, _ in rows if root(i) == i}
+    for r in jaccard_join(df).collect():
+        assert r.group_id == root(r.doc_id)
 
 
 def test_components(spark):
@@ -100,5 +113,33 @@ def test_awkward(awkward, nothing):
 
 def test_short_texts_and_same_number_with_other_text(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "A b!"), (3, "a c"), (3, "q r s t"), (4, "q r s t")], "doc_id long, text string")
-    assert pairs_of(jaccard_join(df)) == {(1, 2): 1.0, (3, 4): 1.0}
-    assert np.isclose(max(pairs_of(jaccard_join(df)).values()), 1)
+    assert {(r.doc_id, r.class_id) for r in jaccard_join(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+
+
+def test_pairs_near_the_threshold_in_a_bucket_of_strangers(spark):
+    """Pairs of J = .50 to .55 whose documents also share a passage, and so buckets, with hundreds of strangers of sizes between theirs."""
+    rng = random.Random(11)
+    word = lambda: "w" + str(rng.randrange(50_000))
+    common = [word() for _ in range(60)]
+    rows = []
+    for k in range(150):
+        a = common + [word() for _ in range(90)]
+        b = a[: 60 + 42] + [word() for _ in range(rng.randrange(38, 44))]
+        rows += [(3 * k, " ".join(a)), (3 * k + 1, " ".join(b)), (3 * k + 2, " ".join(common + [word() for _ in range(rng.randrange(60, 90))]))]
+    pairs = brute(rows)
+    near = {p for p, j in pairs.items() if j < 0.56}
+    assert len(near) > 100
+    got = {(r.class_a, r.class_b) for r in similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), bucket=64).collect()}
+    assert got <= set(pairs)
+    assert len(got & near) >= 0.98 * len(near) - 2
+
+
+def test_hot_group(spark):
+    """A third of all rows are near copies of one text, in more copies than a tile or a bucket holds: every link is counted."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(2000)}" for _ in range(60)]
+    rows = [(i, " ".join(base[: 30 + i % 3] + [f"x{i}"] + base[31 + i % 3 :])) for i in range(120)] + [(1000 + i, " ".join(f"w{rng.randrange(2000)}" for _ in range(50))) for i in range(240)]
+    want = Counter(itertools.chain.from_iterable(p for p, j in brute(rows).items()))
+    got = {r.doc_id: r for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), tile=16, bucket=32).collect()}
+    assert {k: v.n_links + v.n_copies - 1 for k, v in got.items()} == dict(want)
+    assert {v.group_id for v in got.values()} == {0}
