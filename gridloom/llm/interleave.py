@@ -23,15 +23,56 @@ from .text import pieces
 
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "", "embed": "embed", "object": "embed", "amp-img": "image"}
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td textarea tfoot th thead title tr ul".split())
-_DROPPED = re.compile(r"<(script|style|template|noscript|head|nav|footer|iframe|svg)\b[^>]*>.*?</\1\s*>|<!--.*?(?:-->|$)", re.S | re.I)
-_RAW = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<[!?][^>]*>")
+#: Elements that are left out with all they hold, where they are closed; the first two to the page's end where they aren't.
+_RAW = ("script", "style")
+_DROPPED = (*_RAW, "template", "noscript", "head", "nav", "footer", "iframe", "svg")
+_CLOSED = {t: re.compile(rf"</{t}\s*>", re.I) for t in _DROPPED}
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?]")
+_TO_END = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 ITEM = pa.struct([("kind", pa.string()), ("text", pa.string()), ("url", pa.string()), ("mime", pa.string()), ("digest", pa.string()), ("payload", pa.binary())])
 _ITEM_SQL = "array<struct<kind:string,text:string,url:string,mime:string,digest:string,payload:binary>>"
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of the tags outside left-out elements; comments, declarations and left-out elements have no name.
+
+    The page is gone through once: where the end of a tag or of an element was looked for in vain, it isn't looked for again.
+    A ">" in quotes doesn't end a tag; from the first tag on of which a quote is never closed, quotes count for nothing.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+    ends: dict[str, int] = {}  # of a left-out element: where its next closing tag begins; len(page) if there is none
+    stops: dict[str, int] = {}
+    while m := _OPEN.search(page, at):
+        start, name = m.start(), (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", "", ""
+            continue
+        if m.end() > last:
+            return
+        if not name:
+            at = page.find(">", m.end()) + 1
+            yield start, at, "", "", ""
+            continue
+        tail = _TO_END.match(page, m.end()) if quoted else None
+        if tail is None:
+            quoted = False
+        at = tail.end() if tail else page.find(">", m.end()) + 1
+        inside = page[m.end() : at - 1]
+        if name in _CLOSED and not m[1]:
+            if ends.get(name, -1) < at and ends.get(name) != len(page):
+                close = _CLOSED[name].search(page, at)
+                ends[name], stops[name] = (close.start(), close.end()) if close else (len(page), len(page))
+            if ends[name] < len(page) or name in _RAW:
+                at = stops[name]
+                yield start, at, "", "", ""
+                continue
+        yield start, at, m[1], name, inside
+
+
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(text):
@@ -67,13 +108,14 @@ def parse(page: str | None, url: str | None = None) -> list[dict]:
     without media keeps it as text. Sources inside video, audio or picture count only where the element itself has none.
     Tags may be unclosed or wrongly nested.
     """
-    page = _RAW.sub(" ", _DROPPED.sub(" ", page or ""))
+    page = page or ""
     items: list[dict] = []
     buffer: list[str] = []
     figure: int | None = None
     caption: int | None = None
     within: str | None = None  # video, audio or picture
     found = False
+    shown: list[dict] = []  # the figure's media before its open caption
 
     def flush() -> None:
         if buffer:
@@ -85,48 +127,45 @@ def parse(page: str | None, url: str | None = None) -> list[dict]:
         nonlocal caption
         if caption is not None and figure is not None:
             flush()
-            media = [x for x in items[figure:caption] if x["kind"] != "text"]
-            if media:
+            if shown:
                 text = " ".join(x["text"] for x in items[caption:] if x["kind"] == "text")
                 late = [x for x in items[caption:] if x["kind"] != "text"]
                 del items[caption:]
                 items.extend(late)
-                for x in media:
-                    x["text"] = text or x["text"]
+                for x in shown if text else ():
+                    x["text"] = text
         caption = None
 
-
     def end_figure() -> None:
         nonlocal figure
         end_caption()
         flush()
         if figure is not None:
             own = items[figure:]
-            media = [i for i, x in enumerate(own) if x["kind"] != "text"]
+            media = [x for x in own if x["kind"] != "text"]
             if marks and media:
-                texts = [own[i] for i in marks if i < len(own) and own[i]["kind"] == "text"]
-                joined = " ".join(x["text"] for x in texts)
-                if joined:
-                    for i in media:
-                        own[i]["text"] = joined
-                    items[figure:] = [x for x in own if not any(x is t for t in texts)]
+                places = {i for i in marks if i < len(own) and own[i]["kind"] == "text"}
+                if joined := " ".join(own[i]["text"] for i in sorted(places)):
+                    for x in media:
+                        x["text"] = joined
+                    items[figure:] = [x for i, x in enumerate(own) if i not in places]
         marks.clear()
         figure = None
 
     marks: list[int] = []
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            buffer.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for start, end, closing, tag, inside in _tags(page):
+        if start > at:
+            buffer.append(page[at:start])
+        at = end
         if not tag:
+            buffer.append(" ")
             continue
-        if m[1]:
+        if closing:
             if tag == "figcaption":
                 flush()
                 if caption is not None and figure is not None:
-                    if any(x["kind"] != "text" for x in items[figure:caption]):
+                    if shown:
                         end_caption()
                     else:
                         marks.extend(range(caption - figure, len(items) - figure))
@@ -146,12 +185,16 @@ def parse(page: str | None, url: str | None = None) -> list[dict]:
                 kind = "image" if within == "picture" else within
             if tag == "img" and within == "picture" and found and items and items[-1]["kind"] == "image":
                 items.pop()  # the picture's own image stands for its sources
+                if shown and caption is None:
+                    shown.pop()
             flush()
             if tag in ("video", "audio"):
                 within, found = tag, False
-            if ref := _reference(tag, kind, _attributes(m[3]), url or ""):
+            if ref := _reference(tag, kind, _attributes(inside), url or ""):
                 items.append(ref)
                 found = True
+                if figure is not None and caption is None:
+                    shown.append(ref)
         elif tag == "picture":
             within, found = "picture", False
         elif tag in _BLOCK:
@@ -159,6 +202,7 @@ def parse(page: str | None, url: str | None = None) -> list[dict]:
             if tag == "figure":
                 end_figure()
                 figure = len(items)
+                shown = []
             elif tag == "figcaption" and figure is not None:
                 caption = len(items)
     buffer.append(page[at:])
@@ -188,17 +232,17 @@ def interleave(pages: DataFrame, media: DataFrame | None = None) -> DataFrame:
     more than once with different payloads takes the least one; null digests and payloads are no entry. A null or empty page has
     empty arrays. Null ids and repeated rows are pages of their own. Other columns are ignored; an empty table gives an empty result.
 
-    Pages without references never leave their task. Of the others, only (row key, position, digest) meets the payloads.
+    Pages are parsed once. Only (row key, position, digest) of references meets the payloads; pages without references are in no join.
     """
-    parsed = parse_pages(pages)
+    # a key of its own for each row, written down before anything is joined
+    parsed = cut(parse_pages(pages).withColumn("row", F.monotonically_increasing_id()))
     has = F.exists("items", lambda i: i["kind"] != "text")
     blank = F.transform("items", lambda i: F.when(i["kind"] == "text", i["text"]))
     ref = lambda i, mime, payload: F.when(i["kind"] != "text", F.struct(i["kind"].alias("kind"), i["digest"].alias("digest"), i["url"].alias("url"), mime.alias("mime"), payload.alias("payload"), payload.isNotNull().alias("resolved")))
     none = F.lit(None)
     captions = F.transform("items", lambda i: F.when(i["kind"] != "text", i["text"]))
     plain = parsed.where(~has).select("page_id", "url", F.size("items").alias("n_items"), blank.alias("texts"), F.transform("items", lambda i: ref(i, none.cast("string"), none.cast("binary"))).alias("media"), captions.alias("captions"))
-    # a key of its own for each row, written down before anything is joined
-    some = cut(parsed.where(has).withColumn("row", F.monotonically_increasing_id()))
+    some = parsed.where(has)
     item = some.select("row", F.posexplode("items").alias("at", "item")).where("item.kind != 'text'").select("row", "at", "item.digest", "item.mime", "item.payload")
     known = item.where("payload is not null").select("digest", "mime", "payload")
     if media is not None:

@@ -1,5 +1,11 @@
 import base64
 import hashlib
+import re
+import time
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pytest
 
 from gridloom.llm.interleave import interleave, parse
 
@@ -75,3 +81,79 @@ def test_whole_table(spark, data):
     for r in pages.limit(20).collect():
         assert got[r.page_id] == [i["text"] for i in parse(r.html, r.url)]
         assert not any("track(" in t for t in got[r.page_id])
+
+
+class Plain(HTMLParser):
+    """The same sequence by the standard library's parser, for pages whose tags are well nested: (text,) and (kind, url, caption)."""
+
+    BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td textarea tfoot th thead title tr ul".split())
+    LEFT_OUT = {"script", "style", "template", "noscript", "head", "nav", "footer", "iframe", "svg"}
+
+    def __init__(self, url):
+        super().__init__(convert_charrefs=True)
+        self.url, self.out, self.text, self.skip = url, [], "", []
+
+    def end_text(self):
+        if t := " ".join(self.text.split()):
+            self.out.append((t,))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.LEFT_OUT:
+            self.skip.append(tag)
+            self.text += " "
+        if self.skip:
+            return
+        if tag in ("img", "video", "audio", "embed"):
+            self.end_text()
+            a = {}
+            for k, v in attrs:
+                a.setdefault(k, v or "")
+            if src := (a.get("src") or a.get("data-src") or a.get("srcset", "").strip().split(" ")[0]).strip():
+                self.out.append(({"img": "image"}.get(tag, tag), None if src.startswith("data:") else urljoin(self.url or "", src), (a.get("alt") or a.get("title") or "").strip() or None))
+        elif tag in self.BLOCK:
+            self.end_text()
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            if tag == self.skip[-1]:
+                self.skip.pop()
+        elif tag in self.BLOCK:
+            self.end_text()
+
+    def handle_comment(self, data):
+        self.text += " "
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text += data
+
+
+def test_whole_query_against_the_parser_of_the_standard_library(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    got = {r.page_id: r for r in interleave(pages).collect()}
+    rows = [r for r in pages.collect() if not re.search("<fig|<picture|<source", r.html)]
+    assert len(got) == pages.count()
+    assert len(rows) > 20
+    for r in rows:
+        plain = Plain(r.url)
+        plain.feed(r.html)
+        plain.close()
+        plain.end_text()
+        own = got[r.page_id]
+        assert own.n_items == len(own.texts) == len(own.media) == len(own.captions)
+        assert [(t,) if m is None else (m.kind, m.url, c) for t, m, c in zip(own.texts, own.media, own.captions, strict=True)] == plain.out
+
+
+@pytest.mark.parametrize("unit", ["<svg>x ", "<nav a=b>", "<a b=\"", "<a 'x", "<!x ", "<", "<p>x<figure><figcaption>c", "<figure><img src=a><figcaption>x</figcaption>", "<!-- ", "<script>", "&amp", "<img src=a>"])
+def test_time_grows_with_the_page(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    parse(page, "http://e.com/")
+    assert time.process_time() - began < 8
+
+
+def test_row_named_columns(spark):
+    df = spark.createDataFrame([(1, "http://e.com", "<img src=a.png alt=x>", 5, "q", "z")], "page_id int, url string, html string, row int, digest string, found string")
+    (r,) = interleave(df).collect()
+    assert (r.page_id, r.captions, r.media[0].url) == (1, ["x"], "http://e.com/a.png")
