@@ -1,113 +1,142 @@
 """License scans by sentence rules.
 
-Texts are split into sentences; a sentence is normalised and, where it is a known licence sentence, becomes an identifier;
-a document's identifiers, in order, are matched against ordered licence rules: a rule holds where its identifiers occur in
-this order, other sentences and identifiers between them being allowed. Of the rules of one licence that hold, the one
-with the most sentences is reported (ties: the first in the table).
+A text is cut into fragments at every line break, and at . ! ? : ; before white space; a fragment is normalised. A sentence is any run of
+fragments, so one that is wrapped over lines, with or without comment marks, or that holds a colon, is found like any other. Where it
+is, normalised, a known licence sentence, it becomes an identifier; a document's identifiers, in order, are matched against ordered licence
+rules: a rule holds where its identifiers occur in this order, other sentences and identifiers between them being allowed. Of the rules
+of one licence that hold, the one with the most sentences is reported (ties: the first in the table).
 
-Everything is a built-in expression, so the scan stays in generated code; nothing is shuffled.
+A built-in expression finds the texts that hold a word without which no known sentence can be there; only these are read in Python. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences: identifier -> its wordings.
-SENTENCES: dict[str, list[str]] = {
-    "apache_short": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");"],
-    "apache_obtain": ["You may obtain a copy of the License at"],
-    "apache_asis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "mit_short": ["Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", "MIT License"],
-    "mit_grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
-    "mit_notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
-    "gpl3_short": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
-    "gpl_redistribute": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "gpl_warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
-    "ccbync_short": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."],
-    "ccby_short": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
-    "bsd_grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "bsd_source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
-    "bsd_binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
-    "bsd_endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
-    "rights": ["All rights reserved."],
-    "public_domain": ["This work is in the public domain.", "This work has been dedicated to the public domain."],
-}
-#: Ordered rules: (rule, licence, identifiers).
-RULES: list[tuple[str, str, list[str]]] = [
-    ("apache-2.0_notice", "Apache-2.0", ["apache_short", "apache_obtain", "apache_asis"]),
-    ("apache-2.0_short", "Apache-2.0", ["apache_short"]),
-    ("mit_full", "MIT", ["mit_short", "mit_grant", "mit_notice"]),
-    ("mit_grant", "MIT", ["mit_grant", "mit_notice"]),
-    ("mit_short", "MIT", ["mit_short"]),
-    ("gpl-3.0_notice", "GPL-3.0", ["gpl_redistribute", "gpl_warranty"]),
-    ("gpl-3.0_short", "GPL-3.0", ["gpl3_short"]),
-    ("cc-by-nc-4.0_short", "CC-BY-NC-4.0", ["ccbync_short"]),
-    ("cc-by-4.0_short", "CC-BY-4.0", ["ccby_short"]),
-    ("bsd-3-clause", "BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
-    ("bsd-2-clause", "BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
-    ("all_rights", "Proprietary", ["rights"]),
-    ("public_domain", "Public-domain", ["public_domain"]),
-]
-
-
-def _plain(sentence: str) -> str:
-    import re
-
-    return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
-
-
-def _pieces() -> list[tuple[str, str]]:
-    """(normalised sentence, identifier)."""
-    return [(_plain(w), k) for k, ws in SENTENCES.items() for w in ws]
+from .license_table import RULES, SENTENCES
+
+#: Every known sentence holds one of these.
+GATE = r"licen[sc]|rights reserved|permission|redistribut|warrant|public\W+domain|confidential|unauthorized|copyright|software|(?:available|distributed|released)\W+under|\bcc0\b|\bmpl\b"
+_BREAK = re.compile(r"[\r\n]+|(?<=[.!?:;])[ \t]+")
+_OTHER = re.compile(r"[^a-z0-9]+")
+
+
+def _plain(wording: str) -> str:
+    """Normalised: lower case, every run of characters other than a-z and 0-9 one space; {} stays, as a gap."""
+    return " {} ".join(_OTHER.sub(" ", part.lower()).strip() for part in wording.split("{}")).strip()
+
+
+def known() -> list[tuple[str, str]]:
+    """(normalised wording, identifier), each once."""
+    return sorted({(_plain(w), k) for k, ws in SENTENCES.items() for w in ws})
+
+
+def _expression(wording: str) -> str:
+    word = "(?: |\\|\\|)"
+    out, words = "", wording.split(" ")
+    for i, w in enumerate(words):
+        if w != "{}":
+            out += w + ("" if i == len(words) - 1 else word)
+        elif i == len(words) - 1:
+            out = out.removesuffix(word) + f"(?:{word}[a-z0-9]+){{0,10}}"
+        else:
+            out += f"(?:[a-z0-9]+{word}){{0,10}}"
+    return out
+
+
+def _probe(wording: str) -> str:
+    """The longest of the first three words of a wording: a cheap test, and no more than that."""
+    return max(wording.split("{}")[0].split(" ")[:3], key=len)
+
+
+def patterns() -> list[tuple[str, str, str]]:
+    """(probe, regular expression of RE2 and Python, identifier): the wordings of an identifier that share a probe, among fragments written |one||two|, the longest first."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for s, k in known():
+        groups.setdefault((_probe(s), k), []).append(s)
+    return [(probe, "\\|(?:" + "|".join(map(_expression, sorted(own, key=lambda s: (-len(s), s)))) + ")\\|", k) for (probe, k), own in sorted(groups.items())]
+
+
+def fragments(text: str) -> str:
+    """|fragment||fragment|... of a text, normalised."""
+    parts = (_OTHER.sub(" ", p).strip() for p in _BREAK.split(text.lower()))
+    return "".join(f"|{p}|" for p in parts if p)
+
+
+class Matcher:
+    def __init__(self) -> None:
+        self.patterns = [(re.compile(p), probe, k) for probe, p, k in patterns()]
+
+    def identifiers(self, text: str) -> list[str]:
+        """The licence identifiers of a text in order: of those that begin at one fragment the longest (ties: the first by name)."""
+        own = fragments(text)
+        words = set(own.replace("|", " ").split(" "))
+        best: dict[int, tuple[int, str]] = {}
+        for p, probe, k in self.patterns:
+            if probe and probe not in words:
+                continue
+            at = 0
+            while m := p.search(own, at):
+                here = (m.start() - m.end(), k)
+                best[m.start()] = min(best.get(m.start(), here), here)
+                at = m.end()
+        return [best[i][1] for i in sorted(best)]
+
+
+def rule_hits(ids: list[str]) -> list[tuple[str, str, int]]:
+    """(licence, rule, sentences) of a sequence of identifiers."""
+    best: dict[str, tuple[str, str, int]] = {}
+    for name, lic, seq in RULES:
+        left = iter(ids)
+        if all(k in left for k in seq) and (lic not in best or len(seq) > best[lic][2]):
+            best[lic] = (lic, name, len(seq))
+    return list(best.values())
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, rule, n_sentences, sentences): one row for each document and licence whose rule holds.
 
-    A sentence ends at a line break, or at . ! ? : ; before white space. Normalised: lower case, every run of characters other
-    than a-z and 0-9 one space. `sentences` lists all licence identifiers of the document in order, repeats included.
-    A null or empty text has no sentence and gives no row. Repeated rows each give their rows; a null doc_id stays null.
-    Other columns are ignored. An empty table gives an empty result. Whole texts are read, whatever their length.
+    `sentences` lists all licence identifiers of the document in order, repeats included. A null or empty text has no sentence and gives no
+    row. Repeated rows each give their rows; a null doc_id stays null. Other columns are ignored. An empty table gives an empty
+    result. Whole texts are read, whatever their length, and sentences of any length.
     """
-    known = _pieces()
-    ids = F.create_map(*[F.lit(x) for s, k in known for x in (s, k)])
-    split = F.split(F.regexp_replace(F.col(text_col), r"([.!?:;])[ \t\r\n]+", "$1\n"), "\n")
-    # the first word of a known sentence and its length decide cheaply whether a sentence can be one
-    heads = "|".join(sorted({s.split(" ")[0] for s, _ in known}))
-    longest = 3 * max(len(s) for s, _ in known)
-    may = F.filter(split, lambda s: (F.length(s) <= longest) & s.rlike(rf"(?i)^[^a-zA-Z0-9]*(?:{heads})(?![a-zA-Z0-9])"))
-    plain = F.transform(may, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(plain, lambda s: ids[s]), lambda k: k.isNotNull())
-    rules = [(n, lic, len(seq), "%" + "%".join(f",{k},".replace("_", "\\_") for k in seq) + "%") for n, lic, seq in RULES]
-    best = {}
-    for name, lic, n, like in sorted(rules, key=lambda r: -r[2]):  # sorted() is stable: ties keep the table's order
-        best.setdefault(lic, []).append((name, n, like))
-    def hit(lic: str):
-        out = F.lit(None).cast("struct<license:string,rule:string,n_sentences:int>")
-        for name, n, like in reversed(best[lic]):
-            out = F.when(F.col("__gl_seq").like(like), F.struct(F.lit(lic).alias("license"), F.lit(name).alias("rule"), F.lit(n).alias("n_sentences"))).otherwise(out)
-        return out
-    return (
-        docs.select(F.col(id_col).alias("doc_id"), found.alias("__gl_ids"))
-        .where(F.size("__gl_ids") > 0)
-        .withColumn("__gl_seq", F.concat(F.lit(","), F.array_join("__gl_ids", ",,"), F.lit(",")))
-        .select("doc_id", F.array_join("__gl_ids", " ").alias("sentences"), F.explode(F.filter(F.array(*map(hit, best)), lambda h: h.isNotNull())).alias("__gl_hit"))
-        .select("doc_id", "__gl_hit.license", "__gl_hit.rule", "__gl_hit.n_sentences", "sentences")
-    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher()
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if ids := matcher.identifiers(text):
+                    rows += [(i, *hit, " ".join(ids)) for hit in rule_hits(ids)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["doc_id", "license", "rule", "n_sentences", "sentences"])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = pa.string() if dict(own.dtypes)["doc_id"] == "string" else pa.int64()
+    if kind == pa.int64():
+        own = own.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return own.where(F.col("text").rlike(f"(?i){GATE}")).mapInArrow(scan, f"doc_id {dict(own.dtypes)['doc_id']}, license string, rule string, n_sentences int, sentences string")
 
 
 def license_sql() -> str:
-    """The same in DuckDB SQL over `documents`."""
+    """The same in DuckDB SQL over `documents`, by its own regular expressions and positions."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({q(s)}, {q(k)})" for s, k in _pieces())
+    rows = ", ".join(f"({q(probe)}, {q(p)}, {q(k)})" for probe, p, k in patterns())
     rules = ", ".join(f"({i}, {q(n)}, {q(lic)}, {len(seq)}, {q('%' + '%'.join(f',{k},' for k in seq).replace('_', chr(92) + '_') + '%')})" for i, (n, lic, seq) in enumerate(RULES))
     return f"""
-WITH known(s, k) AS (VALUES {known}), rules(i, rule, license, n, pat) AS (VALUES {rules}),
-lines AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(text, '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM documents),
-parts AS (SELECT r, doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM lines),
-ids AS (SELECT r, doc_id, pos, k FROM parts JOIN known ON trim(regexp_replace(lower(parts.s), '[^a-z0-9]+', ' ', 'g')) = known.s),
+WITH known(probe, pat, k) AS (VALUES {rows}), rules(i, rule, license, n, seq) AS (VALUES {rules}),
+texts AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(regexp_replace(lower(text), '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+') AS fs FROM documents WHERE regexp_matches(lower(text), {q(GATE)})),
+own AS (SELECT r, doc_id, array_to_string(list_transform(list_filter(list_transform(fs, lambda f: trim(regexp_replace(f, '[^a-z0-9]+', ' ', 'g'))), lambda f: f != ''), lambda f: '|' || f || '|'), '') AS a FROM texts),
+hit AS (SELECT r, doc_id, k, a, pat, regexp_extract_all(a, pat) AS found, string_split_regex(a, pat) AS between FROM own JOIN known ON contains(a, probe) AND regexp_matches(a, pat)),
+each_hit AS (SELECT r, doc_id, k, unnest(found) AS f, generate_subscripts(found, 1) AS nth, found, between FROM hit),
+at_hit AS (SELECT r, doc_id, k, length(f) AS size, list_sum(list_transform(between[1:nth], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:nth - 1], lambda x: length(x))), 0) AS pos FROM each_hit),
+ids AS (SELECT r, doc_id, pos, first(k ORDER BY size DESC, k) AS k FROM at_hit GROUP BY r, doc_id, pos),
 seqs AS (SELECT r, doc_id, string_agg(k, ' ' ORDER BY pos) AS sentences, ',' || string_agg(k, ',,' ORDER BY pos) || ',' AS seq FROM ids GROUP BY r, doc_id),
-hits AS (SELECT r, doc_id, license, rule, n, sentences, row_number() OVER (PARTITION BY r, license ORDER BY n DESC, i) AS best FROM seqs JOIN rules ON seq LIKE pat ESCAPE '\\')
+hits AS (SELECT r, doc_id, license, rule, n, sentences, row_number() OVER (PARTITION BY r, license ORDER BY n DESC, i) AS best FROM seqs JOIN rules ON seqs.seq LIKE rules.seq ESCAPE '\\')
 SELECT doc_id, license, rule, n::INTEGER AS n_sentences, sentences FROM hits WHERE best = 1
 """
