@@ -6,8 +6,10 @@
 3. Per source, a proportional part of every length is taken first: floor(count * budget / tokens). Then lengths are drawn in a seeded
    order, with the fractions that the floors left as weights, and give one document each while at least `table` words and one of the
    longest documents remain. What is left is fitted by bounded-knapsack dynamic programming over the remaining counts, in the same
-   order: the greatest sum that does not exceed it. Where that misses the budget, the program runs over all that the floors left.
-4. The planned number of documents of each length is chosen in the order of a seeded hash.
+   order: the greatest sum that does not exceed it. Where that misses the budget by the lengths' common divisor or more, less is drawn and
+   the program runs over 16 times as many words, in the end over all that the floors left: so the sum is the greatest that there is.
+4. The planned number of documents of each length is chosen in the order of a seeded hash: counts by ranges of hashes tell which ranges are taken
+   whole, and only the documents of the range in which a plan ends are ranked. No length or source is ever gathered in a task.
 """
 
 from __future__ import annotations
@@ -17,12 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
+
+#: Ranges of hashes by which documents are counted: 2 to the power of this.
+BITS = 12
 
 
 def length() -> "F.Column":
     """Words between white space: of a null or blank text, 0."""
-    return F.expr("coalesce(size(filter(split(text, '\\\\s+'), w -> w != '')), 0)")
+    return F.expr(r"coalesce(if(text = '', 0, size(split(text, '\\s+', -1)) - cast(text rlike '^\\s' as int) - cast(text rlike '\\s\\z' as int)), 0)")
+
+
+def turn(seed: int) -> "F.Column":
+    """The hash by which documents have their turn: of doc_id, or where it is null, of the text."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, rest: int, order: np.ndarray) -> np.ndarray:
@@ -66,20 +76,28 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = 1 <<
     part = np.array([int(c) * budget % total / total for c in counts])
     order = np.argsort(np.random.default_rng(seed).exponential(size=len(lengths)) / np.maximum(part, 1e-12), kind="stable")
     order = order[(counts[order] > base[order]) & (lengths[order] > 0)]
-    bulk = order[: int(np.searchsorted(np.cumsum(lengths[order]), rest - max(table, int(lengths.max())), "right"))]
-    take = base.copy()
-    take[bulk] += 1
-    take += _knapsack(lengths, counts - take, budget - int((take * lengths).sum()), order)
-    if len(bulk) and int((take * lengths).sum()) < budget:
-        take = base + _knapsack(lengths, counts - base, rest, order)
-    take[lengths == 0] = 0
-    return take
-
-
-def plan_mix(docs: DataFrame, weights: dict[str, float] | None = None, share: float = 0.5, table: int = 1 << 14) -> DataFrame:
-    """(source, n_tokens, take): the plan. Weights are normalised; None gives all sources the same weight, except that they are
+    unit = int(np.gcd.reduce(lengths[order])) if len(order) else 1
+    while True:
+        bulk = order[: int(np.searchsorted(np.cumsum(lengths[order]), rest - max(table, int(lengths.max())), "right"))]
+        take = base.copy()
+        take[bulk] += 1
+        take += _knapsack(lengths, counts - take, budget - int((take * lengths).sum()), order)
+        if not len(bulk) or budget - int((take * lengths).sum()) < unit:
+            take[lengths == 0] = 0
+            return take
+        table *= 16
+
+
+def _histogram(docs: DataFrame, seed: int) -> DataFrame:
+    """(source, n_tokens, range, n), written down."""
+    own = docs.select("source", length().alias("n_tokens"), F.shiftright(turn(seed), 64 - BITS).alias("range"))
+    return cut(own.where("source is not null and n_tokens > 0").groupBy("source", "n_tokens", "range").agg(F.count("*").alias("n")))
+
+
+def plan_mix(hist: DataFrame, weights: dict[str, float] | None = None, share: float = 1.0, table: int = 1 << 14) -> DataFrame:
+    """(source, n_tokens, take): the plan for counts (source, n_tokens, n). Weights are normalised; None gives all sources the same weight, except that they are
     read from the data. A source without weight, or of null name, is not drawn from; neither are documents without a word."""
-    hist = cut(docs.select(F.col("source"), length().alias("n_tokens")).where("source is not null and n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
+    hist = hist.groupBy("source", "n_tokens").agg(F.sum("n").alias("n"))
     totals = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"))
     if weights is None:
         part = totals.withColumn("w", F.lit(1.0))
@@ -99,21 +117,21 @@ def plan_mix(docs: DataFrame, weights: dict[str, float] | None = None, share: fl
     return hist.join(budgets, "source").groupBy("source").applyInPandas(plan, "source string, n_tokens int, take long")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, share: float = 0.5, seed: int = 17, whole_rows: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, share: float = 1.0, seed: int = 17, whole_rows: bool = False) -> DataFrame:
     """The chosen documents: (doc_id, source, n_tokens), or with `whole_rows` all columns of `docs`.
 
-    Within a source and length, documents are taken in the order of xxhash64(doc_id, seed), then doc_id, then text; of repeated rows
-    as many are taken as the plan has places. A null doc_id is hashed like any value. Null sources and texts without a word
-    are never chosen. An empty table gives an empty result. Other columns, whatever their names, only pass through.
+    Within a source and length, documents are taken in the order of xxhash64(doc_id, seed), of a null doc_id xxhash64(text, seed), then doc_id, then
+    text; of repeated rows as many are taken as the plan has places. Null sources and texts without a word are never chosen. An empty
+    table gives an empty result. Other columns, whatever their names, only pass through.
     """
     keep = docs.columns if whole_rows else ["doc_id", "source"]
-    plan = cut(plan_mix(docs, weights, share)).select(F.col("source").alias("__gl_source"), F.col("n_tokens").alias("__gl_len"), F.col("take").alias("__gl_take"))
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("__gl_row"), F.col("source").alias("__gl_src"), length().alias("__gl_n"), F.col("doc_id").alias("__gl_id"), F.xxhash64("text").alias("__gl_text"))
-    turn = Window.partitionBy("__gl_src", "__gl_n").orderBy(F.xxhash64("__gl_id", F.lit(seed)), "__gl_id", "__gl_text")
-    picked = (
-        own.where("__gl_src is not null and __gl_n > 0")
-        .withColumn("__gl_rank", F.row_number().over(turn))
-        .join(plan, (F.col("__gl_src") == F.col("__gl_source")) & (F.col("__gl_n") == F.col("__gl_len")))
-        .where("__gl_rank <= __gl_take")
-    )
+    hist = _histogram(docs, seed)
+    ranges = Window.partitionBy("source", "n_tokens").orderBy("range")  # at most 2 ** BITS rows of counts
+    reached = hist.join(plan_mix(hist, weights, share), ["source", "n_tokens"]).withColumn("upto", F.sum("n").over(ranges))
+    last = cut(reached.where("upto >= take and upto - n < take").select(F.col("source").alias("__gl_source"), F.col("n_tokens").alias("__gl_len"), F.col("range").alias("__gl_last"), (F.col("take") - F.col("upto") + F.col("n")).alias("__gl_take")))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("__gl_row"), F.col("source").alias("__gl_src"), length().alias("__gl_n"), F.col("doc_id").alias("__gl_id"), turn(seed).alias("__gl_turn"), F.xxhash64("text").alias("__gl_text"))
+    placed = own.join(small(last), (F.col("__gl_src") == F.col("__gl_source")) & (F.col("__gl_n") == F.col("__gl_len"))).withColumn("__gl_range", F.shiftright("__gl_turn", 64 - BITS))
+    order = Window.partitionBy("__gl_src", "__gl_n").orderBy("__gl_turn", "__gl_id", "__gl_text")
+    ranked = placed.where("__gl_range = __gl_last").withColumn("__gl_rank", F.row_number().over(order)).where("__gl_rank <= __gl_take").drop("__gl_rank")
+    picked = placed.where("__gl_range < __gl_last").unionByName(ranked)
     return picked.select("__gl_row.*") if whole_rows else picked.select("__gl_row.doc_id", "__gl_row.source", F.col("__gl_n").alias("n_tokens"))

@@ -1,10 +1,11 @@
 import itertools
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from gridloom.llm.mixing import fit, mix
+from gridloom.llm.mixing import fit, length, mix
 
 
 def best(lengths, counts, budget):
@@ -50,7 +51,7 @@ def test_shares(spark, data, weights):
         got[r.source] += r.n_tokens
     assert set(got) == set(w)
     for k, v in w.items():
-        want = int(least * v * 0.5 + 1e-6)
+        want = int(least * v + 1e-6)
         assert want - 60 <= got[k] <= want
     assert len({r.doc_id for r in rows}) == len(rows)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mix(docs.repartition(3), weights).collect()))
@@ -77,3 +78,40 @@ def test_all_lengths_share_the_budget():
     assert (take <= counts).all()
     mean, got = (lengths * counts).sum() / counts.sum(), budget / take.sum()
     assert 0.75 * mean < got < 1.25 * mean
+
+
+def test_remainders_above_the_table_are_fitted_exactly():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lengths = np.unique(rng.integers(3000, 20_000, 8))
+        counts = rng.integers(1, 3, len(lengths))
+        budget = int((lengths * counts).sum() * rng.uniform(0.2, 0.9))
+        got = [int((fit(lengths, counts, budget, table) * lengths).sum()) for table in (1, 1 << 14, 1 << 22)]
+        total = int((lengths * counts).sum())
+        base = np.array([int(c) * budget // total for c in counts])
+        want = int((base * lengths).sum()) + best(lengths, counts - base, budget - int((base * lengths).sum()))
+        assert got == [want] * 3
+
+
+def test_lengths(spark):
+    texts = ["", " ", "a", " a", "a ", "\ta\r\n b\n", "a\n\nb", "\n", "a  ", None, "x" * 5]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.n for r in df.select(length().alias("n")).collect()] == [len(re.findall("[^ \t\n\x0b\f\r]+", t or "")) for t in texts]
+
+
+def test_ranges_take_what_a_rank_would(spark):
+    """Against ranking all documents of a source and length: many of one length, ids that are null, repeated rows."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), "a b c", "s") for i in range(3000)] + [(None, f"a b {i}", "s") for i in range(50)] + [(7, "a b c", "s")] * 5 + [(10_000 + i, "w " * int(n), "s") for i, n in enumerate(rng.integers(1, 9, 500))] + [(20_000 + i, "q r", "t") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = df.selectExpr("doc_id", "text", "source", "if(doc_id is null, xxhash64(text, 17), xxhash64(doc_id, 17)) h", "xxhash64(text) x").collect()
+    groups = {}
+    for r in hashed:
+        groups.setdefault((r.source, len(r.text.split())), []).append((r.h, -1 if r.doc_id is None else r.doc_id, r.x, r.text))
+    budget = min(sum(k * len(v) for (s, k), v in groups.items() if s == z) for z in "st")
+    want = Counter()
+    for z in "st":
+        lengths = sorted(k for s, k in groups if s == z)
+        for k, n in zip(lengths, fit(np.array(lengths), np.array([len(groups[z, k]) for k in lengths]), budget, 1 << 14), strict=True):
+            want.update((i, text) for _, i, _, text in sorted(groups[z, k])[:n])
+    assert Counter((-1 if r.doc_id is None else r.doc_id, r.text) for r in mix(df, whole_rows=True).collect()) == want
