@@ -1,15 +1,19 @@
 """Language-model scoring with Brown class-based n-grams.
 
-The `vocabulary` most frequent words are put into `classes` classes by the exchange algorithm, which moves one word at a time to the
-class that raises the bigram likelihood most; all other words share one more class, the beginning and end of a text another. The model is
-P(w | v) = P(class(w) | class(v)) * P(w | class(w)): class transitions interpolated with class frequencies, and word emissions from
-the counts of the whole corpus. Rare words' emissions come from hashed places of fixed number: a place's count over its number of
-different words. So all counts cover every word of every document, while the model that is sent to the tasks has a fixed size.
+The `core` most frequent words are put into `classes` classes by the exchange algorithm, which moves one word at a time to the class that
+raises the bigram likelihood most. Every other word of the corpus, however rare, then makes one exchange move too: from its bigram counts with the core's
+words to the class that raises the likelihood most, the core's table of class bigrams given. The model is
+P(w | v) = P(class(w) | class(v)) * P(w | class(w)): class transitions interpolated with class frequencies, and word emissions from the
+counts of all words. Beginning and end of a text are a class of their own.
+
+Texts are coded once, as numbers of their chunk's different words, and written down. The table of words grows with the corpus: it is never collected
+or sent to tasks, but joined with the different words of each chunk. Only the core's bigram counts and the class bigrams meet on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .text import Chunk, pieces
 
-VOCABULARY, CLASSES, PLACES = 2048, 64, 1 << 16
+CORE, CLASSES = 2048, 64
+_CODED = "chunk long, ids binary, known binary, ends binary, codes binary, words binary"
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -64,45 +69,81 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, clas
     return of
 
 
+@dataclass
+class Coded:
+    """Some texts as codes of `words` (hashes): text i has codes[ends[i]:ends[i + 1]]; its id is ids[i] where known[i]."""
+
+    chunk: int
+    ids: np.ndarray
+    known: np.ndarray
+    ends: np.ndarray
+    codes: np.ndarray
+    words: np.ndarray
+
+    def framed(self, symbols: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words in order, each text between two edges, and which neighbours belong to one text."""
+        n = len(self.ids)
+        seq = np.full(len(self.codes) + 2 * n, edge, np.int64)
+        doc = np.repeat(np.arange(n), np.diff(self.ends))
+        seq[np.arange(len(self.codes)) + 2 * doc + 1] = symbols[self.codes] if len(self.codes) else 0
+        inside = np.ones(max(0, len(seq) - 1), bool)
+        inside[(self.ends[1:] + np.arange(1, n + 1) * 2)[:-1] - 1] = False
+        return seq, inside
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """The size, then the bytes compressed."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True), kind)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[Coded]:
+    for i in range(batch.num_rows):
+        cell = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
+        yield Coded(cell("chunk"), np.frombuffer(cell("ids"), np.int64), np.frombuffer(cell("known"), np.uint8) > 0, np.frombuffer(cell("ends"), np.int64), _unpack(cell("codes"), np.uint32), np.frombuffer(cell("words"), np.uint64))
+
+
+def encode(docs: DataFrame) -> DataFrame:
+    """The texts of `docs` in chunks, written down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in pieces(batch):
+                c = Chunk(part.column("text"))
+                used = np.unique(c.codes)
+                place = np.zeros(len(c.words) + 1, np.uint32)
+                place[used] = np.arange(len(used))
+                ids = part.column("doc_id")
+                row = [number, ids.fill_null(0).to_numpy().tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), c.offsets.tobytes(), _pack(place[c.codes]), c.word_hashes[used].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(row)], ["chunk", "ids", "known", "ends", "codes", "words"])
+                number += 1
+
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _CODED))
+
+
+@dataclass
 class Model:
-    """Arrays of fixed size: hashes of the frequent words (ascending) with their classes and emissions, emissions of rare words' places, transitions."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, of: np.ndarray, place_n: np.ndarray, place_types: np.ndarray, pairs: np.ndarray, mixing: float = 0.1):
-        classes = int(of.max()) + 1 if len(of) else 0
-        self.rare, self.edge = classes, classes + 1
-        order = np.argsort(hashes)
-        self.hashes, self.of = hashes[order], of[order]
-        # pairs: bigram counts of (class, class), rows and columns rare and edge included
-        total = max(1.0, pairs.sum())
-        uni = (pairs.sum(0) + 1) / (total + len(pairs))
-        rows = pairs.sum(1, keepdims=True)
-        self.trans = np.log((1 - mixing) * pairs / np.maximum(rows, 1) + np.where(rows > 0, mixing, 1.0) * uni)
-        size = np.bincount(of, counts, classes)
-        self.emit = np.log(counts[order] / size[of[order]]) if len(of) else np.empty(0)
-        # of rare words: add-one over places, then in equal parts to a place's words (an unseen place counts one word)
-        self.place = np.log((place_n + 1) / (place_n.sum() + len(place_n)) / np.maximum(1, place_types))
-
-    def symbols(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log emission of words by their hashes."""
-        if not len(self.hashes):
-            return np.full(len(h), self.rare), self.place[(h % np.uint64(len(self.place))).astype(np.int64)]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[at] == h
-        return np.where(known, self.of[at], self.rare), np.where(known, self.emit[at], self.place[(h % np.uint64(len(self.place))).astype(np.int64)])
-
-    def score(self, chunk: Chunk) -> np.ndarray:
-        """Log probability of each text, its end included."""
-        cls, emit = self.symbols(chunk.word_hashes)
-        seq, e = cls[chunk.codes], emit[chunk.codes]
-        n = len(chunk.offsets) - 1
-        before = np.concatenate(([self.edge], seq[:-1])) if len(seq) else seq
-        has = np.diff(chunk.offsets) > 0
-        before[chunk.offsets[:-1][has]] = self.edge
-        logp = self.trans[before, seq] + e
-        out = np.bincount(chunk.doc, logp, n) if len(seq) else np.zeros(n)
-        last = np.full(n, self.edge)
-        last[has] = seq[chunk.offsets[1:][has] - 1]
-        return out + self.trans[last, self.edge]
+    """`words` (key, cls, n): every word's hash, class and count. `core`: ascending hashes, classes and counts of the core. `size`: words of each class.
+    `trans`: log probabilities of class transitions; after the classes come one of unknown words, which no training text has, and the edge."""
+
+    words: DataFrame
+    core: tuple[np.ndarray, np.ndarray, np.ndarray]
+    size: np.ndarray
+    types: int
+    trans: np.ndarray
+
+
+def transitions(pairs: np.ndarray, mixing: float = 0.1) -> np.ndarray:
+    total, rows = max(1.0, pairs.sum()), pairs.sum(1, keepdims=True)
+    uni = (pairs.sum(0) + 1) / (total + len(pairs))
+    return np.log((1 - mixing) * pairs / np.maximum(rows, 1) + np.where(rows > 0, mixing, 1.0) * uni)
 
 
 def _sum_pairs(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +153,13 @@ def _sum_pairs(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.nda
 
 
 def _counted(batches: Iterator[pa.RecordBatch], count, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """(key, n) sums of what `count` gives for the chunks of a task, sent whenever `flush` different keys are held."""
+    """(key, n) sums of what `count` gives for the coded texts of a task, sent whenever `flush` different keys are held."""
     keys: list[np.ndarray] = []
     sums: list[np.ndarray] = []
     held = 0
     for batch in batches:
-        for part in pieces(batch):
-            k, n = count(Chunk(part.column("text")))
+        for text in _texts(batch):
+            k, n = count(text)
             keys.append(k)
             sums.append(n)
             held += len(k)
@@ -133,74 +174,194 @@ def _counted(batches: Iterator[pa.RecordBatch], count, flush: int = 2_000_000) -
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
 
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, places: int = PLACES) -> Model:
-    """The model of all texts of `docs`. Without a word, it has no class but those of rare words and of edges."""
-    texts = docs.select("text")
+def _find(sorted_hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of words among ascending hashes."""
+    if not len(sorted_hashes):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    at = np.minimum(np.searchsorted(sorted_hashes, words), len(sorted_hashes) - 1)
+    return at, sorted_hashes[at] == words
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-            n = np.bincount(c.codes, minlength=len(c.words))
-            return c.word_hashes[n > 0].view(np.int64), n[n > 0]
 
-        return _counted(batches, one)
+def _neighbours(batches: Iterator[pa.RecordBatch], known: np.ndarray, cls: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """(key, slot, n): how often a word outside the core comes before the core's words of class slot, or after those of class slot - classes."""
 
-    unigrams = cut(texts.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    top = unigrams.orderBy(F.desc("n"), "key").limit(vocabulary).toPandas()
-    hashes, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
-    size = len(hashes)
-    sorted_at = np.argsort(hashes)
-    shared = docs.sparkSession.sparkContext.broadcast((hashes[sorted_at], sorted_at))
-    edge = size + 1
+    def one(c: Coded) -> tuple[np.ndarray, np.ndarray]:
+        at, there = _find(known, c.words)
+        # symbols: a core word its class, any other one classes + 1 + its place; an edge is neither
+        seq, inside = c.framed(np.where(there, cls[at] if len(cls) else 0, classes + 1 + np.arange(len(c.words))), classes)
+        left, right = seq[:-1][inside], seq[1:][inside]
+        before, after = (left > classes) & (right < classes), (right > classes) & (left < classes)
+        key = np.concatenate(((left[before] - classes - 1) * 2 * classes + right[before], (right[after] - classes - 1) * 2 * classes + classes + left[after]))
+        return np.unique(key, return_counts=True)
+
+    for batch in batches:
+        for text in _texts(batch):
+            key, n = one(text)
+            yield pa.RecordBatch.from_arrays([pa.array(text.words[key // (2 * classes)].view(np.int64)), pa.array((key % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "slot", "n"])
+
+
+def place_words(word: np.ndarray, slot: np.ndarray, n: np.ndarray, words: int, table: np.ndarray) -> np.ndarray:
+    """The class of each of `words` words, from counts n of (word, slot), ascending by word: where it raises the likelihood most, the class bigrams `table` given. Ties: the lowest class."""
+    classes = len(table)
+    gain, rows, cols = np.zeros((words, classes)), table.sum(1), table.sum(0)
+    before = slot < classes
+    for own, t in ((before, table), (~before, table.T)):
+        w, d, k = word[own], slot[own] % classes, n[own].astype(np.float64)
+        for a in range(0, len(w), 1 << 15):
+            part = slice(a, a + (1 << 15))
+            add = t[:, d[part]].T
+            value = _xlogx(add + k[part, None]) - _xlogx(add)
+            first = np.flatnonzero(np.diff(w[part], prepend=-1))
+            gain[w[part][first]] += np.add.reduceat(value, first, axis=0)
+    # into its own class a word brings both counts to one cell
+    out, into = np.zeros((words, classes)), np.zeros((words, classes))
+    np.add.at(out, (word[before], slot[before]), n[before])
+    np.add.at(into, (word[~before], slot[~before] - classes), n[~before])
+    diagonal = np.diag(table)[None, :]
+    gain += _xlogx(diagonal + out + into) + _xlogx(diagonal) - _xlogx(diagonal + out) - _xlogx(diagonal + into)
+    o, i = out.sum(1, keepdims=True), into.sum(1, keepdims=True)
+    gain -= _xlogx(rows[None, :] + o) - _xlogx(rows)[None, :] + _xlogx(cols[None, :] + i) - _xlogx(cols)[None, :]
+    return np.argmax(gain - 1e-9 * np.arange(classes), 1)
+
+
+def _placed(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, cls) from (key, slot, n) that come sorted by key; a key may run over batches."""
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, slot, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        word = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        cell, at = np.unique(word * (2 * len(table)) + slot, return_inverse=True)
+        sums = np.bincount(at, n)
+        for a in range(0, len(first), 8192):
+            low, high = np.searchsorted(cell, [a * 2 * len(table), (a + 8192) * 2 * len(table)])
+            some = min(8192, len(first) - a)
+            yield pa.RecordBatch.from_arrays([pa.array(key[first[a : a + some]]), pa.array(place_words(cell[low:high] // (2 * len(table)) - a, cell[low:high] % (2 * len(table)), sums[low:high], some, table).astype(np.int32))], ["key", "cls"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        start = int(np.flatnonzero(key == key[-1])[0])
+        if start and key[start - 1] == key[-1]:
+            raise RuntimeError("keys must come sorted")
+        if start == 0 and held and held[-1].column(0)[-1].as_py() == key[0]:
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, start))
+        if any(h.num_rows for h in held):
+            yield from flush([h for h in held if h.num_rows])
+        held = [batch.slice(start)]
+    if held:
+        yield from flush(held)
+
+
+def lookup(coded: DataFrame, model_words: DataFrame, core: tuple[np.ndarray, np.ndarray, np.ndarray], unknown: int) -> DataFrame:
+    """`coded` with the classes and counts of each chunk's words, written down; a word that the model doesn't know has the class `unknown` and count 0."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in _texts(batch):
+                rest = np.flatnonzero(~_find(core[0], c.words)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), c.chunk)), pa.array(rest.astype(np.int32)), pa.array(c.words[rest].view(np.int64))], ["chunk", "place", "key"])
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.slice(0, 1).to_batches()[0]
+        c = next(_texts(row))
+        at, there = _find(core[0], c.words)
+        cls, n = (np.where(there, x[at], y) if len(x) else np.full(len(c.words), y) for x, y in ((core[1], unknown), (core[2], 0)))
+        place = right.column("place").to_numpy()
+        cls[place], n[place] = right.column("cls").to_numpy(), right.column("n").to_numpy()
+        return pa.Table.from_batches([row]).append_column("cls", pa.array([_pack(cls.astype(np.int32))], pa.binary())).append_column("n", pa.array([_pack(n.astype(np.int64))], pa.binary()))
+
+    found = coded.mapInArrow(ask, "chunk long, place int, key long").join(model_words, "key").select("chunk", "place", "cls", "n")
+    return cut(coded.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(join, f"{_CODED}, cls binary, n binary"))
 
-    # place = hash modulo a power of two: its low bits, of a signed number too
-    frequent = F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in hashes.view(np.int64)], "k long"))
-    rare = unigrams.join(frequent, unigrams["key"] == frequent["k"], "left_anti").groupBy(F.col("key").bitwiseAND(F.lit(places - 1)).alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
-    place_n, place_types = np.zeros(places), np.zeros(places)
-    place_n[rare["place"]], place_types[rare["place"]] = rare["n"], rare["types"]
+
+def fit(docs: DataFrame, core: int = CORE, classes: int = CLASSES, coded: DataFrame | None = None) -> tuple[Model, DataFrame]:
+    """(model, the texts with their classes) of all texts of `docs`."""
+    spark, coded = docs.sparkSession, encode(docs) if coded is None else coded
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(batches, lambda c: (c.words.view(np.int64), np.bincount(c.codes, minlength=len(c.words))))
+
+    unigrams = cut(coded.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    top = unigrams.orderBy(F.desc("n"), "key").limit(core).toPandas()
+    hashes, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    size = len(hashes)
+    order = np.argsort(hashes)
+    known = hashes[order]
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
-
-        def one(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-            h = c.word_hashes
-            at = np.minimum(np.searchsorted(known, h), max(0, size - 1))
-            sym = np.where(known[at] == h, rank[at], size) if size else np.full(len(h), size)
-            n = len(c.offsets) - 1
-            ends = c.offsets[1:] + np.arange(1, n + 1) * 2  # every text is written edge, words, edge
-            seq = np.full(len(c.codes) + 2 * n, edge, np.int64)
-            seq[np.arange(len(c.codes)) + 2 * c.doc + 1] = sym[c.codes] if len(c.codes) else 0
-            inside = np.ones(len(seq) - 1, bool)
-            inside[ends[:-1] - 1] = False
-            return np.unique((seq[:-1] * (size + 2) + seq[1:])[inside], return_counts=True)
+        def one(c: Coded) -> tuple[np.ndarray, np.ndarray]:
+            at, there = _find(known, c.words)
+            seq, inside = c.framed(np.where(there, order[at] if size else 0, size), size)
+            left, right = seq[:-1][inside], seq[1:][inside]
+            both = (left < size) & (right < size)
+            return np.unique(left[both] * (size + 1) + right[both], return_counts=True)
 
         return _counted(batches, one)
 
-    table = texts.mapInArrow(bigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    table = coded.mapInArrow(bigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")
     key, n = table.column("key").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.float64)
-    order = np.argsort(key)
-    left, right, n = key[order] // (size + 2), key[order] % (size + 2), n[order]
-    inner = (left < size) & (right < size)
-    of = exchange(left[inner], right[inner], n[inner], size, classes) if size else np.empty(0, np.int64)
-    top_class = int(of.max()) + 1 if size else 0
-    to = np.concatenate((of, [top_class, top_class + 1])).astype(np.int64)
-    pairs = np.bincount(to[left] * (top_class + 2) + to[right], n, (top_class + 2) ** 2).reshape(top_class + 2, -1)
-    return Model(hashes, counts, of, place_n, place_types, pairs)
+    of = exchange(key // (size + 1), key % (size + 1), n, size, classes) if size else np.empty(0, np.int64)
+    k = int(of.max()) + 1 if size else 1
+    cells = np.bincount(of[key // (size + 1)] * k + of[key % (size + 1)], n, k * k).reshape(k, k) if size else np.zeros((1, 1))
+    own = (known, of[order], counts[order])
+    shared = spark.sparkContext.broadcast((own, cells))
+    slots = coded.mapInArrow(lambda b: _neighbours(b, shared.value[0][0], shared.value[0][1], k), "key long, slot int, n long")
+    rest = slots.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _placed(b, shared.value[1]), "key long, cls int")
+    # a word that is never next to one of the core goes to the class that the core's words are in most
+    usual = int(np.argmax(np.bincount(of, counts, k))) if size else 0
+    frequent = F.broadcast(spark.createDataFrame([(int(h), int(c)) for h, c in zip(hashes.view(np.int64), of, strict=True)], "key long, core int"))
+    table = cut(unigrams.join(frequent, "key", "left").join(rest, "key", "left").select("key", F.coalesce("core", "cls", F.lit(usual)).alias("cls"), "n"))
+    sizes = {r.cls: r.n for r in table.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
+    named = lookup(coded, table, own, k)
+
+    def class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 2) ** 2, np.int64)
+        for batch in batches:
+            for i, c in enumerate(_texts(batch)):
+                seq, inside = c.framed(_unpack(batch.column("cls")[i].as_py(), np.int32), k + 1)
+                total += np.bincount((seq[:-1] * (k + 2) + seq[1:])[inside], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["key", "n"])
+
+    pairs = np.zeros((k + 2) ** 2)
+    for r in named.mapInArrow(class_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        pairs[r.key] = r.n
+    return Model(table, own, np.array([sizes.get(c, 0) for c in range(k)], np.float64), int(table.count()), transitions(pairs.reshape(k + 2, k + 2))), named
+
 
+def score(c: Coded, cls: np.ndarray, n: np.ndarray, size: np.ndarray, types: int, trans: np.ndarray) -> np.ndarray:
+    """Log probability of each text, its end included. An unknown word's emission is that of one among all words and itself."""
+    unknown = len(size)
+    emit = np.where(cls < unknown, np.log(np.maximum(n, 1) / np.maximum(np.append(size, 1)[cls], 1)), -np.log(types + 1))
+    seq, inside = c.framed(cls, unknown + 1)
+    doc = np.repeat(np.arange(len(c.ids)), np.diff(c.ends) + 2)
+    out = np.bincount(doc[:-1][inside], trans[seq[:-1][inside], seq[1:][inside]], len(c.ids)) if len(c.ids) else np.empty(0)
+    return out + np.bincount(np.repeat(np.arange(len(c.ids)), np.diff(c.ends)), emit[c.codes] if len(c.codes) else np.empty(0), len(c.ids))
 
-def perplexity(docs: DataFrame, model: Model | None = None) -> DataFrame:
+
+def perplexity(docs: DataFrame, model: Model | None = None, core: int = CORE, classes: int = CLASSES) -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) for every row, by a model of these same documents unless one is given.
 
     perplexity = exp(-log_prob / (n_words + 1)): the end of a text is predicted too. A null, empty or blank text has 0 words and
     the perplexity of an end at once. Repeated rows are counted and scored as often as they occur. A null doc_id stays null. Other
     columns are ignored; an empty table gives an empty result.
     """
-    model = model or fit(docs)
+    if model is None:
+        model, named = fit(docs, core, classes)
+    else:
+        named = lookup(encode(docs), model.words, model.core, len(model.size))
+    size, types, trans = model.size, model.types, model.trans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
-                chunk = Chunk(part.column("text"))
-                logp = model.score(chunk)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(chunk.counts.astype(np.int64)), pa.array(np.round(logp, 4)), pa.array(np.round(np.exp(-logp / (chunk.counts + 1)), 4))], ["doc_id", "n_words", "log_prob", "perplexity"])
+            for i, c in enumerate(_texts(batch)):
+                cls, n = _unpack(batch.column("cls")[i].as_py(), np.int32), _unpack(batch.column("n")[i].as_py(), np.int64)
+                logp, words = score(c, cls, n, size, types, trans), np.diff(c.ends)
+                yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=~c.known), pa.array(words), pa.array(np.round(logp, 4)), pa.array(np.round(np.exp(-logp / (words + 1)), 4))], ["doc_id", "n_words", "log_prob", "perplexity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
+    return named.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")

@@ -1,10 +1,9 @@
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 
 from gridloom.llm import class_lm as L
-from gridloom.llm.text import Chunk, hash_strings, words_of
+from gridloom.llm.text import hash_strings, words_of
 
 
 def objective(of, pairs):
@@ -38,73 +37,117 @@ def test_exchange_ends_where_no_single_move_helps():
     assert len({tuple(sorted(np.flatnonzero(of == c))) for c in range(3)} & {tuple(np.flatnonzero(truth == c)) for c in range(3)}) == 3
 
 
-def brute(docs, model, vocabulary, places, classes):
-    """Log probabilities by plain counting, with the model's classes."""
-    count = Counter(w for d in docs for w in words_of(d))
-    h = {w: int(hash_strings([w])[0]) for w in count}
-    signed = lambda v: v - 2**64 if v >= 2**63 else v
-    top = sorted(count, key=lambda w: (-count[w], signed(h[w])))[:vocabulary]
-    of = {w: int(model.of[np.flatnonzero(model.hashes == np.uint64(h[w]))[0]]) for w in top}
-    cls = lambda w: of.get(w, model.rare)
-    pairs, place, types = Counter(), Counter(), Counter()
+def brute(docs, core, classes, count, signed):
+    """Log probabilities by plain counting: the core's classes by `exchange`, every other word's by trying all."""
+    top = sorted(count, key=lambda w: (-count[w], signed(w)))[:core]
+    rank = {w: i for i, w in enumerate(top)}
+    inner = Counter()
     for d in docs:
-        seq = [model.edge, *map(cls, words_of(d)), model.edge]
-        pairs.update(zip(seq, seq[1:], strict=False))
+        w = words_of(d)
+        inner.update((rank[a], rank[b]) for a, b in zip(w, w[1:], strict=False) if a in rank and b in rank)
+    left, right, n = (np.array(x) for x in zip(*[(a, b, k) for (a, b), k in sorted(inner.items())], strict=True))
+    of = dict(zip(top, L.exchange(left, right, n, len(top), classes).tolist(), strict=True))
+    k = max(of.values()) + 1
+    table = Counter()
+    for (a, b), v in inner.items():
+        table[of[top[a]], of[top[b]]] += v
+
+    def value(t):
+        f = lambda v: v * np.log(v) if v else 0.0
+        rows, cols = Counter(), Counter()
+        for (a, b), v in t.items():
+            rows[a] += v
+            cols[b] += v
+        return sum(map(f, t.values())) - sum(map(f, rows.values())) - sum(map(f, cols.values()))
+
+    usual = max(range(k), key=lambda c: (sum(count[w] for w in top if of[w] == c), -c))
+    after, before = {}, {}
+    for d in docs:
+        w = words_of(d)
+        for a, b in zip(w, w[1:], strict=False):
+            if a not in rank and b in rank:
+                after.setdefault(a, Counter())[of[b]] += 1
+            if a in rank and b not in rank:
+                before.setdefault(b, Counter())[of[a]] += 1
+    cls = dict(of)
     for w in count:
-        if w not in of:
-            place[h[w] % places] += count[w]
-            types[h[w] % places] += 1
-    size, k = Counter(), model.edge + 1
-    for w in top:
-        size[of[w]] += count[w]
-    total = sum(pairs.values())
-    col, row = Counter(), Counter()
+        if w not in rank:
+            if w not in after and w not in before:
+                cls[w] = usual
+                continue
+            gains = []
+            for c in range(k):
+                t = Counter(table)
+                for d, v in after.get(w, {}).items():
+                    t[c, d] += v
+                for d, v in before.get(w, {}).items():
+                    t[d, c] += v
+                gains.append(value(t))
+            cls[w] = next(c for c in range(k) if gains[c] >= max(gains) - 1e-7)
+    edge, pairs, size = k + 1, Counter(), Counter()
+    for d in docs:
+        seq = [edge, *(cls[w] for w in words_of(d)), edge]
+        pairs.update(zip(seq, seq[1:], strict=False))
+    for w, v in count.items():
+        size[cls[w]] += v
+    total, row, col = sum(pairs.values()), Counter(), Counter()
     for (a, b), v in pairs.items():
         row[a] += v
         col[b] += v
     out = []
     for d in docs:
-        words, lp, before = words_of(d), 0.0, model.edge
-        for w in [*words, None]:
-            c = model.edge if w is None else cls(w)
-            uni = (col[c] + 1) / (total + k)
-            lp += np.log(0.9 * pairs[before, c] / row[before] + 0.1 * uni if row[before] else uni)
-            if w in of:
-                lp += np.log(count[w] / size[c])
-            elif w is not None:
-                p = h[w] % places
-                lp += np.log((place[p] + 1) / (sum(place.values()) + places) / max(1, types[p]))
-            before = c
+        lp, last = 0.0, edge
+        for w in [*words_of(d), None]:
+            c = edge if w is None else cls[w]
+            uni = (col[c] + 1) / (total + k + 2)
+            lp += np.log(0.9 * pairs[last, c] / row[last] + 0.1 * uni if row[last] else uni) + (0 if w is None else np.log(count[w] / size[c]))
+            last = c
         out.append(lp)
-    return out
+    return out, cls
 
 
 def test_scores_against_plain_counting(spark):
     rng = np.random.default_rng(1)
-    docs = [" ".join(f"w{x}" for x in rng.zipf(1.6, rng.integers(0, 30)) % 90) for _ in range(120)] + [None, ""]
+    docs = [" ".join(f"w{x}" for x in rng.zipf(1.6, rng.integers(0, 30)) % 90) for _ in range(120)] + [None, "", "alone"]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
-    model = L.fit(df, vocabulary=20, classes=5, places=16)
-    got = {r.doc_id: r.log_prob for r in L.perplexity(df, model).collect()}
-    want = brute(docs, model, 20, 16, 5)
+    count = Counter(w for d in docs for w in words_of(d))
+    h = {w: int(hash_strings([w]).view(np.int64)[0]) for w in count}
+    want, cls = brute(docs, 20, 5, count, h.get)
+    model, _ = L.fit(df, 20, 5)
+    assert {r.key: (r.cls, r.n) for r in model.words.collect()} == {h[w]: (cls[w], n) for w, n in count.items()}
+    got = {r.doc_id: r.log_prob for r in L.perplexity(df, core=20, classes=5).collect()}
     assert all(abs(got[i] - w) < 1e-3 for i, w in enumerate(want))
+    again = {r.doc_id: r.log_prob for r in L.perplexity(df, model).collect()}
+    assert again == got
 
 
 def test_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(1, "a b a c a b d e f g h"), (2, "b a b a q r s a")], "doc_id long, text string")
-    m = L.fit(df, vocabulary=3, classes=2, places=64)
+    m, _ = L.fit(df, 3, 2)
     assert np.allclose(np.exp(m.trans).sum(1), 1)
-    for c in set(m.of.tolist()):
-        assert np.isclose(np.exp(m.emit[m.of == c]).sum(), 1)
+    n = Counter()
+    for r in m.words.collect():
+        n[r.cls] += r.n
+    assert [n[c] for c in range(len(m.size))] == m.size.tolist()
+    assert m.types == 12 - 1
 
 
-def test_order_matters(spark, data):
+def test_unknown_words_and_order(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    m = L.fit(docs)
+    m, _ = L.fit(docs)
     text = docs.where("lang = 'en' and n_chars > 2000").orderBy("doc_id").first().text
     words = words_of(text)
-    mixed = np.random.default_rng(0).permutation([f"zq{i}" for i in range(len(words))])
-    s = m.score(Chunk(pa.array([text, " ".join(mixed)])))
-    assert s[0] > s[1]
+    strange = [f"zq{i}" for i in range(len(words))]
+    mixed = np.random.default_rng(0).permutation(words)
+    s = {r.doc_id: r.log_prob for r in L.perplexity(spark.createDataFrame([(0, text), (1, " ".join(mixed)), (2, " ".join(strange))], "doc_id long, text string"), m).collect()}
+    assert s[0] > s[1] > s[2]
+
+
+def test_classes_of_rare_words_help(spark, data):
+    """Against one class for all words outside the core: the classes lower the perplexity."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    many, one = (np.array([r.log_prob for r in L.perplexity(docs, core=500, classes=c).orderBy("doc_id").collect()]).sum() for c in (32, 1))
+    assert many > one
 
 
 def test_awkward(awkward, nothing):
