@@ -3,7 +3,10 @@
 One pass hashes all windows of `window` words. The hashes travel to the owners of their ranges as packed arrays (8 bytes a
 window, with positions), are counted there, and the positions of those that occur at least twice anywhere travel back to their
 documents, where touching and overlapping windows merge into maximal intervals. Nothing is sampled, and no window is left
-out; a hot hash is as cheap as any, since a range holds its occurrences as an array and no pairs are made.
+out. A chunk of documents sends a hash once, however often it holds it; the positions of one that it holds twice don't leave
+it. So of a passage that a third of all documents share, its range gets as many hashes as there are chunks, and no pairs are made.
+
+Windows of one 64-bit hash count as equal: among n different windows, n^2 / 2^65 pairs are expected to be so wrongly (.03 for a billion, 3 * 10^6 for 10^13).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ _WIRE = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binar
 _NAMES = ["bucket", "chunk", "kind", "a", "b", "c", "d"]
 
 
-def _spread(chunk: int, at: np.ndarray) -> tuple[bytes, bytes]:
+def _spread(at: np.ndarray) -> tuple[bytes, bytes]:
     """Ascending positions as the low and high halves of their differences: the high ones are nearly all 0 and compress away."""
     step = np.diff(at, prepend=0).astype(np.uint32)
     return (step & 0xFFFF).astype(np.uint16).tobytes(), (step >> 16).astype(np.uint16).tobytes()
@@ -60,16 +63,26 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
                 ends = np.cumsum(full)
                 at = np.arange(total) + np.repeat(chunk.offsets[:-1] - (ends - full), full)
                 h = mix(rolling(chunk.hashes, window)[at])
-                owner = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-                order = np.argsort(owner.astype(np.uint16) if ranges <= 1 << 16 else owner.astype(np.uint32), kind="stable")
-                cuts = np.searchsorted(owner[order], np.arange(ranges + 1).astype(np.uint64))
-                h = h[order]
+                # of hashes that the chunk holds twice or more, all positions are hits, and one copy goes out without a position (kind 3)
+                by = np.argsort(h, kind="stable")
+                same = h[by][1:] == h[by][:-1]
+                again, other = np.zeros(total, bool), np.zeros(total, bool)
+                again[by[1:][same]] = again[by[:-1][same]] = True
+                other[by[1:][same]] = True
+                out = []
+                for kind, some in ((0, np.flatnonzero(~again)), (3, np.flatnonzero(again & ~other))):
+                    owner = (h[some] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                    order = some[np.argsort(owner.astype(np.uint16) if ranges <= 1 << 16 else owner.astype(np.uint32), kind="stable")]
+                    cuts = np.concatenate(([0], np.cumsum(np.bincount(owner.astype(np.int64), minlength=ranges))))
+                    out += [(b, kind, order[x:y]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False) if not part.column("doc_id").null_count else np.array([-1 if x is None else x for x in part.column("doc_id").to_pylist()], np.int64)
                 has = full > 0
                 known = np.array([x is not None for x in part.column("doc_id").to_pylist()])[has] if part.column("doc_id").null_count else np.ones(int(has.sum()), bool)
                 # a name made of all contents: it is the same in a repeated attempt, and differs where the contents differ
                 name = int(mix(np.array([np.bitwise_xor.reduce(mix(h + np.arange(total, dtype=np.uint64))) ^ np.bitwise_xor.reduce(mix(ids.astype(np.int64).view(np.uint64) + np.arange(len(ids), dtype=np.uint64)))], np.uint64)).view(np.int64)[0])
-                rows = [(int(b), name, 0, h[x:y].tobytes(), *_spread(name, order[x:y]), b"") for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                rows = [(b, name, kind, h[x].tobytes(), *(_spread(x) if kind == 0 else (b"", b"")), b"") for b, kind, x in out]
+                if again.any():
+                    rows.append((name % ranges, name, 2, b"", *_spread(np.flatnonzero(again)), b""))
                 rows.append((name % ranges, name, 1, ids[has].astype(np.int64).tobytes(), full[has].astype(np.int64).tobytes(), known.astype(np.uint8).tobytes(), b""))
                 yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], _NAMES)
 
@@ -77,11 +90,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
         """The positions of repeated hashes of one range, by chunk; the documents' rows pass through."""
         kinds = table.column("kind").to_numpy()
         own = table.filter(pa.array(kinds == 0))
-        meta = table.filter(pa.array(kinds == 1))
-        out = [(0, m["chunk"], 1, m["a"], m["b"], m["c"], b"") for m in meta.to_pylist()]
+        out = [(0, m["chunk"], m["kind"] % 2, m["a"], m["b"], m["c"], b"") for m in table.filter(pa.array((kinds == 1) | (kinds == 2))).to_pylist()]
         if own.num_rows:
             blobs = own.column("a").to_pylist()
-            h = np.frombuffer(b"".join(blobs), np.uint64)
+            held = np.frombuffer(b"".join(table.filter(pa.array(kinds == 3)).column("a").to_pylist()), np.uint64)
+            h = np.concatenate((np.frombuffer(b"".join(blobs), np.uint64), held))
             order = np.argsort(h)
             s = h[order]
             same = s[1:] == s[:-1]
@@ -91,7 +104,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
             edge = np.cumsum([0] + [len(x) // 8 for x in blobs])
             for i, (chunk, low, high) in enumerate(zip(own.column("chunk").to_pylist(), own.column("b").to_pylist(), own.column("c").to_pylist(), strict=True)):
                 if (hit := twice[edge[i] : edge[i + 1]]).any():
-                    out.append((0, chunk, 0, b"", *_spread(chunk, _gather(low, high)[hit]), b""))
+                    out.append((0, chunk, 0, b"", *_spread(_gather(low, high)[hit]), b""))
         return pa.Table.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out, strict=True) if out else [[]] * 7, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=_NAMES)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
