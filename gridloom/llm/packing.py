@@ -2,13 +2,12 @@
 
 The seeds are the documents whose doc_id is divisible by `every`, in a seeded random order. All documents lie in shards of `shard_docs`, each with
 an inverted index of its own. Document frequencies, their number and the mean length are those of the whole table. A seed's query is the whole seed; every
-seed asks every shard; its unused neighbours, best first (ties: the earlier place), are put into its window while they fit. Documents that no
-seed took are laid end to end, in the seeded order, in windows of their own. Every document's every word lands in exactly one window.
+seed asks every shard; its unused neighbours, best first (ties: the earlier place), fill its window; the last one is cut where the window ends. What no seed
+took, the rest of such documents included, is laid end to end, in the seeded order, in windows of its own. Every document's every word lands in exactly one window.
 
 The seeds' windows are those of a plain loop over the seeds. They are made in rounds: some of the next seeds are searched at once, and the driver then
-goes through them in order. A shard returns only documents that the loop can reach: a document of c words can't fit any more if the better ones of at
-most c words hold more than the room less c, as all of these would have been taken. Lists reach some windows beyond the room, so they stay
-complete while no more words of them are taken by earlier seeds of the round; at a seed that lost more, the round ends, and the next one's lists reach twice as far.
+goes through them in order. Lists reach `slack` words beyond the room, so they are complete while no more words of them are taken by earlier
+seeds of the round; at a seed that lost more, the round ends, and the next one's lists reach twice as far.
 
 Every seed is scored against every unused document, so the search grows with seeds x documents. The driver holds a byte, and tasks get a bit, for each document.
 """
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, shuffle_partitions
 from .text import Chunk, mix, pieces
 
 SHARD_DOCS, WINDOW_WORDS, EVERY = 8192, 2048, 50
@@ -32,92 +31,6 @@ SEEDS, SLACK, DENSE = 512, 4, 0.02
 K1, B = 1.2, 0.75
 
 
-class Bm25:
-    """An inverted index: postings of term t are docs[ends[t]:ends[t + 1]], with weights of the same places."""
-
-    def __init__(self, codes: np.ndarray, offsets: np.ndarray, terms: int, k1: float = 1.2, b: float = 0.75):
-        n = len(offsets) - 1
-        counts = np.diff(offsets)
-        doc = np.repeat(np.arange(n), counts)
-        key, tf = np.unique(codes.astype(np.int64) * n + doc, return_counts=True)
-        term, self.docs, self.n = key // n, key % n, n
-        self.ends = np.searchsorted(term, np.arange(terms + 1))
-        df = np.diff(self.ends)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * counts / max(1.0, counts.mean()))
-        self.weights = idf[term] * tf * (k1 + 1) / (tf + norm[self.docs])
-        order = np.lexsort((term, self.docs))
-        self.own, self.own_tf = term[order], tf[order]
-        self.own_ends = np.searchsorted(self.docs[order], np.arange(n + 1))
-
-    def scores(self, query: int) -> np.ndarray:
-        """Of all documents against document `query` as the query (a term asks as often as it occurs)."""
-        a, b = self.own_ends[query], self.own_ends[query + 1]
-        first, size = self.ends[self.own[a:b]], self.ends[self.own[a:b] + 1] - self.ends[self.own[a:b]]
-        total = int(size.sum())
-        if not total:
-            return np.zeros(self.n)
-        at = np.arange(total) + np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        return np.bincount(self.docs[at], self.weights[at] * np.repeat(self.own_tf[a:b], size), self.n)
-
-
-def pack(counts: np.ndarray, index: Bm25 | None, order: np.ndarray, window: int) -> list[list[tuple[int, int, int, float]]]:
-    """Windows of (document, start, end, score), the seed first with score 0."""
-    used, out = counts == 0, []
-    for seed in order:
-        if used[seed]:
-            continue
-        used[seed] = True
-        whole, rest = divmod(int(counts[seed]), window)
-        out += [[(int(seed), k * window, (k + 1) * window, 0.0)] for k in range(whole)]
-        if not rest:
-            continue
-        items, room = [(int(seed), whole * window, int(counts[seed]), 0.0)], window - rest
-        free = np.flatnonzero(~used & (counts <= room))
-        if len(free):
-            score = index.scores(seed)
-            free = free[score[free] > 0]
-            free = free[np.argsort(-score[free], kind="stable")]
-            while len(free):
-                fits = int(np.searchsorted(np.cumsum(counts[free]), room, "right"))
-                for d in free[:fits]:
-                    items.append((int(d), 0, int(counts[d]), float(score[d])))
-                used[free[:fits]] = True
-                room -= int(counts[free[:fits]].sum())
-                free = free[fits:]
-                free = free[counts[free] <= room]
-        out.append(items)
-    return out
-
-
-def pickable(free: np.ndarray, score: np.ndarray, counts: np.ndarray, limit: int, first: int = 512) -> np.ndarray:
-    """Of documents `free`, best score first (ties: as they come), those that a loop with `limit` words of room can reach, and some more.
-
-    One goes if its words and those of the better ones up to a level, itself no more than its words, exceed the limit. `score` goes with `free`.
-    """
-    if not len(free):
-        return free
-    own = counts[free]
-    levels = np.unique(np.quantile(own, np.concatenate((0.5 ** np.arange(12, 4, -1), np.linspace(0, 1, 17))), method="lower"))
-    level = np.searchsorted(levels, own, "right") - 1
-    kept, full, rest = [], np.zeros(len(levels), np.int64), np.arange(len(free))
-    while len(rest):
-        top, low = rest, rest[:0]
-        if len(rest) > 2 * first:
-            least = np.partition(score[rest], len(rest) - first)[len(rest) - first]
-            top, low = rest[score[rest] >= least], rest[score[rest] < least]
-        top = top[np.argsort(-score[top], kind="stable")]
-        while len(top):
-            block = top[:128]
-            sums = np.cumsum(np.where(own[block][:, None] <= levels, own[block][:, None], 0), 0)
-            kept.append(block[full[level[block]] + sums[np.arange(len(block)), level[block]] <= limit])
-            full += sums[-1]
-            top = top[128:]
-            top = top[full[level[top]] + own[top] <= limit]
-        rest = low[full[level[low]] + own[low] <= limit]
-    return free[np.concatenate(kept)]
-
-
 def _numbers(column: pa.Array, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
@@ -148,7 +61,7 @@ _SHARD = "part int, number int, size long, words long, seeds long, " + ", ".join
 
 
 def _index(shard_docs: int, every: int):
-    """Inverted indexes of runs of `shard_docs` rows of a sorted partition: postings of vocabulary[t] are docs and tfs from ends[t] to ends[t + 1]."""
+    """Inverted indexes of runs of `shard_docs` rows of the parts in a sorted partition: postings of vocabulary[t] are docs and tfs from ends[t] to ends[t + 1]."""
 
     def one(part: int, number: int, table: pa.Table) -> pa.RecordBatch:
         terms, tfs = _numbers(table.column("terms"), np.uint64), _numbers(table.column("tfs"), np.int32)
@@ -162,16 +75,22 @@ def _index(shard_docs: int, every: int):
         return pa.RecordBatch.from_arrays([*numbers, *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "number", "size", "words", "seeds", *_KINDS])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        held, rows, number, part = [], 0, 0, TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        rows, number, part = 0, 0, None
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            while rows >= shard_docs:
-                table = pa.Table.from_batches(held)
-                yield one(part, number, table.slice(0, shard_docs))
-                held, rows, number = table.slice(shard_docs).to_batches(), rows - shard_docs, number + 1
+            parts = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if int(parts[a]) != part:
+                    if rows:
+                        yield one(part, number, pa.Table.from_batches(held))
+                    held, rows, number, part = [], 0, 0, int(parts[a])
+                held.append(batch.slice(a, b - a))
+                rows += b - a
+                while rows >= shard_docs:
+                    table = pa.Table.from_batches(held)
+                    yield one(part, number, table.slice(0, shard_docs))
+                    held, rows, number = table.slice(shard_docs).to_batches(), rows - shard_docs, number + 1
         if rows:
             yield one(part, number, pa.Table.from_batches(held))
 
@@ -187,9 +106,22 @@ def _shards(batches: Iterator[pa.RecordBatch], firsts: dict[tuple[int, int], int
             yield s
 
 
-def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, room: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, mean: float, slack: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(seed's position, places, counts, scores) of a shard: seed i asks with terms[ends[i]:ends[i + 1]] and their weights."""
-    alive = ~used[shard["places"]] & (shard["counts"] <= room.max())
+def _best(own: np.ndarray, counts: np.ndarray, limit: int, first: int = 256) -> np.ndarray:
+    """Of the documents of positive score, best first, the least number that have `limit` words, or all."""
+    free = np.flatnonzero(own > 0)
+    while len(free) > first:
+        top = free[own[free] >= np.partition(own[free], len(free) - first)[len(free) - first]]
+        if counts[top].sum() >= limit:
+            free = top
+            break
+        first *= 4
+    free = free[np.argsort(-own[free], kind="stable")]
+    return free[: int(np.searchsorted(np.cumsum(counts[free]), limit)) + 1]
+
+
+def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, limit: np.ndarray, least: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, mean: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(seed's position, places, counts, scores) of a shard: seed i asks with terms[ends[i]:ends[i + 1]] and their weights for documents of a score of at least least[i]."""
+    alive = ~used[shard["places"]]
     n, at = int(alive.sum()), np.cumsum(alive) - 1
     if not n:
         return
@@ -224,20 +156,25 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, r
             post = np.arange(total) + np.repeat(first - np.cumsum(s) + s, s)
             scores += np.bincount(np.repeat((asker[a:b][f] - low) * n, s) + docs[post], value[post] * np.repeat(weights[a:b][f], s), scores.size).reshape(scores.shape)
         scores = np.round(scores, 6)
+        scores[(scores < least[low:high, None]) | (places <= seeds[low:high, None])] = 0
         for i in range(low, high):
-            own = scores[i - low]
-            free = np.flatnonzero((own > 0) & (places > seeds[i]) & (counts <= room[i]))
-            if len(free):
-                got = pickable(free, own[free], counts, int(room[i]) + slack)
-                yield np.full(len(got), i), places[got], counts[got], own[got]
+            if limit[i] and len(got := _best(scores[i - low], counts, int(limit[i]))):
+                yield np.full(len(got), i), places[got], counts[got], scores[i - low][got]
 
 
-def _merge(lists: pa.Table, room: np.ndarray, slack: int) -> pa.Table:
-    """Lists of shards made one for each seed; of that, what is pickable."""
+def _merge(lists: pa.Table, limit: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """Lists of shards made one for each seed, as far as its limit of words; the score that further documents need to be in it."""
     lists = lists.sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
     seeds, n = lists.column("seed").to_numpy(), lists.column("n").to_numpy()
-    ends = np.flatnonzero(np.diff(seeds, append=-1)) + 1
-    return lists.take(pa.array(np.concatenate([a + pickable(np.arange(b - a), -np.arange(b - a), n[a:b], int(room[seeds[a]]) + slack) for a, b in zip([0, *ends[:-1]], ends, strict=True)])))
+    before = np.cumsum(n) - n
+    first = np.flatnonzero(np.diff(seeds, prepend=-1))
+    before -= np.repeat(before[first], np.diff(np.append(first, len(n))))
+    kept = np.flatnonzero(before < limit[seeds])
+    last = kept[np.flatnonzero(np.diff(seeds[kept], append=-1))]
+    full = last[before[last] + n[last] >= limit[seeds[last]]]
+    least = np.zeros(len(limit))
+    least[seeds[full]] = lists.column("score").to_numpy()[full]
+    return lists.take(pa.array(kept)), least
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int = SHARD_DOCS, every: int = EVERY, seed: int = 17) -> DataFrame:
@@ -252,7 +189,13 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
     sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n long, content long, terms binary, tfs binary")
     turn = F.when(F.col("doc_id").isNull(), F.xxhash64("content", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
     later = F.coalesce(F.col("doc_id") % every != 0, F.lit(True))
-    ordered = sketched.where("n > 0").withColumns({"later": later, "turn": turn}).orderBy("later", "turn", "doc_id", "n", "content").select("doc_id", "n", "terms", "tfs")
+    # parts in the order of places: the seeds', then the others', each a range of turns
+    others = shuffle_partitions(spark)
+    first = -(-others // every)
+    size = F.when(F.col("later"), others).otherwise(first)
+    part = F.when(F.col("later"), first).otherwise(0) + F.least(size - 1, F.floor((F.col("turn").cast("double") / 2.0**64 + 0.5) * size)).cast("int")
+    placed = sketched.where("n > 0").withColumns({"later": later, "turn": turn}).withColumn("part", part)
+    ordered = placed.repartition(others + first, "part").sortWithinPartitions("part", "turn", "doc_id", "n", "content").select("part", "doc_id", "n", "terms", "tfs")
     ordered.mapInArrow(_index(shard_docs, every), _SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
     shards = spark.read.schema(_SHARD).parquet(f"{base}/shards")
     shards.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{base}/df")
@@ -265,7 +208,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
     mean = max(1.0, sum(x[3] for x in sizes) / max(1, total))
     used, kind = np.zeros(count, bool), "window string, position int, place long, start_word int, end_word int, score double"
     spark.createDataFrame([], kind).write.parquet(f"{base}/out")
-    seeds, slack = sum(x[4] for x in sizes), SLACK * window  # the seeds have the first places
+    seeds, slack, cut_at = sum(x[4] for x in sizes), SLACK * window, {}  # the seeds have the first places
     while len(batch := np.flatnonzero(~used[:seeds])[:SEEDS]):
         sent = spark.sparkContext.broadcast((np.packbits(used), batch))
 
@@ -300,34 +243,36 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
         order = np.argsort(term)
         df = df[order][np.searchsorted(term[order], flat)]
         room = np.where(n % window > 0, window - n % window, 0)
-        query = spark.sparkContext.broadcast((room, ends, flat, np.log1p((total - df + 0.5) / (df + 0.5)) * np.concatenate(tfs)))
+        limit = np.where(room > 0, room + slack, 0)
+        query = spark.sparkContext.broadcast((limit, ends, flat, np.log1p((total - df + 0.5) / (df + 0.5)) * np.concatenate(tfs)))
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent, query=query, slack=slack) -> Iterator[pa.RecordBatch]:
-            (bits, batch), names, held = sent.value, ["seed", "place", "n", "score"], []
-            used = np.unpackbits(bits, count=count).astype(bool)
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, query=query) -> Iterator[pa.RecordBatch]:
+            (bits, batch), (limit, *asked) = sent.value, query.value
+            used, held, least = np.unpackbits(bits, count=count).astype(bool), [], np.zeros(len(batch))
             for s in _shards(batches, firsts):
-                got = list(_search(s, used, batch, *query.value, mean, slack))
-                if got:
-                    held.append(pa.table([np.concatenate(c) for c in zip(*got, strict=True)], names=names))
-                    if sum(t.num_rows for t in held) > 1 << 20:
-                        held = [_merge(pa.concat_tables(held), query.value[0], slack)]
-            if held:
-                yield from _merge(pa.concat_tables(held), query.value[0], slack).to_batches()
+                if got := list(_search(s, used, batch, limit, least, *asked, mean)):
+                    held.append(pa.table([np.concatenate(c) for c in zip(*got, strict=True)], names=["seed", "place", "n", "score"]))
+                    lists, least = _merge(pa.concat_tables(held), limit)
+                    held = [lists]
+            for lists in held:
+                yield from lists.to_batches()
 
         def merge(key: tuple, table: pa.Table) -> pa.Table:
-            return _merge(table, query.value[0], slack)
+            return _merge(table, query.value[0])[0]
 
         shape = "seed long, place long, n long, score double"
         lists = open_.mapInArrow(search, shape).groupBy("seed").applyInArrow(merge, shape).toArrow().sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
         owner, place, words, score = (lists.column(c).to_numpy() for c in ("seed", "place", "n", "score"))
         first = np.searchsorted(owner, np.arange(len(batch) + 1))
-        rows = []
+        rows, most = [], 0
         for i, s in enumerate(batch):
             if used[s]:
                 continue
             mine = slice(first[i], first[i + 1])
             taken = used[place[mine]]
-            if words[mine][taken].sum() > slack:
+            lost = int(words[mine][taken].sum())
+            most = max(most, lost)
+            if lost > slack and words[mine].sum() >= limit[i]:
                 slack *= 2
                 break
             used[s] = True
@@ -338,24 +283,35 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
             rows.append((f"s{s}-{full}", 0, int(s), full * window, int(n[i]), 0.0))
             space, position = int(room[i]), 1
             for p, c, x in zip(place[mine][~taken].tolist(), words[mine][~taken].tolist(), score[mine][~taken].tolist(), strict=True):
-                if c <= space:
-                    rows.append((f"s{s}-{full}", position, p, 0, c, x))
-                    used[p] = True
-                    space, position = space - c, position + 1
+                rows.append((f"s{s}-{full}", position, p, 0, min(c, space), x))
+                used[p] = True
+                if c >= space:
+                    cut_at |= {p: space} if c > space else {}
+                    break
+                space, position = space - c, position + 1
+        else:
+            slack = max(SLACK * window, 2 * most)
         spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["window", "position", "place", "start_word", "end_word", "score"])).write.mode("append").parquet(f"{base}/out")
         for x in (sent, wanted, query):
             x.destroy()
-    sent = spark.sparkContext.broadcast(np.packbits(used))
+    used[list(cut_at)] = False
+    places = np.array(sorted(cut_at), np.int64)
+    sent = spark.sparkContext.broadcast((np.packbits(used), places, np.array([cut_at[p] for p in places.tolist()], np.int64)))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents of each shard that no seed took, end to end."""
-        used = np.unpackbits(sent.value, count=count).astype(bool)
+        """What no seed took of the documents of each shard, end to end."""
+        bits, cut_places, cuts = sent.value
+        used = np.unpackbits(bits, count=count).astype(bool)
         for s in _shards(batches, firsts):
             free = np.flatnonzero(~used[s["places"]])
             if not len(free):
                 continue
-            stop = np.cumsum(s["counts"][free])
-            start = stop - s["counts"][free]
+            done = np.zeros(len(s["places"]), np.int64)
+            mine = slice(*np.searchsorted(cut_places, [s["places"][0], s["places"][-1] + 1]))
+            done[cut_places[mine] - s["places"][0]] = cuts[mine]
+            size, done = (s["counts"] - done)[free], done[free]
+            stop = np.cumsum(size)
+            start = stop - size
             # a document's pieces lie between its ends and the windows' borders among its words
             pieces = (stop - 1) // window - start // window + 1
             own = np.repeat(np.arange(len(free)), pieces)
@@ -365,7 +321,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
             edge = np.flatnonzero(np.diff(w, prepend=-1))
             position = np.arange(len(w)) - np.repeat(edge, np.diff(np.append(edge, len(w))))
             ids, none = s["ids"][free][own], s["null"][free][own] > 0
-            yield pa.RecordBatch.from_arrays([pa.array([f"r{s['places'][0]}-{x}" for x in w]), pa.array(position, pa.int32()), pa.array(ids, mask=none), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(np.zeros(len(w)))], ["window", "position", "doc_id", "start_word", "end_word", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"r{s['places'][0]}-{x}" for x in w]), pa.array(position, pa.int32()), pa.array(ids, mask=none), pa.array(a + done[own], pa.int32()), pa.array(b + done[own], pa.int32()), pa.array(np.zeros(len(w)))], ["window", "position", "doc_id", "start_word", "end_word", "score"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _shards(batches, firsts):
