@@ -1,10 +1,14 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-A text is a bag of units: its words (letters and digits only, so characters of other kinds inside a word don't count), and every
-run of three or more one-character words, joined ("i d i o t"). The kernel of two units is the gap-weighted subsequence kernel of
-Lodhi et al. (2002), here of length 4 and decay 0.7, normalised: characters put into a word, or left out, lower it a little and don't hide it.
-Units are mapped to the kernel's Nyström features over landmark strings, and a linear SVM scores them; a sentence, and
-a text, scores as its highest unit (a multiple-instance SVM). Every different unit of the corpus is scored once.
+A sentence is a bag of units: its words (letters and digits only, so characters of other kinds inside a word don't count); every
+run of three or more one-character words, joined ("i d i o t"); and pairs and triples of neighbouring short words, joined ("stu pid"), where
+they share two runs of three letters with one of the words that training found to be toxic. The kernel of two
+units is the gap-weighted subsequence kernel of Lodhi et al. (2002), here of length 4 and decay 0.7, normalised: characters put into a word,
+or left out, lower it a little and don't hide it. Words of two and three letters, which have no subsequence of length 4, are only
+compared whole with the toxic words of training.
+Units are mapped to the kernel's Nyström features over landmark strings, and a linear SVM scores them; a sentence scores as its highest unit, and
+a text as its highest sentence (a multiple-instance SVM: labels say that some sentence of a text is toxic, not which). Every different unit of
+the corpus is scored once.
 
 Training takes a bounded sample of the labelled documents (`max_labelled`), the only part that does not read everything.
 """
@@ -21,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .text import Chunk, hash_strings, pieces
+from .text import Chunk, hash_strings, mix, pieces
 
 LENGTH, DECAY, LANDMARKS, LONGEST = 4, 0.7, 40, 24
-
+#: Most letters of each of two, and of each of three, words that are joined; of the joined unit.
+PAIR, TRIPLE, JOINED = 6, 4, 11
 
 def units(chunk: Chunk) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(units, unit, doc): the different units of a chunk, and where they occur."""
@@ -51,6 +56,38 @@ def units(chunk: Chunk) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, unit, doc
 
 
+def joins(chunk: Chunk) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(units, unit, doc): the different joined pairs and triples of neighbouring short words of a document, and where they begin."""
+    n, w = len(chunk.codes), max(1, len(chunk.words))
+    size = pc.utf8_length(chunk.words).to_numpy(zero_copy_only=False).astype(np.int64)[chunk.codes] if n else np.empty(0, np.int64)
+    doc, code = chunk.doc, chunk.codes.astype(np.int64)
+    strings, unit, where, done = [], [], [], 0
+    for k, most in ((2, PAIR), (3, TRIPLE)):
+        if n < k:
+            continue
+        m = n - k + 1
+        ok = (doc[:m] == doc[k - 1 :]) & (sum(size[i : m + i] for i in range(k)) <= JOINED)
+        for i in range(k):
+            ok &= size[i : m + i] <= most
+        ok &= sum((size[i : m + i] > 1).astype(np.int64) for i in range(k)) > 0  # all of one letter: a run, in `units`
+        at = np.flatnonzero(ok)
+        key = code[at]
+        for i in range(1, k):
+            key = key * w + code[at + i]
+        key, place = np.unique(key, return_inverse=True)
+        parts, rest = [], key
+        for _ in range(k):
+            parts.insert(0, chunk.words.take(pa.array(rest % w)))
+            rest = rest // w
+        strings.append(pc.binary_join_element_wise(*parts, ""))
+        unit.append(place + done)
+        where.append(doc[at])
+        done += len(key)
+    if not strings:
+        return pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
+    return pa.concat_arrays(strings), np.concatenate(unit), np.concatenate(where)
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of words, padded with 0, and lengths."""
     sizes = np.array([len(w) for w in words], np.int64)
@@ -99,11 +136,19 @@ def kernel(s: np.ndarray, t: np.ndarray, n: int = LENGTH, decay: float = DECAY)
     return total
 
 
+def _trigrams(codes: np.ndarray) -> np.ndarray:
+    """Hashes below 2^16 of the runs of three characters of words; where a word has ended, 0."""
+    if codes.shape[1] < 3:
+        return np.zeros((len(codes), 0), np.int64)
+    a, b, c = (codes[:, i : codes.shape[1] - 2 + i].astype(np.uint64) for i in range(3))
+    return np.where(c > 0, (mix((a << np.uint64(42)) | (b << np.uint64(21)) | c) & np.uint64(0xFFFF)).astype(np.int64), 0)
+
+
 class Svm:
-    """Landmarks, Nyström map and linear weights: score(words) > 0 is toxic."""
+    """Landmarks, Nyström map and linear weights: score(units) > 0 is toxic. Joined units need `extra` more, short ones are toxic if they are in `short`."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+        self.landmarks, self.trigrams, self.extra, self.short = landmarks, np.zeros(1 << 16, bool), 0.0, set()
         self.t, _ = _codes(landmarks)
         self.own = np.sqrt(np.diag(kernel(self.t, self.t)))
         k = kernel(self.t, self.t) / np.maximum(self.own[:, None] * self.own[None, :], 1e-30)
@@ -112,6 +157,17 @@ class Svm:
         self.map = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
         self.w, self.b = np.zeros(keep.sum(), np.float32), np.float32(-1)
 
+    def may(self, joined: pa.Array) -> np.ndarray:
+        """Places of the joined units that share two runs of three letters with a witness."""
+        sizes = pc.utf8_length(joined).to_numpy(zero_copy_only=False)
+        out = [np.empty(0, np.int64)]
+        for k in range(4, JOINED + 1):
+            at = np.flatnonzero(sizes == k)
+            if len(at):
+                codes, _ = _codes(joined.take(pa.array(at)).to_pylist())
+                out.append(at[self.trigrams[_trigrams(codes)].sum(1) >= 2])
+        return np.sort(np.concatenate(out))
+
     def features(self, words: list[str], block: int = 8192) -> np.ndarray:
         """Nyström features. Words over LONGEST characters take part by every stretch of LONGEST, half overlapping: see `score`."""
         out = np.zeros((len(words), self.map.shape[1]), np.float32)
@@ -140,6 +196,8 @@ class Svm:
                     owner.append(i)
         out = np.full(len(words), -np.inf)
         np.maximum.at(out, np.array(owner, np.int64), self.features(parts) @ self.w + self.b)
+        for i in [i for i, w in enumerate(words) if w in self.short]:
+            out[i] = 1.0
         return out
 
 
@@ -150,14 +208,14 @@ def _noisy(word: str, rng: np.random.Generator, letters: str) -> list[str]:
     return [word[:a] + x + word[a:], word[:a] + x + word[a:b] + y + word[b:]]
 
 
-def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, seed: int = 17, negatives: int = 12_000, rounds: int = 3, chance: float = 0.2) -> Svm:
-    """A multiple-instance SVM from (units of a text, label).
+def fit(bags: list[tuple[list[str], int]], joined: list[str] | None = None, landmarks: int = LANDMARKS, seed: int = 17, negatives: int = 12_000, rounds: int = 3, chance: float = 0.2, stray: float = 0.05) -> Svm:
+    """A multiple-instance SVM from (units of a text, label), and the joined units of negative texts.
 
     Texts that share their two least unit hashes count as copies of one, so copies lend no weight. A positive text's witnesses are at
-    first its units that occur in no negative text and in n positive ones, n so great that, were labels drawn by chance, `chance` of
+    first its units that occur in n positive texts, and in at most `stray` as many negative ones (labels may be wrong), n so great that, were labels drawn by chance, `chance` of
     all units would be expected to do so; later, those of 2 texts that the SVM scores above the margin too. All units of negative texts are negative (`negatives` of them, the most frequent half and a seeded draw, plus
     all that come out above the margin). Landmarks are spread over the positive words by farthest-first traversal, a quarter over negative ones.
-    The threshold lies above all units of the negative texts.
+    The threshold lies above all units of the negative texts; that of joined units above all joined units of negative texts too.
     """
     rng = np.random.default_rng(seed)
     pos, neg, seen, texts = Counter(), Counter(), set(), 0
@@ -169,21 +227,26 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, seed: int
         seen.add(copy)
     share = texts / max(1, len(seen))  # of positive texts
     least = max(3, int(np.ceil(np.log(max(1, len(pos)) / chance) / -np.log(share)))) if 0 < share < 1 else 3
-    clean = sorted((w for w in neg if len(w) >= LENGTH), key=lambda w: (-neg[w], w))
-    bad = sorted((w for w, n in pos.items() if n >= least and w not in neg and LENGTH <= len(w) <= LONGEST), key=lambda w: (-pos[w], w))
+    ill = {w for w, n in pos.items() if n >= least and neg[w] <= stray * n and len(w) > 1}
+    clean = sorted((w for w in neg if len(w) >= LENGTH and w not in ill), key=lambda w: (-neg[w], w))
+    bad = sorted((w for w in ill if len(w) >= LENGTH), key=lambda w: (-pos[w], w))
     if not bad:
         model = Svm(clean[:2] or ["abc"])
-        model.b = np.float32(-1)
+        model.b, model.short = np.float32(-1), ill
         return model
 
     def spread(words: list[str], k: int) -> list[str]:
-        words = words[:1500]
-        s, _ = _codes(words)
-        own = np.sqrt(kernel(s, s[:, None, :])[:, 0])
+        sizes = np.array([len(w) for w in words])
+        groups = [(at, _codes([words[i] for i in at])[0]) for at in (np.flatnonzero(sizes == k) for k in np.unique(sizes))]
+        own = np.zeros(len(words))
+        for at, s in groups:
+            own[at] = np.sqrt(kernel(s, s[:, None, :])[:, 0])
         near, chosen = np.zeros(len(words)), [0]
         while len(chosen) < min(k, len(words)):
             i = chosen[-1]
-            near = np.maximum(near, kernel(s, s[i : i + 1])[:, 0] / np.maximum(own * own[i], 1e-30))
+            t, _ = _codes([words[i]])
+            for at, s in groups:
+                near[at] = np.maximum(near[at], kernel(s, t)[:, 0] / np.maximum(own[at] * own[i], 1e-30))
             near[chosen] = 2
             chosen.append(int(near.argmin()))
         return [words[i] for i in chosen]
@@ -193,7 +256,7 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, seed: int
     x_all = model.features(short)
     half = negatives // 2
     draw = np.concatenate((np.arange(min(half, len(short))), half + rng.permutation(max(0, len(short) - half))[: negatives - half]))
-    letters = "".join(sorted({c for w in short[:2000] for c in w}))
+    letters = "".join(sorted({c for w in short for c in w}))
     for turn in range(rounds):
         xp = model.features(bad + [v for w in bad for v in _noisy(w, rng, letters)])
         xn = x_all[draw]
@@ -201,12 +264,20 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, seed: int
         y = np.concatenate((np.ones(len(xp)), -np.ones(len(xn))))
         model.w, model.b = _hinge(x, y, np.where(y > 0, len(y) / (2 * len(xp)), len(y) / (2 * len(xn))))
         known = set(bad)
-        more = sorted({w for w in pos if w not in neg and pos[w] >= 2 and LENGTH <= len(w) <= LONGEST and w not in known})
+        more = sorted({w for w in pos if neg[w] <= stray * pos[w] and pos[w] >= 2 and len(w) >= LENGTH and w not in known})
         if turn + 1 < rounds and more:
             bad += [w for w, s in zip(more, model.score(more), strict=True) if s > 1]
         draw = np.union1d(draw, np.flatnonzero(x_all @ model.w + model.b > -0.5))
     top = max(float((x_all @ model.w + model.b).max()), 0.0) if short else 0.0
     model.b = np.float32(model.b - top - 0.02)
+    model.short = {w for w in ill if len(w) < LENGTH}
+    for w in bad:
+        model.trigrams[_trigrams(_codes([w])[0])] = True
+    model.trigrams[0] = False
+    ill |= set(bad)
+    rest = pa.array([w for w in joined or [] if w not in ill], pa.string())
+    if len(near := model.may(rest)):
+        model.extra = max(0.0, float(model.score(rest.take(pa.array(near)).to_pylist()).max()) + 0.02)
     return model
 
 
@@ -243,48 +314,59 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, seed: in
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(names: list[str], unit: np.ndarray, doc: np.ndarray, rows: int) -> pa.Array:
+            pairs = np.unique(doc * max(1, len(names)) + unit)
+            ends = np.searchsorted(pairs // max(1, len(names)), np.arange(rows + 1))
+            return pa.array([" ".join(names[u] for u in pairs[a:b] % max(1, len(names))) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
         for batch in batches:
             for part in pieces(batch):
-                words, unit, doc = units(Chunk(part.column("text")))
-                pairs = np.unique(doc * max(1, len(words)) + unit)
-                ends = np.searchsorted(pairs // max(1, len(words)), np.arange(part.num_rows + 1))
-                text = [" ".join(words[u] for u in pairs[a:b] % len(words)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__gl_label"), pa.array(text, pa.string())], ["doc_id", "label", "units"])
+                chunk = Chunk(part.column("text"))
+                names, unit, doc = joins(chunk)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__gl_label"), lists(*units(chunk), part.num_rows), lists(names.to_pylist(), unit, doc, part.num_rows)], ["doc_id", "label", "units", "joined"])
 
-    table = own.join(F.broadcast(chosen), own.doc_id == chosen["__gl_id"]).select("doc_id", "text", "__gl_label").mapInArrow(bags, "doc_id long, label int, units string").toArrow()
-    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("units").to_pylist(), table.column("label").to_pylist(), strict=True))
-    return fit([(u.split(), y) for _, u, y in rows], seed=seed)
+    table = own.join(F.broadcast(chosen), own.doc_id == chosen["__gl_id"]).select("doc_id", "text", "__gl_label").mapInArrow(bags, "doc_id long, label int, units string, joined string").toArrow()
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "units", "label", "joined")), strict=True))
+    return fit([(u.split(), y) for _, u, y, _ in rows], sorted({w for _, _, y, j in rows if not y for w in j.split()}), seed=seed)
 
 
 def toxic_units(docs: DataFrame, model: Svm) -> DataFrame:
-    """(unit, score): the different units of all texts that score above 0."""
+    """(unit, joined, score): the different units of all texts that score above 0, joined ones above the model's `extra`.
+
+    Null, empty and blank texts have no unit, repeated rows no further one. Other columns are ignored; an empty table gives an empty result.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Array | None = None
+        held: list[pa.Array] = [pa.array([], pa.string())] * 2
         for batch in batches:
             for part in pieces(batch):
-                new = pa.array([w for w in units(Chunk(part.column("text")))[0] if len(w) >= LENGTH], pa.string())
-                held = pc.unique(pa.concat_arrays([held, new])) if held is not None else new
-                if held.nbytes > 32 << 20:
-                    yield pa.RecordBatch.from_arrays([held], ["unit"])
-                    held = None
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([held], ["unit"])
+                chunk = Chunk(part.column("text"))
+                joined = joins(chunk)[0]
+                new = pa.array([w for w in units(chunk)[0] if len(w) > 1], pa.string()), joined.take(pa.array(model.may(joined)))
+                held = [pc.unique(pa.concat_arrays([a, b])) for a, b in zip(held, new, strict=True)]
+                if sum(h.nbytes for h in held) > 32 << 20:
+                    yield from out(held)
+                    held = [pa.array([], pa.string())] * 2
+        yield from out(held)
+
+    def out(held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        for h, joined in zip(held, (False, True), strict=True):
+            yield pa.RecordBatch.from_arrays([h, pa.array(np.full(len(h), joined))], ["unit", "joined"])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("unit").to_pylist()
+            words, joined = batch.column("unit").to_pylist(), batch.column("joined").to_numpy(zero_copy_only=False)
             score = model.score(words) if words else np.empty(0)
-            hit = np.flatnonzero(score > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in hit], pa.string()), pa.array(np.round(score[hit], 5))], ["unit", "score"])
+            hit = np.flatnonzero(score > np.where(joined, model.extra, 0))
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in hit], pa.string()), pa.array(joined[hit]), pa.array(np.round(score[hit], 5))], ["unit", "joined", "score"])
 
-    return cut(docs.select("text").mapInArrow(collect, "unit string").distinct().mapInArrow(rate, "unit string, score double"))
+    return cut(docs.select("text").mapInArrow(collect, "unit string, joined boolean").distinct().mapInArrow(rate, "unit string, joined boolean, score double"))
 
 
 def toxic_documents(docs: DataFrame, model: Svm, limit: int = 500_000) -> DataFrame:
     """(doc_id, score, unit): the toxic documents, with their highest unit (ties: the least string) and its score.
 
-    Null, empty and blank texts are not toxic. Repeated rows are reported as often as they occur; null doc_ids stay null. Other columns are ignored. An
+    Whole texts are read, and every unit of two letters and more is scored. Null, empty and blank texts are not toxic. Repeated rows are reported as often as they occur; null doc_ids stay null. Other columns are ignored. An
     empty table gives an empty result. Should the toxic units be more than `limit`, they are applied in slices of that size, so
     that what is sent to the tasks stays bounded.
     """
@@ -297,25 +379,27 @@ def toxic_documents(docs: DataFrame, model: Svm, limit: int = 500_000) -> DataFr
     for i in range(slices):
         part = found if slices == 1 else found.where(F.pmod(F.xxhash64("unit"), F.lit(slices)) == i)
         table = part.toArrow()
-        words, score = table.column("unit").to_pylist(), table.column("score").to_numpy().astype(np.float64)
-        order = np.lexsort((np.array(words, dtype=object), -score)) if len(words) else np.empty(0, np.int64)
+        words, joined, score = table.column("unit").to_pylist(), table.column("joined").to_numpy(), table.column("score").to_numpy().astype(np.float64)
+        order = np.lexsort((joined, np.array(words, dtype=object), -score)) if len(words) else np.empty(0, np.int64)
         ranked = [words[k] for k in order]
-        h = hash_strings(ranked)
-        at = np.argsort(h)
-        shared = spark.sparkContext.broadcast((h[at], at, ranked, score[order]))
+        h, second = hash_strings(ranked), joined[order].astype(bool)
+        ranks = [np.flatnonzero(~second), np.flatnonzero(second)]
+        ranks = [r[np.argsort(h[r])] for r in ranks]
+        shared = spark.sparkContext.broadcast((h, ranks, ranked, score[order]))
 
         def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, rank, names, scores = shared.value
+            known, ranks, names, scores = shared.value
             for batch in batches:
                 for piece in pieces(batch):
-                    words, unit, doc = units(Chunk(piece.column("text")))
+                    chunk = Chunk(piece.column("text"))
                     best = np.full(piece.num_rows, len(names), np.int64)
-                    if len(known) and len(words):
-                        h = hash_strings(words)
-                        k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        of = np.where(known[k] == h, rank[k], len(names))
-                        hit = of[unit] < len(names)
-                        np.minimum.at(best, doc[hit], of[unit[hit]])
+                    for rank, (words, unit, doc) in zip(ranks, (units(chunk), joins(chunk)), strict=True):
+                        if len(rank) and len(words):
+                            h = hash_strings(words)
+                            k = np.minimum(np.searchsorted(known[rank], h), len(rank) - 1)
+                            of = np.where(known[rank[k]] == h, rank[k], len(names))
+                            hit = of[unit] < len(names)
+                            np.minimum.at(best, doc[hit], of[unit[hit]])
                     some = np.flatnonzero(best < len(names))
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(some)), pa.array(scores[best[some]] if len(some) else np.empty(0)), pa.array([names[b] for b in best[some]], pa.string())], ["doc_id", "score", "unit"])
 

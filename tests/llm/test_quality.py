@@ -30,8 +30,8 @@ def test_ftrl_against_the_plain_update():
     assert np.allclose(Q.ftrl(samples, 3, epochs=2), [weight(i) for i in range(9)])
 
 
-def test_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.01"
+def test_held_out_accuracy(spark, data):
+    d = data.replace("sf0.001", "sf0.01")  # the smallest scale has too few labels
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     w = Q.train(docs, labels, max_labelled=250)
     used = labels.orderBy(F.expr("xxhash64(doc_id, 17)"), "doc_id").limit(250).select("doc_id")

@@ -34,9 +34,61 @@ def test_units_join_spelt_words():
     assert ("ab", 1) not in got
 
 
+def test_joins():
+    names, unit, doc = T.joins(Chunk(pa.array(["a stu pid one", None, "stu", "pid stu pid", "i d i o t", "wonderfully id iot"])))
+    got = {(names.to_pylist()[u], int(d)) for u, d in zip(unit, doc, strict=True)}
+    assert {("stupid", 0), ("astupid", 0), ("stupid", 3), ("pidstupid", 3), ("idiot", 5)} <= got
+    assert not any(d in (1, 2, 4) for _, d in got)
+    assert not any("wonderfully" in w for w, _ in got)
+
+
+def test_split_short_and_mislabelled_insults(spark):
+    """Insults in pieces, of three letters, and in a text that is labelled clean by mistake."""
+    rng = random.Random(5)
+    syllables = ["the", "on", "er", "ti", "an", "re", "st", "ou", "in", "ea", "wh", "nd"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    bad = ["grumblix", "vontzeer", "skrabbok", "qux"]
+    bags = [([word() for _ in range(30)] + ([bad[i % 4]] if i % 3 == 0 else []), int(i % 3 == 0)) for i in range(900)]
+    bags += [([word() for _ in range(20)] + ["grumblix"], 0)]
+    joined = sorted({a + b for words, y in bags if not y for a, b in zip(words[:29], words[1:30], strict=False) if len(a + b) <= 11} - set(bad))
+    model = T.fit(bags, joined)
+    texts = [("whole", f"the {b} there") for b in bad] + [("split", f"wonderfully {b[:k]} {b[k:]} wonderfully") for b in bad[:3] for k in range(2, len(b) - 1)] + [("clean", " ".join(word() for _ in range(40))) for _ in range(100)] + [("clean", "quxx qu x")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    hit = {r.doc_id for r in T.toxic_documents(df, model).collect()}
+    share = {k: np.mean([i in hit for i, (x, _) in enumerate(texts) if x == k]) for k in ("whole", "split", "clean")}
+    assert share["whole"] == 1
+    assert share["split"] >= 0.9
+    assert share["clean"] <= 0.01
+
+
+def test_whole_query_against_scoring_one_text_at_a_time(spark, trained):
+    docs, _, model = trained
+    rows = docs.orderBy("doc_id").limit(150).collect()
+    want = {}
+    for r in rows:
+        chunk = Chunk(pa.array([r.text]))
+        own = [w for w in T.units(chunk)[0] if len(w) > 1]
+        scored = [(-round(float(s), 5), w) for w, s in zip(own, model.score(own), strict=True) if s > 0] if own else []
+        for w in set(T.joins(chunk)[0].to_pylist()):
+            grams = [T._trigrams(T._codes([w[i : i + 3]])[0])[0, 0] for i in range(len(w) - 2)]
+            if sum(bool(model.trigrams[g]) for g in grams) >= 2 and (s := float(model.score([w])[0])) > model.extra:
+                scored.append((-round(s, 5), w))
+        if scored:
+            want[r.doc_id] = min(scored)[1]
+    got = {r.doc_id: r.unit for r in T.toxic_documents(docs.where(docs.doc_id.isin([r.doc_id for r in rows])), model).collect()}
+    assert got == want
+    assert want
+
+
+def test_integer_ids(spark, awkward):
+    labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id int, toxic int")
+    docs = awkward.withColumn("doc_id", awkward.doc_id.cast("int"))
+    assert T.toxic_documents(docs, T.train(docs, labels)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def trained(request):
-    spark, data = request.getfixturevalue("spark"), "/root/testdata/sf0.01"
+    spark, data = request.getfixturevalue("spark"), request.getfixturevalue("data").replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet")
     return docs, labels, T.train(docs, labels, max_labelled=300)
