@@ -27,7 +27,7 @@ BITS = 12
 
 def length() -> "F.Column":
     """Words between white space: of a null or blank text, 0."""
-    return F.expr(r"coalesce(if(text = '', 0, size(split(text, '\\s+', -1)) - cast(text rlike '^\\s' as int) - cast(text rlike '\\s\\z' as int)), 0)")
+    return F.expr(r"coalesce(if(text = '', 0, size(split(text, '\\s+', -1)) - cast(substr(text, 1, 1) rlike '\\s' as int) - cast(substr(text, -1, 1) rlike '\\s' as int)), 0)")
 
 
 def turn(seed: int) -> "F.Column":
