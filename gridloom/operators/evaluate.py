@@ -45,10 +45,16 @@ def sweep(df: DataFrame, grid: list[float], by: list[str] | None = None) -> Data
     Rows are counted by the number of thresholds that they reach, so the table is read once and nothing grows with
     rows x thresholds.
     """
-    by, spark = by or [], df.sparkSession
-    reach = F.lit(0)
-    for t in grid:
-        reach = reach + (F.col("p") >= float(t)).cast("int")
+    by, spark, k = by or [], df.sparkSession, len(grid)
+    step = (grid[-1] - grid[0]) / max(1, k - 1)
+    steps = F.array(*[F.lit(float(t)) for t in grid])
+    if step > 0 and all(abs(grid[0] + i * step - t) < step / 4 for i, t in enumerate(grid)):
+        # an even grid: the place follows from the value, and is put right by a step where rounding moved it
+        near = F.greatest(F.lit(0), F.least(F.lit(k), F.floor((F.col("p") - grid[0]) / step).cast("int") + 1))
+        at = lambda i: F.get(steps, i)
+        reach = near + F.when((near < k) & (F.col("p") >= at(near)), 1).when((near > 0) & (F.col("p") < at(near - 1)), -1).otherwise(0)
+    else:
+        reach = F.size(F.filter(steps, lambda t: t <= F.col("p")))
     h = df.where("p is not null").groupBy(*by, reach.alias("k")).agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
     keys = h.groupBy(*by).agg(F.sum("pos").alias("tp_all"), F.sum("n").alias("n_all"))
     t = F.broadcast(spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(grid)], "i int, threshold double"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import scatter, square
+from ..functions.quantiles import percentiles
 
 
 def gradient(dem: DataFrame, value: str, px: float) -> DataFrame:
@@ -57,7 +58,7 @@ def fill_median(df: DataFrame, value: str) -> DataFrame:
     """Missing values take the median of their up to 8 neighbours, else that of all (H8)."""
     missing = df.where(F.col(value).isNull()).select("row", "col")
     near = scatter(df.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("v")), [o for o in square(1) if o != (0, 0)]).join(missing, ["row", "col"]).groupBy("row", "col").agg(F.percentile("v", F.lit(0.5)).alias("__gl_m"))
-    whole = df.agg(F.percentile(value, F.lit(0.5)).alias("__gl_all"))
+    whole = percentiles(df, value, [0.5]).select(F.col("q")[0].alias("__gl_all"))
     return df.join(near, ["row", "col"], "left").crossJoin(F.broadcast(whole)).withColumn(value, F.coalesce(value, "__gl_m", "__gl_all")).drop("__gl_m", "__gl_all")
 
 
@@ -74,7 +75,7 @@ def hillshade(gx: Column, gy: Column, azimuths: tuple[float, ...] = (315.0, 45.0
 
 def stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, gamma: float = 1.0) -> DataFrame:
     """(v - p_low) / (p_high - p_low), clipped to [0, 1], to the power gamma."""
-    b = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__gl_b"))
+    b = percentiles(df, value, [low, high]).withColumnRenamed("q", "__gl_b")
     v = (F.col(value) - F.col("__gl_b")[0]) / F.nullif(F.col("__gl_b")[1] - F.col("__gl_b")[0], F.lit(0.0))
     return df.crossJoin(F.broadcast(b)).withColumn("stretched", F.when(F.col(value).isNotNull(), F.pow(F.greatest(F.least(F.coalesce(v, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)), F.lit(gamma)))).drop("__gl_b")
 
@@ -119,12 +120,14 @@ def rank_scale(df: DataFrame, value: str) -> DataFrame:
 
 def wetness_composite(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean of bands normalised by their 5th and 95th percentiles."""
-    b = df.agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"__gl_{c}") for c in weights])
+    out = df
+    for c in weights:
+        out = out.crossJoin(F.broadcast(percentiles(df, c, [0.05, 0.95]).withColumnRenamed("q", f"__gl_{c}")))  # one row
     total = F.lit(0.0)
     for c, w in weights.items():
         n = (F.col(c) - F.col(f"__gl_{c}")[0]) / F.nullif(F.col(f"__gl_{c}")[1] - F.col(f"__gl_{c}")[0], F.lit(0.0))
         total = total + F.lit(w) * F.greatest(F.least(F.coalesce(n, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    return df.crossJoin(F.broadcast(b)).withColumn("wetness", total / sum(weights.values())).drop(*[f"__gl_{c}" for c in weights])
+    return out.withColumn("wetness", total / sum(weights.values())).drop(*[f"__gl_{c}" for c in weights])
 
 
 def web_tile(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:

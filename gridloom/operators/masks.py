@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import to_null
+from ..functions.quantiles import percentiles
 
 
 def normalise_probability(df: DataFrame, value: str, valid: str = "valid") -> DataFrame:
@@ -66,8 +67,9 @@ def sanitise(c: Column, limit: float = 1e10) -> Column:
 
 def winsorise(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Columns clipped to their exact percentiles (D-10)."""
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__gl_b_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(bounds))
+    out = df
+    for c in columns:
+        out = out.crossJoin(F.broadcast(percentiles(df, c, [low, high]).withColumnRenamed("q", f"__gl_b_{c}")))  # one row
     return out.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"__gl_b_{c}")[1]), F.col(f"__gl_b_{c}")[0])) for c in columns}).drop(*[f"__gl_b_{c}" for c in columns])
 
 

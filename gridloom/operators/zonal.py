@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import percentiles
+
 BANDS = [("le_001", 0.0, 0.01), ("001_01", 0.01, 0.1), ("01_1", 0.1, 1.0), ("1_5", 1.0, 5.0), ("5_10", 5.0, 10.0), ("ge_10", 10.0, None)]
 
 
@@ -57,8 +59,13 @@ def block_density(mask: DataFrame, factor: int, height: int, width: int, pixel_h
 
 def zone_stats(df: DataFrame, value: str, by: list[str] | None = None, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """n, mean, min, max and exact percentiles."""
-    g = df.groupBy(*by) if by else df.groupBy()
-    return g.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, F.array(*map(F.lit, quantiles))).alias("__gl_q")).select(*(by or []), "n", "mean", "min", "max", *[F.col("__gl_q")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(quantiles)])
+    by = by or []
+    whole = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = percentiles(df, value, list(quantiles), by).withColumnsRenamed({c: f"__gl_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__gl_{c}"))
+    return whole.join(q, same, "left").select(*by, "n", "mean", "min", "max", *[F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(quantiles)])
 
 
 def tow_class(area_m2: Column, height_share: Column, coverage: float = 0.5) -> Column:

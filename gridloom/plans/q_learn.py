@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.quantiles import percentiles
 from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators import sampling as K
@@ -196,7 +197,8 @@ def discarded_fpr_sweep(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT count(*) AS n, round(avg(p),6) AS mean, round(quantile_cont(p,0.95),6) AS q95, round(quantile_cont(p,0.99),6) AS q99, max(p) AS top FROM oof WHERE y=0", "oof"))
 def discarded_summary(spark: S, d: str) -> DataFrame:
-    s = V.oof(spark, d).where("y = 0").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.percentile("p", F.array(F.lit(0.95), F.lit(0.99))).alias("q"), F.max("p").alias("top"))
+    o = V.oof(spark, d).where("y = 0")
+    s = o.agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.max("p").alias("top")).crossJoin(F.broadcast(percentiles(o, "p", [0.95, 0.99])))  # one row each
     return s.select("n", "mean", F.round(F.col("q")[0], 6).alias("q95"), F.round(F.col("q")[1], 6).alias("q99"), "top")
 
 

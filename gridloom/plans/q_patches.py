@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.quantiles import percentiles
 from ..operators import components as C
 from ..operators import morphology as MO
 from ..operators import zonal as Z
@@ -244,7 +245,9 @@ EVAL = "SELECT zone_id, count(*) AS truth, count(*) FILTER (WHERE prob>=0.5) AS
 
 
 def polygon_eval(spark: S, d: str) -> DataFrame:
-    z = zoned(spark, d).where("(row + col) % 7 < 3").groupBy("zone_id").agg(F.count("*").alias("truth"), F.count(F.when(F.col("prob") >= 0.5, 1)).alias("tp"), F.round(F.avg("prob"), 6).alias("mean_prob"), F.round(F.percentile("prob", F.lit(0.5)), 6).alias("median_prob"))
+    p = zoned(spark, d).where("(row + col) % 7 < 3")
+    z = p.groupBy("zone_id").agg(F.count("*").alias("truth"), F.count(F.when(F.col("prob") >= 0.5, 1)).alias("tp"), F.round(F.avg("prob"), 6).alias("mean_prob"))
+    z = z.join(percentiles(p, "prob", [0.5], ["zone_id"]), "zone_id", "left").withColumn("median_prob", F.round(F.col("q")[0], 6)).drop("q")
     return z.select("*", (F.col("truth") - F.col("tp")).alias("fn"), F.round(F.col("tp") / F.col("truth"), 6).alias("recall"), (F.col("tp") > 0).alias("detected"), (F.col("mean_prob") >= 0.5).alias("wet_by_mean"))
 
 
@@ -285,7 +288,13 @@ GS = "SELECT grade, region, peat, grouping(grade)::BIGINT*4+grouping(region)*2+g
 def landvalue_grouping_sets(spark: S, d: str) -> DataFrame:
     p = V.px(spark, d).where("valid").selectExpr("raw", "case when lin % 5 < 2 then '1-2' when lin % 5 < 4 then '3' else '4-6' end as grade", "cast(col div 20 as int) as region", "(row + col) % 7 < 3 as peat")
     g = p.groupingSets([[F.col("grade")], [F.col("region")], [F.col("peat")], []], "grade", "region", "peat")
-    return g.agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), F.round(F.avg("raw"), 6).alias("mean"), F.round(F.percentile("raw", F.lit(0.5)), 6).alias("median"), F.round(100.0 * F.avg((F.col("raw") >= 60).cast("int")), 6).alias("high_pct"))
+    stats = g.agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), F.round(F.avg("raw"), 6).alias("mean"), F.round(100.0 * F.avg((F.col("raw") >= 60).cast("int")), 6).alias("high_pct"))
+    sets = F.explode(F.array(*[F.struct(F.lit(i).alias("gid"), *[(F.col(c) if c == k else F.lit(None).cast(t)).alias(c) for c, t in (("grade", "string"), ("region", "int"), ("peat", "boolean"))]) for i, k in ((3, "grade"), (5, "region"), (6, "peat"), (7, ""))])).alias("s")
+    q = percentiles(p.select("raw", sets).select("raw", "s.*"), "raw", [0.5], ["gid", "grade", "region", "peat"]).select(*[F.col(c).alias(f"q_{c}") for c in ("gid", "grade", "region", "peat")], F.round(F.col("q")[0], 6).alias("median"))
+    same = F.lit(True)
+    for c in ("gid", "grade", "region", "peat"):
+        same &= F.col(c).eqNullSafe(F.col(f"q_{c}"))
+    return stats.join(q, same, "left").select("grade", "region", "peat", "gid", "n", "mean", "median", "high_pct")
 
 
 @query(sql("SELECT cell, slice_id, count(value) AS n, round(avg(value),6) AS mean, round(stddev_samp(value),6) AS std FROM slices GROUP BY 1,2", "slices"))
@@ -298,15 +307,21 @@ def dissolve_cells(spark: S, d: str) -> DataFrame:
     return V.px(spark, d).selectExpr("etype", "cast(row div 2 as int) as row", "cast(col div 2 as int) as col").distinct()
 
 
-@query(sql("SELECT band, round(v,4) AS vif FROM (SELECT 'a' AS band, 1/(1-ra) AS v FROM r UNION ALL SELECT 'b', 1/(1-rb) FROM r) ", "px", r="SELECT corr(a,b)*corr(a,b) AS ra, corr(a,b)*corr(a,b) AS rb FROM (SELECT raw AS a, raw*0.5+lin%37 AS b FROM px)"))
+def _vif(band: str, a: str, b: str) -> str:
+    """1 / (1 - R2) of a band on two others, by their correlations."""
+    r2 = f"((r_{band}{a}*r_{band}{a}+r_{band}{b}*r_{band}{b}-2*r_{band}{a}*r_{band}{b}*r_{a}{b})/(1-r_{a}{b}*r_{a}{b}))"
+    return f"SELECT '{band}' AS band, round(1/(1-{r2}),4) AS vif FROM r"
+
+
+@query(sql(" UNION ALL ".join((_vif("a", "b", "c"), _vif("b", "a", "c"), _vif("c", "a", "b"))), "px", r="SELECT corr(a,b) AS r_ab, corr(a,b) AS r_ba, corr(a,c) AS r_ac, corr(a,c) AS r_ca, corr(b,c) AS r_bc, corr(b,c) AS r_cb FROM (SELECT raw AS a, raw*0.5+lin%37 AS b, raw*0.2+(lin%37)*0.7+lin%11 AS c FROM px)"))
 def vif(spark: S, d: str) -> DataFrame:
-    p = V.px(spark, d).selectExpr("raw as a", "raw * 0.5D + lin % 37 as b")
-    return Z.vif(p, ["a", "b"]).withColumn("vif", F.round("vif", 4))
+    p = V.px(spark, d).selectExpr("raw as a", "raw * 0.5D + lin % 37 as b", "raw * 0.2D + (lin % 37) * 0.7D + lin % 11 as c")
+    return Z.vif(p, ["a", "b", "c"]).withColumn("vif", F.round("vif", 4))
 
 
 @query(sql("SELECT round(quantile_cont(raw,0.05),6) AS p5, round(quantile_cont(raw,0.10),6) AS p10, round(quantile_cont(raw,0.20),6) AS p20 FROM px WHERE prob>=0.4", "px"))
 def presence_percentiles(spark: S, d: str) -> DataFrame:
-    q = V.px(spark, d).where("prob >= 0.4").agg(F.percentile("raw", F.array(F.lit(0.05), F.lit(0.1), F.lit(0.2))).alias("q"))
+    q = percentiles(V.px(spark, d).where("prob >= 0.4"), "raw", [0.05, 0.1, 0.2])
     return q.select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p5", "p10", "p20"))])
 
 

@@ -73,7 +73,7 @@ def species_filter(spark: S, d: str) -> DataFrame:
     return V.species(spark, d).where(R.species_filter([F.col("pri")], TARGET)).select("id")
 
 
-@query(sql("SELECT 'name' AS col", "species"))
+@query("SELECT CASE WHEN max(c)>0 THEN 'code' WHEN max(s)>0 THEN 'sec' WHEN max(n)>0 THEN 'name' END AS col FROM (" + sql(f"SELECT {_any('code', NAMES)}::INTEGER AS c, {_any('sec', NAMES)}::INTEGER AS s, {_any('name', NAMES)}::INTEGER AS n FROM species", "species") + ")")
 def species_column(spark: S, d: str) -> DataFrame:
     found = R.species_column(V.species(spark, d).select("code", "sec", "name"), ["code", "missing"], NAMES)
     return spark.createDataFrame([(found,)], "col string")
@@ -123,7 +123,7 @@ def newest_model(spark: S, d: str) -> DataFrame:
     return R.newest(p, "path", "mtime")
 
 
-@query(sql("SELECT 'split_bg_0123' AS schema, '2,3' AS positive FROM (SELECT max(label) AS m FROM px_label)", "px_label"))
+@query(sql("SELECT CASE WHEN n>0 THEN 'split_bg_0123' ELSE 'legacy_012' END AS schema, CASE WHEN n>0 THEN '2,3' ELSE '2' END AS positive FROM (SELECT count(*) FILTER (WHERE label=3) AS n FROM px_label)", "px_label"))
 def label_schema(spark: S, d: str) -> DataFrame:
     return R.label_schema(V.px_label(spark, d), "label")
 
