@@ -37,25 +37,36 @@ def is_birch(text: Column, code: Column, codes: tuple[str, ...] = ("BI", "PBI",
     return code_text(code).isin(*codes) | value_text(text).rlike(rf"\b{word}\b")
 
 
-def only_allowed(c: Column, allowed: list[str], known: list[str]) -> Column:
-    """Empty: true; no known species: false; else whether all hits are allowed."""
+def is_downy(text: Column, code: Column | None = None, codes: tuple[str, ...] = ("PBI",), phrase: str = "downy birch") -> Column:
+    """The downy birch's code, or its name as a phrase."""
+    named = value_text(text).rlike(r"\b" + phrase.replace(" ", r"\s+") + r"\b")
+    return named if code is None else code_text(code).isin(*codes) | named
+
+
+def only_allowed(c: Column, allowed: list[str], known: list[str], birch: Column | None = None, downy: Column | None = None) -> Column:
+    """Empty: true; a birch: whether it is a downy one; no known species: false; else whether all hits are allowed."""
     hits = word_hits(c, known)
-    return F.when(is_empty(c), True).when(F.size(hits) == 0, False).otherwise(F.size(F.array_except(hits, F.array(*map(F.lit, allowed)))) == 0)
+    out = F.when(is_empty(c), True)
+    if birch is not None:
+        out = out.when(birch, F.coalesce(downy, F.lit(False)) if downy is not None else F.lit(False))
+    return out.when(F.size(hits) == 0, False).otherwise(F.size(F.array_except(hits, F.array(*map(F.lit, allowed)))) == 0)
 
 
-def off_peat(primary: Column, others: list[Column], target: list[str], alder: str, birch: str, exclude_birch: bool = False) -> Column:
-    """The primary species is a target one, alder is anywhere, and, if asked, there is no birch."""
+def off_peat(primary: Column, others: list[Column], target: list[str], alder: str, birch: str, exclude_birch: bool = False, downy: Column | None = None) -> Column:
+    """The primary species is a target one or a downy birch, alder is anywhere, and, if asked, there is no birch."""
     every = [primary, *others]
     has = lambda n: F.greatest(*[F.size(word_hits(c, [n])) for c in every]) > 0 if len(every) > 1 else F.size(word_hits(primary, [n])) > 0
-    out = (F.size(word_hits(primary, target)) > 0) & has(alder)
+    first = F.size(word_hits(primary, target)) > 0
+    out = (first if downy is None else first | downy) & has(alder)
     return out & ~has(birch) if exclude_birch else out
 
 
-def on_peat(primary: Column, others: list[Column], target: list[str], known: list[str]) -> Column:
-    """The primary species is a target one and all others are empty or allowed."""
+def on_peat(primary: Column, others: list[Column], target: list[str], known: list[str], downy: Column | None = None, birches: list[tuple[Column, Column]] | None = None) -> Column:
+    """The primary species is a target one or a downy birch, and all others are empty or allowed; `birches` has (is birch, is downy) of each of the others."""
     out = F.size(word_hits(primary, target)) > 0
-    for c in others:
-        out = out & only_allowed(c, target, known)
+    out = out if downy is None else out | downy
+    for i, c in enumerate(others):
+        out = out & only_allowed(c, target, known, *(birches[i] if birches else ()))
     return out
 
 
@@ -66,11 +77,15 @@ def functional_type(columns: list[Column], deciduous: list[str], evergreen: list
     return F.when((d > 0) & (e == 0), 1).when((e > 0) & (d == 0), 2).otherwise(0)
 
 
-def dry_type(primary: Column, others: list[Column], deciduous: list[str], evergreen: list[str]) -> Column:
-    """1 deciduous, 0 evergreen: more hits win; a tie goes by the primary species; else 1."""
+def dry_type(primary: Column, others: list[Column], deciduous: list[str], evergreen: list[str], hints: tuple[list[str], list[str]] | None = None) -> Column:
+    """1 deciduous, 0 evergreen: more hits win; a tie goes by the primary species, then by general words (`hints`: of deciduous, of evergreen) in any column; else 1."""
     n = lambda names: sum((F.size(substring_hits(c, names)) for c in others), F.size(substring_hits(primary, names)))
     d, e = n(deciduous), n(evergreen)
-    return F.when(d > e, 1).when(e > d, 0).when(F.size(substring_hits(primary, evergreen)) > F.size(substring_hits(primary, deciduous)), 0).otherwise(1)
+    pd, pe = F.size(substring_hits(primary, deciduous)), F.size(substring_hits(primary, evergreen))
+    out = F.when(d > e, 1).when(e > d, 0).when(pe > pd, 0)
+    if hints:
+        out = out.when(pd > pe, 1).when(n(hints[0]) > 0, 1).when(n(hints[1]) > 0, 0)
+    return out.otherwise(1)
 
 
 def species_filter(columns: list[Column], target: list[str]) -> Column:
@@ -91,6 +106,27 @@ def species_column(df: DataFrame, candidates: list[str], names: list[str]) -> st
     return next((c for c in order if row[c]), None)
 
 
+#: Names of classes by schema.
+SCHEMAS = {
+    "binary_01": {0: "background", 1: "wet"},
+    "legacy_012": {0: "evergreen", 1: "deciduous", 2: "wet"},
+    "split_bg_0123": {0: "evergreen", 1: "deciduous", 2: "wet_on_peat", 3: "wet_off_peat"},
+}
+
+
+def run_id(name: Column, number: Column) -> Column:
+    """A run's name with its number behind it, if it doesn't end in it yet; without a name, run_<number>; paths lose a closing slash."""
+    base = F.regexp_replace(F.trim(name), r"[/\\\\]+$", "")
+    end = F.concat(F.lit("_"), number.cast("string"))
+    return F.when(F.coalesce(base, F.lit("")) == "", F.concat(F.lit("run"), end)).when(base.endswith(end), base).otherwise(F.concat(base, end))
+
+
+def feature_names(width: int) -> list[str]:
+    """Names of feature bands by their number: 64 embeddings, then elevation and slope, aspect, a wetness index; other widths count up (D-25)."""
+    more = ["elevation", "slope", "aspect", "twi"][: width - 64] if width in (66, 67, 68) else []
+    return [f"emb_{i:02d}" for i in range(64)] + more if more else [f"band_{i}" for i in range(width)]
+
+
 def class_name(label: Column, names: dict[int, str]) -> Column:
     """J11."""
     return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[label]

@@ -77,6 +77,13 @@ def adjusted(sweep_df: DataFrame, prevalence: float, beta: float) -> DataFrame:
     return sweep_df.select("threshold", F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), F.coalesce(F.try_divide((1 + b2) * tp, (1 + b2) * tp + b2 * fn + fp), F.lit(0.0)).alias("fbeta"))
 
 
+def deployment_target(curve: DataFrame, target: float, eps: float = 1e-9) -> DataFrame:
+    """(threshold, precision, recall, met): the first threshold whose precision reaches the target, else that of the greatest precision, the first of ties (L1)."""
+    ok = F.col("precision") >= target - eps
+    best = F.struct(ok.cast("int"), F.when(ok, 0.0).otherwise(F.col("precision")), -F.col("threshold"))
+    return curve.where("precision is not null").agg(F.max_by(F.struct("threshold", "precision", "recall"), best).alias("s"), F.max(ok).alias("met")).select("s.*", "met")
+
+
 def best_threshold(curve: DataFrame, score: str) -> DataFrame:
     """The first threshold of the greatest score (L1)."""
     return curve.agg(F.max_by(F.struct("threshold", score), F.struct(F.col(score), -F.col("threshold"))).alias("b")).select("b.threshold", f"b.{score}")

@@ -103,6 +103,25 @@ def row_profile(df: DataFrame, value: str, window: int) -> DataFrame:
     return rows.withColumn("smooth", F.avg("mean").over(Window.orderBy("row").rangeBetween(-k, k)))
 
 
+def shade_alpha(shade: Column, inside: Column, strength: float = 1.0) -> Column:
+    """Opacity 0-255 of a terrain shadow: (1 - shade) * strength inside the mask, 0 outside and where there is none."""
+    return F.when(F.coalesce(inside, F.lit(False)) & shade.isNotNull(), F.round((1 - F.greatest(F.least(shade, F.lit(1.0)), F.lit(0.0))) * strength * 255)).otherwise(0).cast("int")
+
+
+def composite(value: Column, inside: Column, table: list[tuple[int, int, int]]) -> Column:
+    """Colours (r, g, b, alpha) of values in [0, 1] by a look-up table; outside the mask transparent."""
+    place = F.least(F.lit(len(table)), F.floor(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)) * (len(table) - 1) + 0.5).cast("int") + 1)
+    colours = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"), F.lit(255).alias("alpha")) for r, g, b in table])
+    none = F.struct(F.lit(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"), F.lit(0).alias("alpha"))
+    return F.when(F.coalesce(inside, F.lit(False)) & value.isNotNull(), F.element_at(colours, place)).otherwise(none)
+
+
+def preview(df: DataFrame, value: str, inside: str, factor: int) -> DataFrame:
+    """(brow, bcol, value, share): block means of the pixels inside the mask, and their share; blocks without one are not there."""
+    own = df.withColumns({"brow": F.expr(f"row div {factor}").cast("int"), "bcol": F.expr(f"col div {factor}").cast("int"), "__gl_v": F.when(F.col(inside), F.col(value))})
+    return own.groupBy("brow", "bcol").agg(F.avg("__gl_v").alias(value), F.try_divide(F.count("__gl_v"), F.count("*")).alias("share")).where(F.col(value).isNotNull())
+
+
 def rank_scale(df: DataFrame, value: str) -> DataFrame:
     """Of positive values (number <= v - 1) / (n - 1): ties take the upper rank; a single value is 1, others are 0.
 

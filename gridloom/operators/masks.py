@@ -65,6 +65,12 @@ def sanitise(c: Column, limit: float = 1e10) -> Column:
     return F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(limit)), F.lit(-limit)))
 
 
+def terrain_source(mode: str, sources: dict[str, DataFrame], fallback: str = "global") -> DataFrame:
+    """The terrain table of a mode, without case; the fallback where the mode has none (D-5)."""
+    names = {k.lower(): v for k, v in sources.items()}
+    return names.get(mode.strip().lower(), names[fallback])
+
+
 def winsorise(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Columns clipped to their exact percentiles (D-10)."""
     out = df

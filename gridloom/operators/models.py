@@ -41,6 +41,53 @@ def predict_linear(df: DataFrame, weights: list[float], bias: float, threshold:
     return df.withColumn("p", F.when(ok, p)).withColumn("pred", (F.col("p") > threshold).cast("int"))
 
 
+def fit_logistic(df: DataFrame, ridge: float = 0.01, steps: int = 8) -> tuple[list[float], float]:
+    """(weights, intercept) of a ridge logistic regression on (features, y), by Newton steps of one aggregation each: what is collected is as wide as the features, squared."""
+    k = len(df.select("features").first()[0]) + 1
+    w = np.zeros(k)
+    x = df.select(F.concat(F.transform("features", lambda v: v.cast("double")), F.array(F.lit(1.0))).alias("x"), F.col("y").cast("double").alias("y")).where("y is not null and forall(x, v -> v is not null and not isnan(v))")
+    for _ in range(steps):
+        def sums(batches, w=w):
+            grad, hess = np.zeros(k), np.zeros((k, k))
+            for pdf in batches:
+                if len(pdf):
+                    m = np.stack(pdf.x.to_numpy())
+                    p = 1 / (1 + np.exp(-m @ w))
+                    grad += m.T @ (pdf.y.to_numpy() - p)
+                    hess += (m * (p * (1 - p))[:, None]).T @ m
+            yield pd.DataFrame({"i": np.arange(k + k * k), "v": np.append(grad, hess.ravel())})
+
+        total = np.zeros(k + k * k)
+        for r in x.mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            total[r.i] = r.v
+        reg = np.diag(np.append(np.full(k - 1, ridge), 1e-9))
+        step = np.linalg.solve(total[k:].reshape(k, k) + reg, total[:k] - reg @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w[:-1].tolist(), float(w[-1])
+
+
+def geographic_folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """`df` with `fold`: k-means clusters of (x, y), numbered by their centres."""
+    from pyspark.ml.clustering import KMeans
+
+    v = VectorAssembler(inputCols=["x", "y"], outputCol="__gl_v").transform(df)
+    model = KMeans(k=k, seed=seed, featuresCol="__gl_v", predictionCol="__gl_c").fit(v)
+    order = {c: i for i, (_, c) in enumerate(sorted((tuple(float(z) for z in m), c) for c, m in enumerate(model.clusterCenters())))}
+    number = F.create_map(*[F.lit(z) for kv in order.items() for z in kv])
+    return model.transform(v).withColumn("fold", number[F.col("__gl_c")]).drop("__gl_v", "__gl_c")
+
+
+def near_distance_weights(df: DataFrame, cell: float, id_col: str = "id") -> DataFrame:
+    """(id, weight): the distance to the nearest other sample over the mean of all, so that crowded samples weigh less."""
+    from ..functions.lineage import cut
+    from .spatial_join import nearest_other
+
+    nn = cut(nearest_other(df.select(F.col(id_col).alias("id"), "x", "y"), cell))
+    return nn.crossJoin(F.broadcast(nn.agg(F.avg("nn").alias("__gl_m")))).select("id", F.try_divide(F.col("nn"), F.col("__gl_m")).alias("weight"))  # one row
+
+
 def argmax_class(scores: Column) -> Column:
     """The first class of the greatest score (M4)."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

@@ -37,12 +37,12 @@ def buffer_exclusion(blocked: DataFrame, test_fold: int, buffer: int = 1) -> Dat
     return blocked.where(F.col("fold") != test_fold).join(near, ["bx", "by"], "left_anti")
 
 
-def rebalance(df: DataFrame, ratio: float, share: float, id_col: str = "id") -> DataFrame:
+def rebalance(df: DataFrame, ratio: float, share: float | None, id_col: str = "id") -> DataFrame:
     """`kept` by block (K4): all positives (label >= 2); background up to int(positives * ratio), of which the share goes to class 1
-    and the rest to class 0; places that a class can't fill go to the other. Blocks without both sides are discarded whole."""
+    and the rest to class 0; without a share, half each, the odd one to class 1; places that a class can't fill go to the other. Blocks without both sides are discarded whole."""
     c = df.groupBy("block").agg(F.sum((F.col("label") >= 2).cast("int")).alias("np"), F.sum((F.col("label") == 0).cast("int")).alias("n0"), F.sum((F.col("label") == 1).cast("int")).alias("n1"))
     quota = F.floor(F.col("np") * ratio)
-    q = c.withColumn("q", F.least(quota, F.col("n0") + F.col("n1"))).withColumn("w1", F.floor(F.col("q") * share)).withColumn("w0", F.col("q") - F.col("w1"))
+    q = c.withColumn("q", F.least(quota, F.col("n0") + F.col("n1"))).withColumn("w1", F.floor((F.col("q") + 1) / 2) if share is None else F.floor(F.col("q") * share)).withColumn("w0", F.col("q") - F.col("w1"))
     q = q.withColumn("k1", F.least("n1", F.col("w1") + F.greatest(F.lit(0), F.col("w0") - F.col("n0")))).withColumn("k0", F.least("n0", F.col("w0") + F.greatest(F.lit(0), F.col("w1") - F.col("n1"))))
     ok = (F.col("np") > 0) & (F.col("n0") + F.col("n1") > 0)
     j = df.withColumn("__gl_t", turn(["block", "label"], id_col)).join(q.select("block", "k0", "k1", ok.alias("__gl_ok")), "block")

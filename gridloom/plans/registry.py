@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..operators import zonal
-from . import q_learn, q_masks, q_patches, q_rules, q_space
+from . import q_geometry, q_learn, q_masks, q_more, q_patches, q_rules, q_space
 from .base import ORACLES, QUERIES, Query
 
-MODULES = (q_masks, q_patches, q_space, q_rules, q_learn)
+MODULES = (q_masks, q_patches, q_space, q_geometry, q_rules, q_learn, q_more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

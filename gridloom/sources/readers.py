@@ -45,6 +45,22 @@ def collect_tiles(spark: SparkSession, folder: str, glob: str = "*.parquet") ->
     return spark.read.option("pathGlobFilter", glob).parquet(folder).withColumn("tile_file", F.col("_metadata.file_name"))
 
 
+def load_tiles(tiles: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """Features, labels and coordinates of the wanted tiles (tile_id) in one table: a scan of all of them, each once."""
+    return tiles.join(wanted.select("tile_id").distinct(), "tile_id", "left_semi").select("tile_id", "row", "col", *columns)
+
+
+def union_mosaic(tiles: DataFrame, bounds: tuple[int, int, int, int] | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """The first valid value of each pixel over the union of the tiles' extents; cropped to (row0, row1, col0, col1), or to the box of a mask."""
+    out = tiles.groupBy("row", "col").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("tile_id"))).alias("value"))
+    if mask is not None:
+        box = mask.agg(F.min("row").alias("__gl_r0"), F.max("row").alias("__gl_r1"), F.min("col").alias("__gl_c0"), F.max("col").alias("__gl_c1"))
+        out = out.crossJoin(F.broadcast(box)).where("row between __gl_r0 and __gl_r1 and col between __gl_c0 and __gl_c1").select("row", "col", "value")  # one row
+    if bounds is not None:
+        out = out.where(F.col("row").between(*bounds[:2]) & F.col("col").between(*bounds[2:]))
+    return out
+
+
 def tile_position(name: Column) -> tuple[Column, Column]:
     """(x, y) of a file name that ends in -X-Y.suffix, NULL where it doesn't."""
     pick = lambda g: F.when(F.regexp_extract(name, r"-(\d+)-(\d+)\.\w+$", g) != "", F.regexp_extract(name, r"-(\d+)-(\d+)\.\w+$", g).cast("int"))

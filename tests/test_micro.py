@@ -240,3 +240,91 @@ def test_bridge_components_asks_for_every_likely_pixel(spark, data):
     want = {r.lin for r in V.px(spark, data).where("prob >= 0.95").select("lin").collect()}
     assert want
     assert {r.lin for r in bridge_components(spark, data).select("lin").collect()} == want
+
+
+def test_percentiles_against_numpy(spark):
+    import numpy as np
+
+    from gridloom.functions.quantiles import percentiles
+
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 4 else int(g), None if v > 0.95 else float(round(v, 2))) for g, v in zip(rng.integers(0, 5, 3000), rng.random(3000), strict=True)] + [(9, None), (8, 1.5)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    qs = [0.0, 0.013, 0.5, 0.9, 1.0]
+    got = {r.g: r.q for r in percentiles(df, "v", qs, ["g"]).collect()}
+    for g in (0, 1, 2, 3, None, 8):
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g and v is not None], qs))
+    assert 9 not in got
+    assert np.allclose(percentiles(df, "v", qs).first().q, np.quantile([v for _, v in rows if v is not None], qs))
+    assert percentiles(df.where("g = 9"), "v", [0.5]).first().q == [None]
+
+
+def test_logistic_against_numpy(spark):
+    import numpy as np
+
+    from gridloom.operators.models import fit_logistic
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 5))
+    y = (x @ np.array([1.0, -2.0, 0.5, 0.0, 0.3]) + rng.normal(size=400) > 0.2).astype(int)
+    df = spark.createDataFrame([(r.tolist(), int(t)) for r, t in zip(x, y, strict=True)] + [([None] * 5, 1), ([1.0] * 5, None)], "features array<double>, y int").repartition(3)
+    w, b = fit_logistic(df, 0.5, 30)
+    z, v, reg = np.concatenate((x, np.ones((400, 1))), 1), np.zeros(6), np.diag([0.5] * 5 + [1e-9])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ v))
+        v = v + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + reg, z.T @ (y - p) - reg @ v)
+    assert np.allclose([*w, b], v, atol=1e-6)
+
+
+def test_geographic_folds(spark):
+    import numpy as np
+
+    from gridloom.operators.models import geographic_folds
+
+    rng = np.random.default_rng(1)
+    centres = [(0, 0), (1000, 0), (0, 1000), (1000, 1000)]
+    rows = [(4 * i + k, float(cx + rng.normal()), float(cy + rng.normal())) for i in range(50) for k, (cx, cy) in enumerate(centres)]
+    got = geographic_folds(spark.createDataFrame(rows, "id long, x double, y double"), 4).collect()
+    assert len({(r.id % 4, r.fold) for r in got}) == len({r.fold for r in got}) == 4
+
+
+def test_polygons_that_are_not_convex():
+    import numpy as np
+
+    from gridloom.operators.geometry import rings_meet, shared_area
+
+    l_shape = np.array([(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)], float)
+    notch = np.array([(2, 2), (6, 2), (6, 6), (2, 6)], float)
+    assert not rings_meet(l_shape, notch)
+    assert shared_area(l_shape, notch) == 0
+    square = np.array([(0.5, 0.5), (0.5, 3), (3, 3), (3, 0.5)], float)
+    assert rings_meet(l_shape, square)
+    assert np.isclose(shared_area(l_shape, square), 2.5 * 0.5 + 0.5 * 2)
+    assert np.isclose(shared_area(l_shape, l_shape), 7)
+    inner = np.array([(0.2, 0.2), (0.4, 0.2), (0.3, 0.4)], float)
+    assert rings_meet(l_shape, inner)
+    assert np.isclose(shared_area(inner, l_shape), 0.02)
+    touch = np.array([(4, 0.5), (5, 0), (5, 1)], float)
+    assert rings_meet(l_shape, touch)
+
+
+def test_burning_polygons_that_are_not_convex(spark):
+    import numpy as np
+
+    from gridloom.functions.grid import GridSpec
+    from gridloom.operators.geometry import RING, _inside, burn
+
+    rng = np.random.default_rng(3)
+    rings = [[(float(r * np.cos(t) + 20), float(r * np.sin(t) + 20)) for t, r in zip(np.sort(rng.random(9)) * 2 * np.pi, rng.uniform(3, 19, 9), strict=True)] for _ in range(6)]
+    df = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)], f"poly_id long, ring {RING}")
+    s = GridSpec(0.0, 40.0, 1.0, 40, 40)
+    at = np.array([(c + 0.5, 39.5 - r) for r in range(40) for c in range(40)])
+    want = {(i, k // 40, k % 40) for i, ring in enumerate(rings) for k in np.flatnonzero(_inside(at, np.array(ring)))}
+    assert {tuple(r) for r in burn(df, s).collect()} == want
+    fine = np.array([((c + 0.5) / 8, 40 - (r + 0.5) / 8) for r in range(320) for c in range(320)])
+    touched = {tuple(r) for r in burn(df, s, True).collect()}
+    for i, ring in enumerate(rings):
+        inner = {(i, k // 320 // 8, k % 320 // 8) for k in np.flatnonzero(_inside(fine, np.array(ring)))}
+        own = {t for t in touched if t[0] == i}
+        assert inner <= own
+        assert len(own) <= len(inner) + 60
