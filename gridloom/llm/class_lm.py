@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,7 +184,7 @@ def _find(sorted_hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], known: np.ndarray, cls: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
-    """(key, slot, n): how often a word outside the core comes before the core's words of class slot, or after those of class slot - classes."""
+    """(key, slots, counts) of a chunk's words outside the core: how often one comes before the core's words of class slot, or after those of class slot - classes."""
 
     def one(c: Coded) -> tuple[np.ndarray, np.ndarray]:
         at, there = _find(known, c.words)
@@ -197,7 +198,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch], known: np.ndarray, cls: np.nd
     for batch in batches:
         for text in _texts(batch):
             key, n = one(text)
-            yield pa.RecordBatch.from_arrays([pa.array(text.words[key // (2 * classes)].view(np.int64)), pa.array((key % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "slot", "n"])
+            word, slot = key // (2 * classes), (key % (2 * classes)).astype(np.uint16)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            ends = np.append(first, len(word)).astype(np.int32)
+            cells = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (slot, n.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array(text.words[word[first]].view(np.int64)), *cells], ["key", "slots", "counts"])
 
 
 def place_words(word: np.ndarray, slot: np.ndarray, n: np.ndarray, words: int, table: np.ndarray) -> np.ndarray:
@@ -225,10 +230,11 @@ def place_words(word: np.ndarray, slot: np.ndarray, n: np.ndarray, words: int, t
 
 
 def _placed(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, cls) from (key, slot, n) that come sorted by key; a key may run over batches."""
+    """(key, cls) from (key, slots, counts) that come sorted by key; a key may run over batches."""
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, slot, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        slot, n = (np.frombuffer(b"".join(x for b in held for x in b.column(c).to_pylist()), kind).astype(np.int64) for c, kind in ((1, np.uint16), (2, np.uint32)))
+        key = np.concatenate([np.repeat(b.column(0).to_numpy(), pc.binary_length(b.column(1)).to_numpy() // 2) for b in held])
         first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         word = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
         cell, at = np.unique(word * (2 * len(table)) + slot, return_inverse=True)
@@ -310,7 +316,7 @@ def fit(docs: DataFrame, core: int = CORE, classes: int = CLASSES, coded: DataFr
     cells = np.bincount(of[key // (size + 1)] * k + of[key % (size + 1)], n, k * k).reshape(k, k) if size else np.zeros((1, 1))
     own = (known, of[order], counts[order])
     shared = spark.sparkContext.broadcast((own, cells))
-    slots = coded.mapInArrow(lambda b: _neighbours(b, shared.value[0][0], shared.value[0][1], k), "key long, slot int, n long")
+    slots = coded.mapInArrow(lambda b: _neighbours(b, shared.value[0][0], shared.value[0][1], k), "key long, slots binary, counts binary")
     rest = slots.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _placed(b, shared.value[1]), "key long, cls int")
     # a word that is never next to one of the core goes to the class that the core's words are in most
     usual = int(np.argmax(np.bincount(of, counts, k))) if size else 0

@@ -2,7 +2,7 @@
 
 A sentence is a bag of units: its words (letters and digits only, so characters of other kinds inside a word don't count); every
 run of three or more one-character words, joined ("i d i o t"); and pairs and triples of neighbouring short words, joined ("stu pid"), where
-they share two runs of three letters with one of the words that training found to be toxic. The kernel of two
+more than half of their runs of three letters, and two at least, occur in words that training found to be toxic. The kernel of two
 units is the gap-weighted subsequence kernel of Lodhi et al. (2002), here of length 4 and decay 0.7, normalised: characters put into a word,
 or left out, lower it a little and don't hide it. Words of two and three letters, which have no subsequence of length 4, are only
 compared whole with the toxic words of training.
@@ -56,10 +56,25 @@ def units(chunk: Chunk) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, unit, doc
 
 
-def joins(chunk: Chunk) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(units, unit, doc): the different joined pairs and triples of neighbouring short words of a document, and where they begin."""
+def _ends(chunk: Chunk, trigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of a chunk: how many of its runs of three letters are in the table, and its first, second, last and last but one letter (0 if it has none)."""
+    names = chunk.words.to_pylist()
+    codes, sizes = _codes(names)
+    codes = np.concatenate((codes, np.zeros((len(names), 2), codes.dtype)), 1)
+    inner, at = np.zeros(len(names), np.int64), np.arange(len(names))
+    for k in np.unique(sizes):
+        if k >= 3:
+            own = np.flatnonzero(sizes == k)
+            inner[own] = trigrams[_trigrams(codes[own, :k])].sum(1)
+    last = np.where(sizes > 0, codes[at, np.maximum(sizes - 1, 0)], 0)
+    return inner, np.stack((np.where(sizes > 0, codes[:, 0], 0), np.where(sizes > 1, codes[:, 1], 0), last, np.where(sizes > 1, codes[at, np.maximum(sizes - 2, 0)], 0)))
+
+
+def joins(chunk: Chunk, trigrams: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(units, unit, doc): the different joined pairs and triples of neighbouring short words of a document, and where they begin; with a table of trigrams, those that `may` lets through."""
     n, w = len(chunk.codes), max(1, len(chunk.words))
-    size = pc.utf8_length(chunk.words).to_numpy(zero_copy_only=False).astype(np.int64)[chunk.codes] if n else np.empty(0, np.int64)
+    lengths = pc.utf8_length(chunk.words).to_numpy(zero_copy_only=False).astype(np.int64)
+    size, ends = lengths[chunk.codes] if n else np.empty(0, np.int64), None
     doc, code = chunk.doc, chunk.codes.astype(np.int64)
     strings, unit, where, done = [], [], [], 0
     for k, most in ((2, PAIR), (3, TRIPLE)):
@@ -77,8 +92,24 @@ def joins(chunk: Chunk) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         key, place = np.unique(key, return_inverse=True)
         parts, rest = [], key
         for _ in range(k):
-            parts.insert(0, chunk.words.take(pa.array(rest % w)))
+            parts.insert(0, rest % w)
             rest = rest // w
+        if trigrams is not None:
+            inner, (head, head2, tail, tail2) = ends = ends or _ends(chunk, trigrams)
+            run = lambda a, b, c: trigrams[_trigrams(np.stack((a, b, c), 1))[:, 0]] & (a > 0) & (b > 0) & (c > 0)
+            hits = sum(inner[x] for x in parts)
+            for x, y in zip(parts[:-1], parts[1:], strict=True):
+                hits = hits + run(tail2[x], tail[x], head[y]) + run(tail[x], head[y], head2[y])
+            if k == 3:  # a middle word of one letter: the run over all three
+                x, y, z = parts
+                hits = hits + (run(tail[x], head[y], head[z]) & (head2[y] == 0))
+            letters = sum(lengths[x] for x in parts)
+            some = (hits >= 2) & (2 * hits > letters - 2)
+            number = np.cumsum(some) - 1
+            inside = some[place]
+            at, place, parts = at[inside], number[place[inside]], [x[some] for x in parts]
+            key = key[some]
+        parts = [chunk.words.take(pa.array(x)) for x in parts]
         strings.append(pc.binary_join_element_wise(*parts, ""))
         unit.append(place + done)
         where.append(doc[at])
@@ -158,14 +189,15 @@ class Svm:
         self.w, self.b = np.zeros(keep.sum(), np.float32), np.float32(-1)
 
     def may(self, joined: pa.Array) -> np.ndarray:
-        """Places of the joined units that share two runs of three letters with a witness."""
+        """Places of the joined units of which more than half of the runs of three letters, and two at least, are those of witnesses."""
         sizes = pc.utf8_length(joined).to_numpy(zero_copy_only=False)
         out = [np.empty(0, np.int64)]
         for k in range(4, JOINED + 1):
             at = np.flatnonzero(sizes == k)
             if len(at):
                 codes, _ = _codes(joined.take(pa.array(at)).to_pylist())
-                out.append(at[self.trigrams[_trigrams(codes)].sum(1) >= 2])
+                hits = self.trigrams[_trigrams(codes)].sum(1)
+                out.append(at[(hits >= 2) & (2 * hits > k - 2)])
         return np.sort(np.concatenate(out))
 
     def features(self, words: list[str], block: int = 8192) -> np.ndarray:
@@ -341,8 +373,7 @@ def toxic_units(docs: DataFrame, model: Svm) -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 chunk = Chunk(part.column("text"))
-                joined = joins(chunk)[0]
-                new = pa.array([w for w in units(chunk)[0] if len(w) > 1], pa.string()), joined.take(pa.array(model.may(joined)))
+                new = pa.array([w for w in units(chunk)[0] if len(w) > 1], pa.string()), joins(chunk, model.trigrams)[0]
                 held = [pc.unique(pa.concat_arrays([a, b])) for a, b in zip(held, new, strict=True)]
                 if sum(h.nbytes for h in held) > 32 << 20:
                     yield from out(held)
@@ -393,7 +424,7 @@ def toxic_documents(docs: DataFrame, model: Svm, limit: int = 500_000) -> DataFr
                 for piece in pieces(batch):
                     chunk = Chunk(piece.column("text"))
                     best = np.full(piece.num_rows, len(names), np.int64)
-                    for rank, (words, unit, doc) in zip(ranks, (units(chunk), joins(chunk)), strict=True):
+                    for rank, (words, unit, doc) in zip(ranks, (units(chunk), joins(chunk, model.trigrams)), strict=True):
                         if len(rank) and len(words):
                             h = hash_strings(words)
                             k = np.minimum(np.searchsorted(known[rank], h), len(rank) - 1)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec, disc, inside, scatter
 
+#: Rows of pixels that one task brings to their envelopes at a time.
+BAND = 128
+
 
 def distance_capped(grid: DataFrame, seeds: DataFrame, spec: GridSpec, cap: float) -> DataFrame:
     """(row, col, dist) of all pixels of the grid: metres to the nearest seed, `cap` where none is that near."""
@@ -22,8 +25,8 @@ def distance_full(grid: DataFrame, seeds: DataFrame, spec: GridSpec) -> DataFram
     """(row, col, dist): exact, without a cap; NULL if there is no seed.
 
     Two passes. Columns: every seed row gives each of its column's rows the vertical distance to the nearest seed, one group a column.
-    Rows: the lower envelope of the parabolas of a row's columns (Felzenszwalb and Huttenlocher, 2012), one group a row.
-    A group is one line of pixels, whatever the raster's size.
+    Rows: the lower envelope of the parabolas of a row's columns (Felzenszwalb and Huttenlocher, 2012), for a band of `BAND` rows at a time, whose
+    columns are the same. A group is a column, or a band of rows, whatever the raster's size.
     """
     height, width, px = spec.height, spec.width, spec.px
 
@@ -36,25 +39,29 @@ def distance_full(grid: DataFrame, seeds: DataFrame, spec: GridSpec) -> DataFram
         return pd.DataFrame({"row": all_rows, "col": int(key[0]), "g": np.minimum(up, down).astype("int64")})
 
     def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col")
-        q, f = pdf["col"].to_numpy(np.float64), pdf["g"].to_numpy(np.float64) ** 2
-        v, z = np.zeros(len(q), int), np.full(len(q) + 1, np.inf)
-        k, z[0] = 0, -np.inf
+        q, rows = np.sort(pdf["col"].unique()).astype(np.float64), np.sort(pdf["row"].unique())
+        f = np.empty((len(rows), len(q)))
+        f[np.searchsorted(rows, pdf["row"].to_numpy()), np.searchsorted(q, pdf["col"].to_numpy())] = pdf["g"].to_numpy(np.float64) ** 2
+        n, every = len(rows), np.arange(len(rows))
+        v, z, k = np.zeros((n, len(q)), np.int64), np.full((n, len(q) + 1), np.inf), np.zeros(n, np.int64)
+        z[:, 0] = -np.inf
         for i in range(1, len(q)):
-            while True:
-                j = v[k]
-                s = ((f[i] + q[i] ** 2) - (f[j] + q[j] ** 2)) / (2 * q[i] - 2 * q[j])
-                if s > z[k]:
-                    break
-                k -= 1
+            s, open_ = np.empty(n), every
+            while len(open_):
+                j = v[open_, k[open_]]
+                s[open_] = ((f[open_, i] + q[i] ** 2) - (f[open_, j] + q[j] ** 2)) / (2 * q[i] - 2 * q[j])
+                open_ = open_[s[open_] <= z[open_, k[open_]]]
+                k[open_] -= 1
             k += 1
-            v[k], z[k], z[k + 1] = i, s, np.inf
+            v[every, k], z[every, k] = i, s
+            z[every, np.minimum(k + 1, len(q))] = np.inf
         x = np.arange(width)
-        own = v[np.searchsorted(z[1 : k + 1], x, "left")]
-        return pd.DataFrame({"row": int(pdf["row"].iloc[0]), "col": x, "dist": np.sqrt((x - q[own]) ** 2 + f[own]) * px})
+        own = np.stack([v[r, np.searchsorted(z[r, 1 : k[r] + 1], x, "left")] for r in range(n)])
+        dist = np.sqrt((x[None, :] - q[own]) ** 2 + np.take_along_axis(f, own, 1)) * px
+        return pd.DataFrame({"row": np.repeat(rows, width).astype(np.int32), "col": np.tile(x, n).astype(np.int32), "dist": dist.ravel()})
 
     columns = seeds.select("row", "col").groupBy("col").applyInPandas(vertical, "row int, col int, g long")
-    found = columns.groupBy("row").applyInPandas(envelope, "row int, col int, dist double")
+    found = columns.groupBy(F.floor(F.col("row") / BAND)).applyInPandas(envelope, "row int, col int, dist double")
     return grid.select("row", "col").join(found, ["row", "col"], "left")
 
 

@@ -24,33 +24,47 @@ def proximity_index(points: DataFrame, radius: float, power: float = 2.0) -> Dat
     return points.select("id").join(p, "id", "left").fillna({"proximity_index": 0.0, "neighbours": 0})
 
 
-def nearest_other(points: DataFrame, cell: float, by: list[str] | None = None) -> DataFrame:
+def nearest_other(points: DataFrame, cell: float | None = None, by: list[str] | None = None, crowd: int = 32) -> DataFrame:
     """(id, [by], nn): the distance to the nearest other point (of the same group), NULL for a point alone.
 
-    Points look in rings of cells that double in width until the found distance is at most the searched one, so only points in
-    thin regions search far; every round is an equi-join.
+    Points that share their place with another have 0 at once; places are kept once, so a crowd at one place is one place. The first cells
+    are so narrow that the fullest holds about `crowd` places (`cell` is their greatest width). Open places look in the 3 x 3 cells round them, which widen
+    fourfold until the found distance is at most the searched one: only open places are dealt to cells, and only in thin regions they stay open.
     """
     by = by or []
-    pts = points.select("id", "x", "y", *by)
-    open_, done, width = pts, None, float(cell)
-    span = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    reach = max(span[0] or 0.0, span[1] or 0.0) if span else 0.0
+    places = cut(points.groupBy("x", "y", *by).agg(F.count("*").alias("__gl_n")))
+    stats = places.agg(F.count("*").alias("n"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    reach = max(stats[1] or 0.0, stats[2] or 0.0)
+    width = max(reach, 1e-9) / max(1.0, (stats["n"] or 1) ** 0.5)
+    width = min(width, float(cell)) if cell else width
+    for _ in range(3):  # uneven points: narrower, by the fullest cell
+        top = places.groupBy(*by, F.floor(F.col("x") / width), F.floor(F.col("y") / width)).count().agg(F.max("count")).first()[0] or 0
+        if top <= crowd:
+            break
+        width *= max((crowd / top) ** 0.5, 1 / 64)
+    alone = places.where("__gl_n = 1").select("x", "y", *by)
+    open_, done = alone, places.where("__gl_n > 1").select("x", "y", *by, F.lit(0.0).alias("nn"))
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    b = places.select(F.col("x").alias("x2"), F.col("y").alias("y2"), *[F.col(c).alias(f"o_{c}") for c in by])
     while True:
-        o = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        a = open_.select("id", "x", "y", *by, F.floor(F.col("x") / width).alias("i"), F.floor(F.col("y") / width).alias("j"))
-        b = pts.select(F.col("id").alias("o_id"), F.col("x").alias("x2"), F.col("y").alias("y2"), *[F.col(c).alias(f"o_{c}") for c in by], F.floor(F.col("x") / width).alias("i0"), F.floor(F.col("y") / width).alias("j0"), o.alias("di")).select("*", o.alias("dj")).withColumns({"i2": F.col("i0") + F.col("di"), "j2": F.col("j0") + F.col("dj")})
-        cond = (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("id") != F.col("o_id"))
+        look = open_.withColumn("o", o).select("x", "y", *by, (F.floor(F.col("x") / width) + F.col("o.i")).alias("i"), (F.floor(F.col("y") / width) + F.col("o.j")).alias("j"))
+        near = b.withColumns({"i2": F.floor(F.col("x2") / width), "j2": F.floor(F.col("y2") / width)})
+        cond = (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & ((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")))
         for c in by:
             cond &= F.col(c).eqNullSafe(F.col(f"o_{c}"))
         d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-        found = cut(a.join(b, cond, "left").groupBy("id", "x", "y", *by).agg(F.sqrt(F.min(d2)).alias("nn")))
+        found = cut(look.join(near, cond, "left").groupBy("x", "y", *by).agg(F.sqrt(F.min(d2)).alias("nn")))
         last = width > reach
-        ok = found if last else found.where(F.col("nn") <= width)
-        done = ok.select("id", *by, "nn") if done is None else done.unionByName(ok.select("id", *by, "nn"))
-        open_ = found.where(F.col("nn").isNull() | (F.col("nn") > width)).select("id", "x", "y", *by)
+        done = done.unionByName(found if last else found.where(F.col("nn") <= width))
+        open_ = found.where(F.col("nn").isNull() | (F.col("nn") > width)).select("x", "y", *by)
         if last or not open_.limit(1).count():
-            return done
+            break
         width *= 4.0
+    near = done.withColumnsRenamed({c: f"__gl_{c}" for c in ("x", "y", *by)})
+    same = (F.col("x") == F.col("__gl_x")) & (F.col("y") == F.col("__gl_y"))
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__gl_{c}"))
+    return points.join(near, same).select("id", *by, "nn")
 
 
 def bbox_overlap(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:

@@ -42,6 +42,18 @@ def test_joins():
     assert not any("wonderfully" in w for w, _ in got)
 
 
+def test_filtered_joins_are_those_that_may(trained):
+    docs, _, model = trained
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["a b c stu p id i d iot x pathe tic", "mo r on lo ser id io t"]
+    chunk = Chunk(pa.array(texts))
+    names, unit, doc = T.joins(chunk)
+    may = set(model.may(names).tolist())
+    want = {(names[int(u)].as_py(), int(d)) for u, d in zip(unit, doc, strict=True) if int(u) in may}
+    few, unit, doc = T.joins(chunk, model.trigrams)
+    assert {(few[int(u)].as_py(), int(d)) for u, d in zip(unit, doc, strict=True)} == want
+    assert want
+
+
 def test_split_short_and_mislabelled_insults(spark):
     """Insults in pieces, of three letters, and in a text that is labelled clean by mistake."""
     rng = random.Random(5)
@@ -71,7 +83,8 @@ def test_whole_query_against_scoring_one_text_at_a_time(spark, trained):
         scored = [(-round(float(s), 5), w) for w, s in zip(own, model.score(own), strict=True) if s > 0] if own else []
         for w in set(T.joins(chunk)[0].to_pylist()):
             grams = [T._trigrams(T._codes([w[i : i + 3]])[0])[0, 0] for i in range(len(w) - 2)]
-            if sum(bool(model.trigrams[g]) for g in grams) >= 2 and (s := float(model.score([w])[0])) > model.extra:
+            hits = sum(bool(model.trigrams[g]) for g in grams)
+            if hits >= 2 and 2 * hits > len(w) - 2 and (s := float(model.score([w])[0])) > model.extra:
                 scored.append((-round(s, 5), w))
         if scored:
             want[r.doc_id] = min(scored)[1]
