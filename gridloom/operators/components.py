@@ -27,7 +27,7 @@ def label_patches(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / 64), F.floor(b / 64)))
     up = r.select("row", "c0", "c1", "node", bins(F.col("c0") - reach, F.col("c1") + reach).alias("bin"))
     down = r.select((F.col("row") - 1).alias("row2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"), bins(F.col("c0"), F.col("c1")).alias("bin2"))
-    edges = up.join(down, (F.col("row") == F.col("row2")) & (F.col("bin") == F.col("bin2")) & (F.col("c0") <= F.col("d1") + reach) & (F.col("c1") >= F.col("d0") - reach)).select(F.col("node").alias("a"), "b").distinct()
+    edges = up.join(down, (F.col("row") == F.col("row2")) & (F.col("bin") == F.col("bin2")) & (F.col("c0") <= F.col("d1") + reach) & (F.col("c1") >= F.col("d0") - reach)).select(F.col("node").alias("a"), "b")
     comps = connected(edges).withColumnRenamed("node", "n")
     labelled = r.join(comps, r.node == comps.n, "left").select("row", "c0", "c1", F.coalesce("component", "node").alias("patch_id"))
     pixels = labelled.select("row", F.explode(F.sequence("c0", "c1")).alias("col"), "patch_id")

@@ -10,6 +10,7 @@ from ..functions.quantiles import percentiles
 from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators import sampling as K
+from ..operators import summaries as U
 from ..sources import views as V
 from ..sources.views import sql
 from .base import query
@@ -100,8 +101,8 @@ def uniform_sample(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT lin AS id, prob FROM (SELECT *, row_number() OVER (PARTITION BY col//10 ORDER BY md5(lin::VARCHAR), lin) AS t FROM px_label WHERE label IN (0,1) AND NOT EXISTS (SELECT 1 FROM zones WHERE zone_id%5=0 AND col BETWEEN cmin-1 AND cmax+1)) WHERE t<=8 AND prob IS NOT NULL", "px_label", "zones"))
 def negative_calibration_sample(spark: S, d: str) -> DataFrame:
-    p, z = V.px_label(spark, d).where("label in (0, 1)"), F.broadcast(V.zones(spark, d).where("zone_id % 5 = 0"))
-    free = p.join(z, F.col("col").between(F.col("cmin") - 1, F.col("cmax") + 1), "left_anti").selectExpr("lin as id", "prob", "col div 10 as cell")
+    p, z = V.px_label(spark, d).where("label in (0, 1)"), V.zone_columns(V.zones(spark, d).where("zone_id % 5 = 0"), 1)
+    free = p.join(z, F.col("col") == F.col("zcol"), "left_anti").selectExpr("lin as id", "prob", "col div 10 as cell")
     return K.balanced(free, 8, "cell").where("prob is not null").select("id", "prob")
 
 
@@ -137,8 +138,7 @@ def average_precision(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT y_original, count(*) AS n, count(*) FILTER (WHERE p>0.7) AS fp, round(100.0*count(*) FILTER (WHERE p>0.7)/count(*),6) AS fp_pct FROM oof WHERE y=0 GROUP BY 1", "oof"))
 def fp_by_class(spark: S, d: str) -> DataFrame:
-    fp = F.count(F.when(F.col("p") > 0.7, 1))
-    return V.oof(spark, d).where("y = 0").groupBy("y_original").agg(F.count("*").alias("n"), fp.alias("fp"), F.round(100.0 * fp / F.count("*"), 6).alias("fp_pct"))
+    return _rounded(U.false_positives(V.oof(spark, d), "y_original", 0.7))
 
 
 GRID = [k / 100.0 for k in range(1, 100)]
@@ -178,7 +178,7 @@ def policy_threshold_feasible(spark: S, d: str) -> DataFrame:
 @query("SELECT seed, ratio, round(greatest(0.01, least(seed*ratio, seed-0.01)),6)::DOUBLE AS low FROM (SELECT unnest([0.05, 0.3, 0.5]::DOUBLE[]) AS seed), (SELECT unnest([0.5, 0.67, 0.75]::DOUBLE[]) AS ratio)")
 def expand_thresholds(spark: S, d: str) -> DataFrame:
     s = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.05, 0.3, 0.5)))).alias("seed")).select("seed", F.explode(F.array(*map(F.lit, (0.5, 0.67, 0.75)))).alias("ratio"))
-    return s.withColumn("low", F.round(F.greatest(F.lit(0.01), F.least(F.col("seed") * F.col("ratio"), F.col("seed") - 0.01)), 6))
+    return s.withColumn("low", F.round(U.expanded(F.col("seed"), F.col("ratio")), 6))
 
 
 HALF = [k / 100.0 for k in range(1, 51)]

@@ -160,8 +160,8 @@ def vector_clip_buffered(spark: S, d: str) -> DataFrame:
     """A clip by odd zones with a buffer of -1 pixel."""
     from ..operators.morphology import erode
 
-    p, z = V.px(spark, d), F.broadcast(V.zones(spark, d).where("zone_id % 2 = 1"))  # a zone table of fixed size
-    cover = p.join(z, F.col("col").between(F.col("cmin"), F.col("cmax"))).select("row", "col")
+    p, z = V.px(spark, d), V.zone_columns(V.zones(spark, d).where("zone_id % 2 = 1"))
+    cover = p.join(z, F.col("col") == F.col("zcol")).select("row", "col")
     return M.clip_to(p, erode(cover, 1, 4)).select("lin", "raw")
 
 

@@ -9,6 +9,7 @@ from ..functions.lineage import cut
 from ..functions.quantiles import percentiles
 from ..operators import components as C
 from ..operators import morphology as MO
+from ..operators import summaries as U
 from ..operators import zonal as Z
 from ..sources import views as V
 from ..sources.views import sql
@@ -144,43 +145,40 @@ def landscape_division(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT sum(CASE WHEN (row+col)%7<3 THEN 1 ELSE 0 END)*0.01::DOUBLE AS on_ha, sum(CASE WHEN (row+col)%7<3 THEN 0 ELSE 1 END)*0.01::DOUBLE AS off_ha FROM px WHERE prob>=0.5", "px").replace("sum(CASE", "round(sum(CASE").replace("*0.01::DOUBLE", "*0.01::DOUBLE,6)"))
 def peat_split(spark: S, d: str) -> DataFrame:
-    on = F.expr("(row + col) % 7 < 3").cast("int")
-    return V.px(spark, d).where("prob >= 0.5").agg(F.round(F.sum(on) * F.lit(0.01), 6).alias("on_ha"), F.round(F.sum(1 - on) * F.lit(0.01), 6).alias("off_ha"))
+    return _rounded(U.split_area(V.px(spark, d).where("prob >= 0.5"), F.expr("(row + col) % 7 < 3"), 0.01))
 
 
 def zoned(spark: S, d: str) -> DataFrame:
-    return V.px(spark, d).join(F.broadcast(V.zones(spark, d)), F.col("col").between(F.col("cmin"), F.col("cmax")))  # zones: a table of fixed size
+    return V.px(spark, d).join(V.zone_columns(V.zones(spark, d)), F.col("col") == F.col("zcol")).drop("zcol")
 
 
 @query(sql("SELECT zone_id, count(lin) AS wet FROM zones LEFT JOIN px ON col BETWEEN cmin AND cmax AND prob>=0.98 GROUP BY 1", "px", "zones"))
 def zonal_counts(spark: S, d: str) -> DataFrame:
-    c = zoned(spark, d).where("prob >= 0.98").groupBy("zone_id").agg(F.count("*").alias("wet"))
-    return V.zones(spark, d).select("zone_id").join(c, "zone_id", "left").fillna({"wet": 0})
+    return U.zone_counts(zoned(spark, d).where("prob >= 0.98"), V.zones(spark, d), "zone_id", "wet")
 
 
 REG = "SELECT zone_id, zone_name, count(lin) FILTER (WHERE prob>=0.5)*0.01::DOUBLE AS wet_ha, count(lin)*0.01::DOUBLE AS area_ha FROM zones LEFT JOIN px ON col BETWEEN cmin AND cmax AND zone_id%6<>0 GROUP BY 1,2"
 
 
 def regions(spark: S, d: str) -> DataFrame:
-    a = zoned(spark, d).where("zone_id % 6 <> 0").groupBy("zone_id").agg((F.sum((F.coalesce(F.col("prob") >= 0.5, F.lit(False))).cast("int")) * 0.01).alias("wet_ha"), (F.count("*") * 0.01).alias("area_ha"))
-    return V.zones(spark, d).select("zone_id", "zone_name").join(a, "zone_id", "left").fillna({"wet_ha": 0.0, "area_ha": 0.0})
+    return U.zone_areas(zoned(spark, d).where("zone_id % 6 <> 0"), V.zones(spark, d), F.col("prob") >= 0.5, 0.01)
 
 
 @query(sql("SELECT zone_id, zone_name, round(area_ha,6) AS area_ha, round(wet_ha,6) AS wet_ha, round(wet_ha/nullif(area_ha/100,0),6) AS density FROM reg", "px", "zones", reg=REG))
 def region_density(spark: S, d: str) -> DataFrame:
-    return _rounded(regions(spark, d).select("zone_id", "zone_name", "area_ha", "wet_ha", F.try_divide("wet_ha", F.col("area_ha") / 100).alias("density")))
+    return _rounded(U.zone_density(regions(spark, d)))
 
 
 @query(sql("SELECT zone, count(*) AS pixels, count(*) FILTER (WHERE prob>=0.5) AS wet FROM (SELECT prob, CASE WHEN col<80 THEN col//4+1 ELSE 0 END AS zone FROM px) GROUP BY 1", "px").replace("SELECT zone,", "SELECT zone::INTEGER AS zone,"))
 def region_density_with_background(spark: S, d: str) -> DataFrame:
     z = V.px(spark, d).withColumn("zone", F.expr("cast(case when col < 80 then col div 4 + 1 else 0 end as int)"))
-    return z.groupBy("zone").agg(F.count("*").alias("pixels"), F.count(F.when(F.col("prob") >= 0.5, 1)).alias("wet"))
+    return U.counts_with_background(z, "zone", F.col("prob") >= 0.5)
 
 
 @query(sql("SELECT CASE WHEN area_ha=0 THEN 'zone ' || zone_id ELSE zone_name END AS name, round(100*wet_ha/nullif(area_ha,0),6) AS pct, round(wet_ha,6) AS wet_ha FROM reg", "px", "zones", reg=REG))
 def region_proportions(spark: S, d: str) -> DataFrame:
     r = regions(spark, d).withColumn("zone_name", F.when(F.col("area_ha") > 0, F.col("zone_name")))
-    return _rounded(r.select(F.coalesce("zone_name", F.concat(F.lit("zone "), F.col("zone_id").cast("string"))).alias("name"), F.try_divide(100 * F.col("wet_ha"), F.col("area_ha")).alias("pct"), "wet_ha").orderBy(F.desc_nulls_last("wet_ha"), "name"))
+    return _rounded(U.zone_proportions(r))
 
 
 @query(sql("SELECT patch_id, coalesce(r, -1) AS region, coalesce(k, 0) AS pixels FROM (SELECT DISTINCT patch_id FROM kept) LEFT JOIN (SELECT patch_id AS p, r, k, row_number() OVER (PARTITION BY patch_id ORDER BY k DESC, r) AS rn FROM (SELECT patch_id, (col//4+1)::INTEGER AS r, count(*) AS k FROM kept WHERE (col//4)%5<>2 GROUP BY 1,2)) ON p=patch_id AND rn=1", "px", **HYST))
@@ -223,7 +221,7 @@ def elevation_summary(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT round(100.0*avg(((row+col)%9<4)::INTEGER),6) AS pct FROM px WHERE prob>=0.5", "px"))
 def association_pct(spark: S, d: str) -> DataFrame:
-    return V.px(spark, d).where("prob >= 0.5").agg(F.round(100.0 * F.avg(F.expr("cast((row + col) % 9 < 4 as int)")), 6).alias("pct"))
+    return _rounded(U.association(V.px(spark, d).where("prob >= 0.5"), F.expr("(row + col) % 9 < 4")))
 
 
 TOW = HYST | {"t": "SELECT patch_id, count(*)*25.0 AS a, avg((raw>=40)::INTEGER) AS h FROM kept JOIN (SELECT lin, raw FROM px) USING (lin) GROUP BY 1"}
@@ -237,18 +235,15 @@ def tow_classes(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT count(*) AS pixels, round(100.0*count(*) FILTER (WHERE NOT valid)/count(*),6) AS nodata_pct, round(100.0*count(*) FILTER (WHERE prob>=0.5)/count(*) FILTER (WHERE valid),6) AS wet_pct, round(count(*) FILTER (WHERE prob>=0.5)*0.01/(130279*100.0)*100,9) AS country_pct FROM px", "px"))
 def coverage_summary(spark: S, d: str) -> DataFrame:
-    wet, n = F.count(F.when(F.col("prob") >= 0.5, 1)), F.count("*")
-    return V.px(spark, d).agg(n.alias("pixels"), F.round(100.0 * F.count(F.when(~F.col("valid"), 1)) / n, 6).alias("nodata_pct"), F.round(F.try_divide(100.0 * wet, F.count(F.when(F.col("valid"), 1))), 6).alias("wet_pct"), F.round(wet * 0.01 / (130279 * 100.0) * 100, 9).alias("country_pct"))
+    c = U.coverage(V.px(spark, d), F.col("prob") >= 0.5, 0.01, 130279.0)
+    return c.select("pixels", F.round("nodata_pct", 6).alias("nodata_pct"), F.round("wet_pct", 6).alias("wet_pct"), F.round("country_pct", 9).alias("country_pct"))
 
 
 EVAL = "SELECT zone_id, count(*) AS truth, count(*) FILTER (WHERE prob>=0.5) AS tp, round(avg(prob),6) AS mean_prob, round(quantile_cont(prob,0.5),6) AS median_prob FROM px JOIN zones ON col BETWEEN cmin AND cmax WHERE (row+col)%7<3 GROUP BY 1"
 
 
 def polygon_eval(spark: S, d: str) -> DataFrame:
-    p = zoned(spark, d).where("(row + col) % 7 < 3")
-    z = p.groupBy("zone_id").agg(F.count("*").alias("truth"), F.count(F.when(F.col("prob") >= 0.5, 1)).alias("tp"), F.round(F.avg("prob"), 6).alias("mean_prob"))
-    z = z.join(percentiles(p, "prob", [0.5], ["zone_id"]), "zone_id", "left").withColumn("median_prob", F.round(F.col("q")[0], 6)).drop("q")
-    return z.select("*", (F.col("truth") - F.col("tp")).alias("fn"), F.round(F.col("tp") / F.col("truth"), 6).alias("recall"), (F.col("tp") > 0).alias("detected"), (F.col("mean_prob") >= 0.5).alias("wet_by_mean"))
+    return U.polygon_scores(zoned(spark, d).where("(row + col) % 7 < 3"), "zone_id")
 
 
 @query(sql("SELECT *, truth-tp AS fn, round(tp/truth,6) AS recall, tp>0 AS detected, mean_prob>=0.5 AS wet_by_mean FROM ev", "px", "zones", ev=EVAL))
@@ -258,8 +253,7 @@ def polygon_recall(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT round(avg(round(tp/truth,6)),6) AS m_iou, count(*) FILTER (WHERE tp/truth>=0.45) AS n_half, count(*) FILTER (WHERE tp>0) AS n_detected, (SELECT count(*) FROM zones)-count(*) AS n_excluded FROM ev", "px", "zones", ev=EVAL))
 def polygon_rollup(spark: S, d: str) -> DataFrame:
-    r = polygon_eval(spark, d).agg(F.round(F.avg("recall"), 6).alias("m_iou"), F.count(F.when(F.col("recall") >= 0.45, 1)).alias("n_half"), F.count(F.when(F.col("detected"), 1)).alias("n_detected"), F.count("*").alias("k"))
-    return r.crossJoin(V.zones(spark, d).agg(F.count("*").alias("z"))).select("m_iou", "n_half", "n_detected", (F.col("z") - F.col("k")).alias("n_excluded"))
+    return U.polygon_rollup(polygon_eval(spark, d), V.zones(spark, d), 0.45)
 
 
 INNER = "SELECT id, greatest(0, w-2)*greatest(0, h-2)*0.01::DOUBLE AS ha FROM (SELECT c_custkey AS id, c_custkey%9+1 AS w, (c_custkey//9)%9+1 AS h FROM customer)"
@@ -271,7 +265,7 @@ def polygon_interior_stats(spark: S, d: str) -> DataFrame:
     r = V.table(spark, d, "customer").selectExpr("c_custkey as id", "c_custkey % 9 as w", "(c_custkey div 9) % 9 as h")
     cells = r.select("id", F.explode(F.sequence(F.lit(0), F.col("w"))).alias("col"), "h").select("id", "col", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("row"))
     inner = MO.erode(cells, 1, 8, ["id"]).groupBy("id").agg((F.count("*") * F.lit(0.01)).alias("ha"))
-    return _rounded(inner.agg(F.count("*").alias("n"), F.percentile("ha", F.lit(0.5)).alias("median"), F.avg("ha").alias("mean"), F.min("ha").alias("min"), F.max("ha").alias("max"), F.percentile("ha", F.lit(0.25)).alias("q25"), F.percentile("ha", F.lit(0.75)).alias("q75"), F.count(F.when(F.round("ha", 6) < 0.03, 1)).alias("below")))
+    return _rounded(U.interior_stats(inner, "ha", 0.03))
 
 
 @query(sql("SELECT (raw>=60) AS suitable, (row+col)%7<3 AS peat, count(*) AS pixels, round(100.0*count(*)/(SELECT count(*) FROM px WHERE valid),6) AS pct FROM px WHERE valid GROUP BY 1,2", "px"))
@@ -327,18 +321,16 @@ def presence_percentiles(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT etype, label, count(*) AS n FROM px_label GROUP BY 1,2", "px_label"))
 def class_distribution(spark: S, d: str) -> DataFrame:
-    return V.px_label(spark, d).groupBy("etype", "label").agg(F.count("*").alias("n"))
+    return U.distribution(V.px_label(spark, d), "etype", "label")
 
 
 @query(sql("SELECT region, count(*) AS n FROM (SELECT * FROM pts ORDER BY area_ha DESC, id LIMIT 50) GROUP BY 1", "pts"))
 def region_frequency(spark: S, d: str) -> DataFrame:
-    return V.pts(spark, d).orderBy(F.desc("area_ha"), "id").limit(50).groupBy("region").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "region")
+    return V.pts(spark, d).orderBy(F.desc("area_ha"), "id").limit(50).transform(U.distribution, "region").orderBy(F.desc("n"), "region")
 
 
 @query(sql("SELECT row_number() OVER (ORDER BY area_ha DESC, id) AS rank, id, round(area_ha,6) AS area_ha, round_even(x+id%2*0.5,0)::INTEGER AS easting, coalesce(zone_name,'Unknown') AS region_name FROM pts LEFT JOIN zones ON zone_id=region+2 ORDER BY area_ha DESC, id LIMIT 20", "pts", "zones").replace("OVER (ORDER BY area_ha DESC, id) AS rank", "OVER (ORDER BY area_ha DESC, id)::INTEGER AS rank"))
 def top_patches(spark: S, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    t = V.pts(spark, d).orderBy(F.desc("area_ha"), "id").limit(20).join(F.broadcast(V.zones(spark, d)), F.col("zone_id") == F.col("region") + 2, "left")
-    w = Window.orderBy(F.desc("area_ha"), "id")  # over the twenty rows of the report
-    return t.select(F.row_number().over(w).alias("rank"), "id", F.round("area_ha", 6).alias("area_ha"), F.bround(F.col("x") + F.col("id") % 2 * 0.5, 0).cast("int").alias("easting"), F.coalesce("zone_name", F.lit("Unknown")).alias("region_name"))
+    z = V.zones(spark, d).withColumn("zone_id", F.col("zone_id") - 2)
+    t = U.top_rows(V.pts(spark, d), "area_ha", "id", 20).join(z, F.col("zone_id") == F.col("region"), "left")
+    return t.select("rank", "id", F.round("area_ha", 6).alias("area_ha"), F.bround(F.col("x") + F.col("id") % 2 * 0.5, 0).cast("int").alias("easting"), F.coalesce("zone_name", F.lit("Unknown")).alias("region_name"))

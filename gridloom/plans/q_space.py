@@ -12,6 +12,7 @@ from ..operators import distance as D
 from ..operators import focal as H
 from ..operators import resample as I
 from ..operators import spatial_join as J
+from ..operators import summaries as U
 from ..sources import views as V
 from ..sources.views import sql
 from .base import query, spec
@@ -83,7 +84,7 @@ def rect_intersection_area(spark: S, d: str) -> DataFrame:
 
 @query(sql(f"SELECT b.id AS b_id, count(*) AS n, round(sum(w),5) AS total, round(avg(w),5) AS mean FROM (SELECT a.id AS i, b.id, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS w {OVER}) b GROUP BY 1", a=RECT, b=RECT2))
 def intersection_summary(spark: S, d: str) -> DataFrame:
-    return J.rect_intersections(rects(spark, d), big_rects(spark, d), 50.0).groupBy("b_id").agg(F.count("*").alias("n"), F.round(F.sum("intersection_area"), 5).alias("total"), F.round(F.avg("intersection_area"), 5).alias("mean"))
+    return J.rect_intersections(rects(spark, d), big_rects(spark, d), 50.0).transform(U.intersection_stats, "b_id").select("b_id", "n", F.round("total", 5).alias("total"), F.round("mean", 5).alias("mean"))
 
 
 PROX = "SELECT a.id, b.area_ha, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM pts a JOIN pts b ON abs(a.x-b.x)<=1000 AND abs(a.y-b.y)<=1000"
@@ -113,8 +114,7 @@ def point_sample(spark: S, d: str) -> DataFrame:
 @query(sql("SELECT lin FROM px WHERE valid AND NOT coalesce(prob>=0.9,false) AND (row+col)%11>=2 AND lin%5<>0", "px"))
 def background_anti_join(spark: S, d: str) -> DataFrame:
     p = V.px(spark, d)
-    taken = p.where("prob >= 0.9").select("row", "col").unionByName(V.peat(p, 11, 2).select("row", "col")).unionByName(p.where("lin % 5 = 0").select("row", "col"))
-    return p.where("valid").join(taken, ["row", "col"], "left_anti").select("lin")
+    return U.background(p, [p.where("prob >= 0.9"), V.peat(p, 11, 2), p.where("lin % 5 = 0")]).select("lin")
 
 
 def water(spark: S, d: str) -> DataFrame:
@@ -300,12 +300,10 @@ def stack_assembly(spark: S, d: str) -> DataFrame:
 @query(sql("SELECT row, col, max(code) AS code FROM (SELECT row, col, 1 AS code FROM px WHERE prob>=0.3 UNION ALL SELECT row, col, 2 FROM px WHERE (row+col)%7<3 UNION ALL SELECT row, col, 3 FROM px WHERE lin%5=0) GROUP BY 1,2", "px"))
 def max_merge_burn(spark: S, d: str) -> DataFrame:
     p = V.px(spark, d)
-    parts = p.where("prob >= 0.3").selectExpr("row", "col", "1 as code").unionByName(V.peat(p).selectExpr("row", "col", "2 as code")).unionByName(p.where("lin % 5 = 0").selectExpr("row", "col", "3 as code"))
-    return parts.groupBy("row", "col").agg(F.max("code").alias("code"))
+    return U.merge_greatest([(p.where("prob >= 0.3"), 1), (V.peat(p), 2), (p.where("lin % 5 = 0"), 3)])
 
 
 @query(sql("SELECT lin FROM px WHERE prob>=0.5 AND (row+col)%7<3 AND NOT lin%5=0 UNION SELECT lin FROM px WHERE prob>=0.95", "px"))
 def mask_algebra(spark: S, d: str) -> DataFrame:
     p = V.px(spark, d)
-    a = p.where("prob >= 0.5").select("lin").intersect(V.peat(p).select("lin")).subtract(p.where("lin % 5 = 0").select("lin"))
-    return a.union(p.where("prob >= 0.95").select("lin")).distinct()
+    return U.mask_algebra(p.where("prob >= 0.5"), V.peat(p), p.where("lin % 5 = 0"), p.where("prob >= 0.95"), "lin")

@@ -29,6 +29,11 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").selectExpr("n_nationkey + 1 as zone_id", "n_name as zone_name", "4 * n_nationkey as cmin", "4 * n_nationkey + 3 as cmax")
 
 
+def zone_columns(z: DataFrame, pad: int = 0) -> DataFrame:
+    """`z` with a row for each column `zcol` of a zone, `pad` more on either side: what turns a join by extent into an equi-join."""
+    return z.withColumn("zcol", F.explode(F.sequence(F.col("cmin") - pad, F.col("cmax") + pad)))
+
+
 def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "cast((c_custkey * 7919) % 10007 as double) as x", "cast((c_custkey * 6271) % 10009 as double) as y", "abs(c_acctbal) / 1000.0D as area_ha", "c_nationkey as region")
 
