@@ -25,6 +25,8 @@ from .common import cut
 from .text import Chunk, pieces
 
 CORE, CLASSES = 2048, 64
+#: Bytes of text of a chunk: the larger, the fewer different words there are in all chunks together.
+CHUNK = 16 << 20
 _CODED = "chunk long, ids binary, known binary, ends binary, codes binary, words binary"
 
 
@@ -103,9 +105,10 @@ def _unpack(x: bytes, kind: type) -> np.ndarray:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[Coded]:
+    names = batch.schema.names
     for i in range(batch.num_rows):
         cell = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
-        yield Coded(cell("chunk"), np.frombuffer(cell("ids"), np.int64), np.frombuffer(cell("known"), np.uint8) > 0, np.frombuffer(cell("ends"), np.int64), _unpack(cell("codes"), np.uint32), np.frombuffer(cell("words"), np.uint64))
+        yield Coded(cell("chunk"), np.frombuffer(cell("ids"), np.int64), np.frombuffer(cell("known"), np.uint8) > 0, np.frombuffer(cell("ends"), np.int64), _unpack(cell("codes"), np.uint32), np.frombuffer(cell("words"), np.uint64) if "words" in names else np.empty(0, np.uint64))
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=CHUNK):
                 c = Chunk(part.column("text"))
                 used = np.unique(c.codes)
                 place = np.zeros(len(c.words) + 1, np.uint32)
@@ -264,7 +267,17 @@ def _placed(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa
 
 
 def lookup(coded: DataFrame, model_words: DataFrame, core: tuple[np.ndarray, np.ndarray, np.ndarray], unknown: int) -> DataFrame:
-    """`coded` with the classes and counts of each chunk's words, written down; a word that the model doesn't know has the class `unknown` and count 0."""
+    """`coded` with the classes and counts of each chunk's words in place of their hashes, written down; a word that the model doesn't know has the class `unknown` and count 0."""
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of the core's words in the core and in the chunk, and the number of the chunk's words, stand for the hashes."""
+        for batch in batches:
+            rows = []
+            for c in _texts(batch):
+                at, there = _find(core[0], c.words)
+                rows.append((np.flatnonzero(there).astype(np.int32).tobytes(), at[there].astype(np.int32).tobytes(), len(c.words)))
+            own = batch.drop_columns(["words"])
+            yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))]], [*own.schema.names, "place", "at", "width"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,15 +287,17 @@ def lookup(coded: DataFrame, model_words: DataFrame, core: tuple[np.ndarray, np.
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.slice(0, 1).to_batches()[0]
-        c = next(_texts(row))
-        at, there = _find(core[0], c.words)
-        cls, n = (np.where(there, x[at], y) if len(x) else np.full(len(c.words), y) for x, y in ((core[1], unknown), (core[2], 0)))
+        cell = lambda k: np.frombuffer(row.column(k)[0].as_py(), np.int32)
+        cls, n = (np.full(row.column("width")[0].as_py(), x, np.int64) for x in (unknown, 0))
+        cls[cell("place")], n[cell("place")] = core[1][cell("at")], core[2][cell("at")]
         place = right.column("place").to_numpy()
         cls[place], n[place] = right.column("cls").to_numpy(), right.column("n").to_numpy()
-        return pa.Table.from_batches([row]).append_column("cls", pa.array([_pack(cls.astype(np.int32))], pa.binary())).append_column("n", pa.array([_pack(n.astype(np.int64))], pa.binary()))
+        return pa.Table.from_batches([row.drop_columns(["place", "at", "width"])]).append_column("cls", pa.array([_pack(cls.astype(np.int32))], pa.binary())).append_column("n", pa.array([_pack(n.astype(np.int64))], pa.binary()))
 
     found = coded.mapInArrow(ask, "chunk long, place int, key long").join(model_words, "key").select("chunk", "place", "cls", "n")
-    return cut(coded.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(join, f"{_CODED}, cls binary, n binary"))
+    short = _CODED.removesuffix(", words binary")
+    stripped = coded.mapInArrow(strip, f"{short}, place binary, at binary, width long")
+    return cut(stripped.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(join, f"{short}, cls binary, n binary"))
 
 
 def fit(docs: DataFrame, core: int = CORE, classes: int = CLASSES, coded: DataFrame | None = None) -> tuple[Model, DataFrame]:

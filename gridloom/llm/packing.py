@@ -27,7 +27,7 @@ from .text import Chunk, mix, pieces
 
 SHARD_DOCS, WINDOW_WORDS, EVERY = 8192, 2048, 50
 #: Seeds of a round; windows of words by which their lists exceed the room at first; share of a shard's documents from which a term is multiplied densely.
-SEEDS, SLACK, DENSE = 512, 4, 0.02
+SEEDS, SLACK, DENSE = 512, 4, 0.05
 K1, B = 1.2, 0.75
 
 
