@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec
@@ -203,6 +203,6 @@ def vectorise(raster: DataFrame, value: str, drop: tuple = (0, 255)) -> DataFram
     px = raster.where(F.col(value).isNotNull() & ~F.col(value).isin(*drop)).select("row", "col", "lin", value)
     # values are kept apart by giving each its own band of rows
     top = px.agg((F.max("row") + 2).alias("__gl_h"))
-    kinds = px.select(value).distinct().withColumn("__gl_k", F.dense_rank().over(__import__("pyspark").sql.Window.orderBy(value)))  # the few classes of a raster
-    apart = px.join(F.broadcast(kinds), value).crossJoin(F.broadcast(top)).withColumns({"__gl_row": F.col("row"), "row": (F.col("row") + F.col("__gl_k") * F.col("__gl_h")).cast("int")})
+    kinds = px.select(value).distinct().withColumn("__gl_k", F.dense_rank().over(Window.orderBy(value)))  # the few classes of a raster
+    apart = px.join(kinds, value).crossJoin(F.broadcast(top)).withColumns({"__gl_row": F.col("row"), "row": (F.col("row") + F.col("__gl_k") * F.col("__gl_h")).cast("int")})
     return label_patches(apart, 4).select(F.col("__gl_row").alias("row"), "col", value, F.col("patch_id").alias("region_id"))

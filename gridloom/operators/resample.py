@@ -86,7 +86,7 @@ def category_codes(df: DataFrame, columns: list[str], missing: str = "NA") -> Da
     """`df` with `code` 1..k of the sorted different combinations; missing values are `missing` (I10). k is small: one row a soil class."""
     filled = df.withColumns({c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(missing)) for c in columns})
     keys = filled.select(*columns).distinct().withColumn("code", F.row_number().over(Window.orderBy(*columns)))
-    return filled.join(F.broadcast(keys), columns)
+    return filled.join(keys, columns)
 
 
 def stack(first: DataFrame, others: list[DataFrame]) -> DataFrame:
