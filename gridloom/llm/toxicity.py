@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ LENGTH, DECAY, LANDMARKS, LONGEST = 4, 0.7, 40, 24
 #: Most letters of each of two, and of each of three, words that are joined; of the joined unit.
 PAIR, TRIPLE, JOINED = 6, 4, 11
 
+
 def units(chunk: Chunk) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(units, unit, doc): the different units of a chunk, and where they occur."""
     words = chunk.words.to_pylist()
@@ -398,15 +400,16 @@ def toxic_documents(docs: DataFrame, model: Svm, limit: int = 500_000) -> DataFr
     """(doc_id, score, unit): the toxic documents, with their highest unit (ties: the least string) and its score.
 
     Whole texts are read, and every unit of two letters and more is scored. Null, empty and blank texts are not toxic. Repeated rows are reported as often as they occur; null doc_ids stay null. Other columns are ignored. An
-    empty table gives an empty result. Should the toxic units be more than `limit`, they are applied in slices of that size, so
-    that what is sent to the tasks stays bounded.
+    empty table gives an empty result. Should the toxic units be more than `limit`, they are applied in slices of that size, one
+    after the other, so that what the driver holds and the tasks get stays bounded; the result is the same.
     """
     spark = docs.sparkSession
     found = toxic_units(docs, model).orderBy(F.desc("score"), "unit")
     total = found.count()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out: DataFrame | None = None
+    own, marks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
     slices = max(1, -(-total // limit))
+    # repeated rows stay apart by a number, which must not change from slice to slice
+    own = cut(own.withColumn("row", F.monotonically_increasing_id())) if slices > 1 else own.withColumn("row", F.lit(0).cast("long"))
     for i in range(slices):
         part = found if slices == 1 else found.where(F.pmod(F.xxhash64("unit"), F.lit(slices)) == i)
         table = part.toArrow()
@@ -432,10 +435,12 @@ def toxic_documents(docs: DataFrame, model: Svm, limit: int = 500_000) -> DataFr
                             hit = of[unit] < len(names)
                             np.minimum.at(best, doc[hit], of[unit[hit]])
                     some = np.flatnonzero(best < len(names))
-                    yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(some)), pa.array(scores[best[some]] if len(some) else np.empty(0)), pa.array([names[b] for b in best[some]], pa.string())], ["doc_id", "score", "unit"])
-
-        marked = own.mapInArrow(mark, "doc_id long, score double, unit string")
-        out = marked if out is None else out.unionByName(marked)
-    if slices == 1:
-        return out
-    return out.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "unit")).alias("m")).select("doc_id", (-F.col("m.s")).alias("score"), "m.unit")
+                    yield pa.RecordBatch.from_arrays([piece.column("row").take(pa.array(some)), piece.column("doc_id").take(pa.array(some)), pa.array(scores[best[some]] if len(some) else np.empty(0)), pa.array([names[b] for b in best[some]], pa.string())], ["row", "doc_id", "score", "unit"])
+
+        marked = own.mapInArrow(mark, "row long, doc_id long, score double, unit string")
+        if slices == 1:
+            return marked.drop("row")
+        marks.append(cut(marked))
+        shared.destroy()
+    best = reduce(DataFrame.unionByName, marks).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.min(F.struct((-F.col("score")).alias("s"), "unit")).alias("m"))
+    return best.select("doc_id", (-F.col("m.s")).alias("score"), "m.unit")

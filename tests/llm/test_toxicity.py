@@ -142,8 +142,9 @@ def test_gapped_and_inserted_characters(spark):
 
 def test_slices_give_the_same(spark, trained):
     docs, _, model = trained
-    one = {tuple(r) for r in T.toxic_documents(docs, model).collect()}
-    assert {tuple(r) for r in T.toxic_documents(docs, model, limit=3).collect()} == one
+    docs = docs.unionByName(docs)  # repeated rows count as often as they occur
+    one = sorted(tuple(r) for r in T.toxic_documents(docs, model).collect())
+    assert sorted(tuple(r) for r in T.toxic_documents(docs, model, limit=3).collect()) == one
 
 
 def test_awkward(awkward, nothing, trained):
