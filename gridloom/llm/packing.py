@@ -40,15 +40,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
             c = Chunk(part.column("text"))
-            content, terms, tfs = np.zeros(part.num_rows, np.uint64), [], []
+            content = np.zeros(part.num_rows, np.uint64)
             if len(has := np.flatnonzero(c.counts)):
                 content[has] = np.add.reduceat(mix(c.hashes + np.arange(len(c.codes), dtype=np.uint64) - np.repeat(c.offsets[:-1], c.counts).astype(np.uint64)), c.offsets[:-1][has])
-            hashes = c.hashes
-            for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True):
-                t, n = np.unique(hashes[a:b], return_counts=True)
-                terms.append(t.tobytes())
-                tfs.append(n.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c.counts.astype(np.int64)), pa.array(content.view(np.int64)), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())], ["doc_id", "n", "content", "terms", "tfs"])
+            # the distinct terms of all documents by one sort of (document, word)
+            key = np.sort(c.doc * max(1, len(c.words)) + c.codes)
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            doc, word = np.divmod(key[first], max(1, len(c.words)))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=part.num_rows))))
+            terms, tfs = c.word_hashes[word] if len(word) else np.empty(0, np.uint64), np.diff(np.append(first, len(key))).astype(np.int32)
+            cells = [pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (terms, tfs)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c.counts.astype(np.int64)), pa.array(content.view(np.int64)), *cells], ["doc_id", "n", "content", "terms", "tfs"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,21 +58,26 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(s["vocabulary"].view(np.int64)), pa.array(np.diff(s["ends"]))], ["term", "df"])
 
 
-_KINDS = {"ids": np.int64, "null": np.uint8, "counts": np.int64, "vocabulary": np.uint64, "ends": np.int64, "docs": np.int32, "tfs": np.int32}
+_KINDS = {"ids": np.int64, "null": np.uint8, "counts": np.int64, "vocabulary": np.uint64, "ends": np.int64, "docs": None, "tfs": None}  # None: the least unsigned kind that holds them
 _SHARD = "part int, number int, size long, words long, seeds long, " + ", ".join(f"{k} binary" for k in _KINDS)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max())))
+
+
 def _index(shard_docs: int, every: int):
     """Inverted indexes of runs of `shard_docs` rows of the parts in a sorted partition: postings of vocabulary[t] are docs and tfs from ends[t] to ends[t + 1]."""
 
     def one(part: int, number: int, table: pa.Table) -> pa.RecordBatch:
         terms, tfs = _numbers(table.column("terms"), np.uint64), _numbers(table.column("tfs"), np.int32)
         doc, term = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms]), np.concatenate(terms)
-        order = np.argsort(term, kind="stable")
-        vocabulary, size = np.unique(term, return_counts=True)
+        order = np.argsort(term)
+        term = term[order]
+        first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
         counts = table.column("n").to_numpy()
         ids, null = table.column("doc_id").fill_null(0).to_numpy(), table.column("doc_id").is_null().to_numpy()
-        blobs = [x.tobytes() for x in (ids, null.astype(np.uint8), counts, vocabulary, np.concatenate(([0], np.cumsum(size))), doc[order], np.concatenate(tfs)[order])]
+        blobs = [x.tobytes() for x in (ids, null.astype(np.uint8), counts, term[first], np.append(first, len(term)), _narrow(doc[order]), _narrow(np.concatenate(tfs)[order]))]
         numbers = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), *[pa.array([int(x)], pa.int64()) for x in (len(terms), counts.sum(), (~null & (ids % every == 0)).sum())]]
         return pa.RecordBatch.from_arrays([*numbers, *[pa.array([x], pa.binary()) for x in blobs]], names=["part", "number", "size", "words", "seeds", *_KINDS])
 
@@ -100,7 +107,8 @@ def _index(shard_docs: int, every: int):
 def _shards(batches: Iterator[pa.RecordBatch], firsts: dict[tuple[int, int], int] | None = None) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            s = {k: np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in _KINDS.items()}
+            s = {k: np.frombuffer(batch.column(k)[i].as_buffer(), kind or np.uint8) for k, kind in _KINDS.items()}
+            s |= {k: s[k].view(f"u{len(s[k]) // int(s['ends'][-1])}") for k, kind in _KINDS.items() if kind is None}
             if firsts is not None:
                 s["places"] = firsts[batch.column("part")[i].as_py(), batch.column("number")[i].as_py()] + np.arange(len(s["counts"]))
             yield s
@@ -129,6 +137,7 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, l
     keep = alive[shard["docs"]]
     docs, tf = at[shard["docs"][keep]], shard["tfs"][keep]
     posts = np.concatenate(([0], np.cumsum(keep)))[shard["ends"]]
+    tf = tf.astype(np.float64)
     value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * counts[docs] / mean))
     where = np.searchsorted(shard["vocabulary"], terms)
     where[where == len(shard["vocabulary"])] = 0
@@ -150,11 +159,13 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, l
         d = dense[a:b]
         query[asker[a:b][d] - low, column[where[a:b][d]]] = weights[a:b][d]
         scores = query @ table
-        f = few[a:b]
-        s, first = size[a:b][f], posts[where[a:b][f]]
-        if total := int(s.sum()):
-            post = np.arange(total) + np.repeat(first - np.cumsum(s) + s, s)
-            scores += np.bincount(np.repeat((asker[a:b][f] - low) * n, s) + docs[post], value[post] * np.repeat(weights[a:b][f], s), scores.size).reshape(scores.shape)
+        for x in range(low, high, 32):  # as many postings at a time as caches hold
+            y = min(x + 32, high)
+            own = ends[x] + np.flatnonzero(few[ends[x] : ends[y]])
+            s, first = size[own], posts[where[own]]
+            if total := int(s.sum()):
+                post = np.arange(total) + np.repeat(first - np.cumsum(s) + s, s)
+                scores[x - low : y - low] += np.bincount(np.repeat((asker[own] - x) * n, s) + docs[post], value[post] * np.repeat(weights[own], s), (y - x) * n).reshape(y - x, n)
         scores = np.round(scores, 6)
         scores[(scores < least[low:high, None]) | (places <= seeds[low:high, None])] = 0
         for i in range(low, high):
@@ -223,7 +234,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
                 order = keep[np.argsort(row[s["docs"][keep]], kind="stable")]
                 term = np.repeat(s["vocabulary"], np.diff(s["ends"]))[order]
                 size = np.concatenate(([0], np.cumsum(np.bincount(row[s["docs"][keep]], minlength=len(mine)))))
-                cells = [pa.array([x[a:b].tobytes() for a, b in zip(size[:-1], size[1:], strict=True)], pa.binary()) for x in (term, s["tfs"][order])]
+                cells = [pa.array([x[a:b].tobytes() for a, b in zip(size[:-1], size[1:], strict=True)], pa.binary()) for x in (term, s["tfs"][order].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(s["places"][mine]), pa.array(s["counts"][mine]), *cells], ["place", "n", "terms", "tfs"])
 
         low, high = (sizes[int(np.searchsorted(starts, int(x), "right")) - 1][0] for x in (batch[0], batch[-1]))
