@@ -25,12 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.graph import union
+
 from .common import cut
 from .text import Chunk, hash_strings, mix, pieces
 
 LENGTH, DECAY, LANDMARKS, LONGEST = 4, 0.7, 40, 24
 #: Most letters of each of two, and of each of three, words that are joined; of the joined unit.
 PAIR, TRIPLE, JOINED = 6, 4, 11
+#: Pairs of variants, of one and of two characters put in, that each insult is trained with.
+NOISE = 4
 
 
 def units(chunk: Chunk) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -178,7 +182,7 @@ def _trigrams(codes: np.ndarray) -> np.ndarray:
 
 
 class Svm:
-    """Landmarks, Nyström map and linear weights: score(units) > 0 is toxic. Joined units need `extra` more, short ones are toxic if they are in `short`."""
+    """Landmarks, Nyström map and linear weights, a column for each group of insults: score(units) > 0 is toxic. Joined units need `extra` more, short ones are toxic if they are in `short`."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks, self.trigrams, self.extra, self.short = landmarks, np.zeros(1 << 16, bool), 0.0, set()
@@ -188,7 +192,7 @@ class Svm:
         value, vector = np.linalg.eigh(k.astype(np.float64))
         keep = value > 1e-4
         self.map = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
-        self.w, self.b = np.zeros(keep.sum(), np.float32), np.float32(-1)
+        self.w, self.b = np.zeros((keep.sum(), 1), np.float32), np.array([-1], np.float32)
 
     def may(self, joined: pa.Array) -> np.ndarray:
         """Places of the joined units of which more than half of the runs of three letters, and two at least, are those of witnesses."""
@@ -229,7 +233,7 @@ class Svm:
                     parts.append(w[a : a + LONGEST])
                     owner.append(i)
         out = np.full(len(words), -np.inf)
-        np.maximum.at(out, np.array(owner, np.int64), self.features(parts) @ self.w + self.b)
+        np.maximum.at(out, np.array(owner, np.int64), (self.features(parts) @ self.w + self.b).max(1))
         for i in [i for i, w in enumerate(words) if w in self.short]:
             out[i] = 1.0
         return out
@@ -242,6 +246,16 @@ def _noisy(word: str, rng: np.random.Generator, letters: str) -> list[str]:
     return [word[:a] + x + word[a:], word[:a] + x + word[a:b] + y + word[b:]]
 
 
+def _alike(words: list[str], least: float = 0.25) -> list[list[str]]:
+    """The words in groups: those of a normalised kernel of at least `least` are in one."""
+    codes, _ = _codes(words)
+    k = kernel(codes, codes)
+    own = np.sqrt(np.diag(k))
+    x, y = np.nonzero(k / np.maximum(own[:, None] * own[None, :], 1e-30) >= least)
+    nodes, roots = union(np.concatenate((x, np.arange(len(words)))), np.concatenate((y, np.arange(len(words)))))
+    return [[words[i] for i in nodes[roots == r]] for r in np.unique(roots)]
+
+
 def fit(bags: list[tuple[list[str], int]], joined: list[str] | None = None, landmarks: int = LANDMARKS, seed: int = 17, negatives: int = 12_000, rounds: int = 3, chance: float = 0.2, stray: float = 0.05) -> Svm:
     """A multiple-instance SVM from (units of a text, label), and the joined units of negative texts.
 
@@ -249,7 +263,8 @@ def fit(bags: list[tuple[list[str], int]], joined: list[str] | None = None, land
     first its units that occur in n positive texts, and in at most `stray` as many negative ones (labels may be wrong), n so great that, were labels drawn by chance, `chance` of
     all units would be expected to do so; later, those of 2 texts that the SVM scores above the margin too. All units of negative texts are negative (`negatives` of them, the most frequent half and a seeded draw, plus
     all that come out above the margin). Landmarks are spread over the positive words by farthest-first traversal, a quarter over negative ones.
-    The threshold lies above all units of the negative texts; that of joined units above all joined units of negative texts too.
+    Insults that are like one another share an SVM against all clean units, so insults that are near to clean words make no others strict; a unit scores as its highest.
+    The threshold of each lies above all units of the negative texts; that of joined units above all joined units of negative texts too.
     """
     rng = np.random.default_rng(seed)
     pos, neg, seen, texts = Counter(), Counter(), set(), 0
@@ -266,7 +281,7 @@ def fit(bags: list[tuple[list[str], int]], joined: list[str] | None = None, land
     bad = sorted((w for w in ill if len(w) >= LENGTH), key=lambda w: (-pos[w], w))
     if not bad:
         model = Svm(clean[:2] or ["abc"])
-        model.b, model.short = np.float32(-1), ill
+        model.short = ill
         return model
 
     def spread(words: list[str], k: int) -> list[str]:
@@ -292,18 +307,20 @@ def fit(bags: list[tuple[list[str], int]], joined: list[str] | None = None, land
     draw = np.concatenate((np.arange(min(half, len(short))), half + rng.permutation(max(0, len(short) - half))[: negatives - half]))
     letters = "".join(sorted({c for w in short for c in w}))
     for turn in range(rounds):
-        xp = model.features(bad + [v for w in bad for v in _noisy(w, rng, letters)])
-        xn = x_all[draw]
-        x = np.concatenate((xp, xn)).astype(np.float64)
-        y = np.concatenate((np.ones(len(xp)), -np.ones(len(xn))))
-        model.w, model.b = _hinge(x, y, np.where(y > 0, len(y) / (2 * len(xp)), len(y) / (2 * len(xn))))
+        xn, parts = x_all[draw], []
+        for group in _alike(bad):
+            xp = model.features(group + [v for w in group for _ in range(NOISE) for v in _noisy(w, rng, letters)])
+            x = np.concatenate((xp, xn)).astype(np.float64)
+            y = np.concatenate((np.ones(len(xp)), -np.ones(len(xn))))
+            parts.append(_hinge(x, y, np.where(y > 0, len(y) / (2 * len(xp)), len(y) / (2 * len(xn)))))
+        model.w, model.b = np.stack([w for w, _ in parts], 1), np.array([b for _, b in parts])
         known = set(bad)
         more = sorted({w for w in pos if neg[w] <= stray * pos[w] and pos[w] >= 2 and len(w) >= LENGTH and w not in known})
         if turn + 1 < rounds and more:
             bad += [w for w, s in zip(more, model.score(more), strict=True) if s > 1]
-        draw = np.union1d(draw, np.flatnonzero(x_all @ model.w + model.b > -0.5))
-    top = max(float((x_all @ model.w + model.b).max()), 0.0) if short else 0.0
-    model.b = np.float32(model.b - top - 0.02)
+        draw = np.union1d(draw, np.flatnonzero((x_all @ model.w + model.b).max(1) > -0.5))
+    top = np.maximum((x_all @ model.w + model.b).max(0), 0.0) if short else np.zeros(len(model.b))
+    model.b = (model.b - top - 0.02).astype(np.float32)
     model.short = {w for w in ill if len(w) < LENGTH}
     for w in bad:
         model.trigrams[_trigrams(_codes([w])[0])] = True
@@ -315,7 +332,7 @@ def fit(bags: list[tuple[list[str], int]], joined: list[str] | None = None, land
     return model
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 300) -> tuple[np.ndarray, np.float32]:
+def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 50) -> tuple[np.ndarray, np.float32]:
     """Squared-hinge SVM in the primal by Newton steps on the active set (Keerthi and DeCoste, 2005)."""
     z = np.concatenate((x, np.ones((len(x), 1))), 1)
     w = np.zeros(z.shape[1])
