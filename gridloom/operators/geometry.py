@@ -151,8 +151,8 @@ def intersection_areas(a: DataFrame, b: DataFrame, cell: float, least: float = 1
 def burn(polygons: DataFrame, spec: GridSpec, touched: bool = False, at: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """(poly_id, row, col): the pixels of each polygon, by scan lines.
 
-    A pixel belongs to a polygon if the point `at` of it (the centre; (0, 0) is its upper left corner) lies inside by the even-odd rule; with
-    `touched`, also if the polygon's edge passes through it. Everything is a built-in expression: a line has as many crossings as edges meet it.
+    A pixel belongs to a polygon if the point `at` of it (the centre; (0, 0) is its upper left corner) lies inside by the even-odd rule and not on
+    an edge or a vertex; with `touched`, also if the polygon's edge passes through it. Everything is a built-in expression: a line has as many crossings as edges meet it.
     """
     b = boxes(polygons).select("poly_id", "ring", "x0", "x1", F.greatest(F.floor((F.lit(spec.oy) - F.col("y1")) / spec.px), F.lit(0)).alias("r0"), F.least(F.floor((F.lit(spec.oy) - F.col("y0")) / spec.px), F.lit(spec.height - 1)).alias("r1")).where("r0 <= r1")
     line = b.select("poly_id", "ring", F.explode(F.sequence("r0", "r1")).alias("row"))
@@ -162,12 +162,21 @@ def burn(polygons: DataFrame, spec: GridSpec, touched: bool = False, at: tuple[f
 
     def crossing(k):
         p, q = edge(k)
-        return F.when((p["y"] > y) != (q["y"] > y), (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"])
+        return F.when((p["y"] > y) != (q["y"] > y), F.when(q["y"] == y, q["x"]).otherwise((q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"]))
 
+    def lying(k):
+        """What of an edge that begins on the line lies on it: all, or its first vertex."""
+        p, q = edge(k)
+        end = F.when(q["y"] == y, q["x"]).otherwise(p["x"])
+        return F.when(p["y"] == y, F.struct(column(F.least(p["x"], end)).alias("c0"), (after(F.greatest(p["x"], end)) - 1).alias("c1")))
+
+    place = lambda x: (x - F.lit(spec.ox)) / F.lit(spec.px) - F.lit(at[0])
+    column, after = lambda x: F.ceil(place(x)), lambda x: F.floor(place(x)) + 1  # noqa: E731  the first columns at or after x, and after it
     xs = F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(0), n - 1), crossing)))
-    column = lambda x: F.ceil((x - F.lit(spec.ox)) / F.lit(spec.px) - F.lit(at[0]))
-    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2) - 1), lambda k: F.struct(F.greatest(column(F.element_at("xs", (2 * k + 1).cast("int"))), F.lit(0)).alias("c0"), F.least(column(F.element_at("xs", (2 * k + 2).cast("int"))) - 1, F.lit(spec.width - 1)).alias("c1")))
-    inside = line.withColumn("xs", xs).where(F.size("xs") >= 2).select("poly_id", "row", F.explode(spans).alias("s")).where("s.c0 <= s.c1").select("poly_id", "row", F.explode(F.sequence("s.c0", "s.c1")).alias("col"))
+    on = F.array_compact(F.transform(F.sequence(F.lit(0), n - 1), lying))
+    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2) - 1), lambda k: F.struct(F.greatest(after(F.element_at("xs", (2 * k + 1).cast("int"))), F.lit(0)).alias("c0"), F.least(column(F.element_at("xs", (2 * k + 2).cast("int"))) - 1, F.lit(spec.width - 1)).alias("c1")))
+    inside = line.withColumns({"xs": xs, "on": on}).where(F.size("xs") >= 2).select("poly_id", "row", "on", F.explode(spans).alias("s")).where("s.c0 <= s.c1")
+    inside = inside.select("poly_id", "row", "on", F.explode(F.sequence("s.c0", "s.c1")).alias("col")).where("not exists(on, e -> col between e.c0 and e.c1)").drop("on")
     if touched:
         top, low = F.lit(spec.oy) - F.col("row") * F.lit(spec.px), F.lit(spec.oy) - (F.col("row") + 1) * F.lit(spec.px)
         e = line.select("poly_id", "row", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(edge(k)[0].alias("p"), edge(k)[1].alias("q")))).alias("e")).select("poly_id", "row", "e.p", "e.q")
@@ -176,8 +185,8 @@ def burn(polygons: DataFrame, spec: GridSpec, touched: bool = False, at: tuple[f
         x = lambda v: F.coalesce(F.col("p.x") + slope * (v - F.col("p.y")), F.col("p.x"))
         flat = F.col("p.y") == F.col("q.y")
         left, right = F.when(flat, F.least("p.x", "q.x")).otherwise(F.least(x(hi), x(lo))), F.when(flat, F.greatest("p.x", "q.x")).otherwise(F.greatest(x(hi), x(lo)))
-        place = lambda v: F.floor((v - F.lit(spec.ox)) / F.lit(spec.px))
-        met = e.where(hi >= lo).select("poly_id", "row", F.greatest(place(left), F.lit(0)).alias("c0"), F.least(place(right), F.lit(spec.width - 1)).alias("c1")).where("c0 <= c1")
+        cell = lambda v: F.floor((v - F.lit(spec.ox)) / F.lit(spec.px))
+        met = e.where(hi >= lo).select("poly_id", "row", F.greatest(cell(left), F.lit(0)).alias("c0"), F.least(cell(right), F.lit(spec.width - 1)).alias("c1")).where("c0 <= c1")
         inside = inside.unionByName(met.select("poly_id", "row", F.explode(F.sequence("c0", "c1")).alias("col")))
     cells = inside.select("poly_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
     return cells.distinct() if touched else cells

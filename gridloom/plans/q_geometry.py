@@ -54,7 +54,7 @@ CELL = "SELECT r.i AS row, c.i AS col, c.i*25.0 AS xl, 10009.0-r.i*25.0 AS yt FR
 
 @query(sql("SELECT db.id AS poly_id, row, col FROM db JOIN c ON row BETWEEN floor((10009-cy-r)/25)-1 AND floor((10009-cy+r)/25)+1 AND col BETWEEN floor((cx-r)/25)-1 AND floor((cx+r)/25)+1 WHERE abs(xl+12.5-cx)+abs(yt-12.5-cy)<r", c=CELL, **DIAMONDS))
 def polygon_pixels(spark: S, d: str) -> DataFrame:
-    """Centre rule; no centre lies on an edge, as radii are whole and centres end in .5."""
+    """Centre rule. Offsets of centres end in .5, so that their sums are whole and centres do lie on edges: those are outside."""
     return G.burn(diamonds(spark, d, "db"), GRID)
 
 

@@ -328,3 +328,38 @@ def test_burning_polygons_that_are_not_convex(spark):
         own = {t for t in touched if t[0] == i}
         assert inner <= own
         assert len(own) <= len(inner) + 60
+
+
+def _on_edge(p, ring):
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (bx - ax) * (p[1] - ay) == (by - ay) * (p[0] - ax) and min(ax, bx) <= p[0] <= max(ax, bx) and min(ay, by) <= p[1] <= max(ay, by):
+            return True
+    return False
+
+
+def _check_edges(spark, at):
+    """Rings with vertices, level, upright and oblique edges on the points that decide; notches from all sides."""
+    import numpy as np
+
+    from gridloom.functions.grid import GridSpec
+    from gridloom.operators.geometry import RING, _inside, burn
+
+    rings = [
+        [(6, 3), (3, 6), (0, 3), (3, 0)],
+        [(1, 1), (7, 1), (7, 6), (1, 6)],
+        [(0, 0), (4, 4), (8, 0), (8, 8), (4, 5), (0, 8)],
+        [(0, 0), (8, 0), (4, 4), (8, 8), (0, 8), (3, 4)],
+        [(1, 1), (8, 1), (8, 7), (6, 7), (6, 4), (3, 4), (3, 7), (1, 7)],
+    ]
+    rings = [[(x + at[0], y + 1 - at[1]) for x, y in r] for r in rings]
+    df = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in r]) for i, r in enumerate(rings)], f"poly_id long, ring {RING}")
+    points = [(r, c, (c + at[0], 10 - r - at[1])) for r in range(10) for c in range(10)]
+    want = {(i, r, c) for i, ring in enumerate(rings) for r, c, p in points if _inside(np.array([p], float), np.array(ring, float))[0] and not _on_edge(p, ring)}
+    got = [tuple(x) for x in burn(df, GridSpec(0.0, 10.0, 1.0, 10, 10), at=at).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    assert len(want) < sum(_inside(np.array([p], float), np.array(ring, float))[0] for ring in rings for _, _, p in points)
+
+
+def test_a_centre_on_an_edge_is_outside(spark):
+    _check_edges(spark, (0.5, 0.5))
