@@ -363,3 +363,7 @@ def _check_edges(spark, at):
 
 def test_a_centre_on_an_edge_is_outside(spark):
     _check_edges(spark, (0.5, 0.5))
+
+
+def test_a_corner_on_an_edge_is_outside(spark):
+    _check_edges(spark, (0.0, 0.0))
