@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.graph import union
 
 from .common import components, cut, small
-from .text import Chunk, mix, ngrams, pieces
+from .text import Chunk, lean, lean_groups, mix, ngrams, pieces
 
 N, THRESHOLD, RECALL, SIGMAS = 3, 0.5, 0.98, 2.7
 #: Classes of a component, and of a bucket, that one side of a tile holds.
@@ -187,7 +187,7 @@ def _sketched(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(has)), pa.array(names, pa.binary()), flat, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "name", "bands", "short"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return cut(own.mapInArrow(sketch, "doc_id long, name binary, bands array<long>, short binary").withColumn("node", F.xxhash64("name")))
+    return cut(own.mapInArrow(lean(sketch), "doc_id long, name binary, bands array<long>, short binary").withColumn("node", F.xxhash64("name")))
 
 
 class Join:
@@ -210,7 +210,7 @@ class Join:
         grouped = placed.select("h", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other")).select("h", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "node")
         least = threshold - SIGMAS * float(np.sqrt(threshold * (1 - threshold) / (bands * rows)))
         signed = grouped.join(classes.select("node", "short"), "node").select("h", "t1", "t2", "node", "short").repartition("h", "t1", "t2").sortWithinPartitions("h", "t1", "t2", "node")
-        self.linked = components(signed.mapInArrow(lambda batches: _forest(batches, least), "a long, b long"))
+        self.linked = components(signed.mapInArrow(lean(lambda batches: _forest(batches, least)), "a long, b long"))
 
     def _tiles(self, kind: str, result) -> DataFrame:
         """`result` of every tile of every component: of (names, x, y, jaccard), x and y places in names, the pairs that hold."""
@@ -243,8 +243,8 @@ class Join:
             return result(np.array(x, np.int64), np.array(y, np.int64), np.array(j, np.float64))
 
         own = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        sets = own.join(small(places), own.doc_id == places.p_doc).select("text", "p_name", "node", "component", "tiles", "mine").mapInArrow(fill, "component long, t1 int, t2 int, mine int, node long, grams binary")
-        return cut(sets.groupBy("component", "t1", "t2").applyInArrow(verify, kind))
+        sets = own.join(small(places), own.doc_id == places.p_doc).select("text", "p_name", "node", "component", "tiles", "mine").mapInArrow(lean(fill), "component long, t1 int, t2 int, mine int, node long, grams binary")
+        return cut(sets.groupBy("component", "t1", "t2").applyInArrow(lean_groups(verify), kind))
 
     def pairs(self) -> DataFrame:
         """(x, y, jaccard): a row for each similar pair of classes."""

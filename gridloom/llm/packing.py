@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_folder, shuffle_partitions
-from .text import Chunk, mix, pieces
+from .text import Chunk, lean, mix, pieces
 
 SHARD_DOCS, WINDOW_WORDS, EVERY = 8192, 2048, 50
 #: Seeds of a round; windows of words by which their lists exceed the room at first; share of a shard's documents from which a term is multiplied densely.
@@ -197,7 +197,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
     """
     spark = docs.sparkSession
     base = f"{shared_folder(spark)}/packing-{uuid.uuid4().hex}"
-    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n long, content long, terms binary, tfs binary")
+    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_sketch), "doc_id long, n long, content long, terms binary, tfs binary")
     turn = F.when(F.col("doc_id").isNull(), F.xxhash64("content", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
     later = F.coalesce(F.col("doc_id") % every != 0, F.lit(True))
     # parts in the order of places: the seeds', then the others', each a range of turns
@@ -207,9 +207,9 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
     part = F.when(F.col("later"), first).otherwise(0) + F.least(size - 1, F.floor((F.col("turn").cast("double") / 2.0**64 + 0.5) * size)).cast("int")
     placed = sketched.where("n > 0").withColumns({"later": later, "turn": turn}).withColumn("part", part)
     ordered = placed.repartition(others + first, "part").sortWithinPartitions("part", "turn", "doc_id", "n", "content").select("part", "doc_id", "n", "terms", "tfs")
-    ordered.mapInArrow(_index(shard_docs, every), _SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
+    ordered.mapInArrow(lean(_index(shard_docs, every)), _SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
     shards = spark.read.schema(_SHARD).parquet(f"{base}/shards")
-    shards.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{base}/df")
+    shards.mapInArrow(lean(_frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{base}/df")
     frequencies = spark.read.schema("term long, df long").parquet(f"{base}/df")
     # places run on from shard to shard and from partition to partition
     sizes = sorted(map(tuple, shards.select("part", "number", "size", "words", "seeds").collect()))
@@ -239,7 +239,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
 
         low, high = (sizes[int(np.searchsorted(starts, int(x), "right")) - 1][0] for x in (batch[0], batch[-1]))
         open_ = shards.where(F.col("part") >= low)
-        asked = open_.where(F.col("part") <= high).mapInArrow(ask, "place long, n long, terms binary, tfs binary").toArrow().sort_by("place")
+        asked = open_.where(F.col("part") <= high).mapInArrow(lean(ask), "place long, n long, terms binary, tfs binary").toArrow().sort_by("place")
         n, terms, tfs = asked.column("n").to_numpy(), _numbers(asked.column("terms"), np.uint64), _numbers(asked.column("tfs"), np.int32)
         ends, flat = np.concatenate(([0], np.cumsum([len(t) for t in terms]))), np.concatenate(terms)
         wanted = spark.sparkContext.broadcast(np.unique(flat))
@@ -272,7 +272,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
             return _merge(table, query.value[0])[0]
 
         shape = "seed long, place long, n long, score double"
-        lists = open_.mapInArrow(search, shape).groupBy("seed").applyInArrow(merge, shape).toArrow().sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
+        lists = open_.mapInArrow(lean(search), shape).groupBy("seed").applyInArrow(merge, shape).toArrow().sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
         owner, place, words, score = (lists.column(c).to_numpy() for c in ("seed", "place", "n", "score"))
         first = np.searchsorted(owner, np.arange(len(batch) + 1))
         rows, most = [], 0
@@ -340,4 +340,4 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
 
     out = spark.read.schema(kind).parquet(f"{base}/out")
     taken = out.join(shards.mapInArrow(named, "place long, doc_id long"), "place").select("window", "position", "doc_id", "start_word", "end_word", "score")
-    return taken.unionByName(shards.mapInArrow(lay, "window string, position int, doc_id long, start_word int, end_word int, score double"))
+    return taken.unionByName(shards.mapInArrow(lean(lay), "window string, position int, doc_id long, start_word int, end_word int, score double"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import DROP, hash_strings, mix, pieces
+from .text import DROP, hash_strings, lean, mix, pieces
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_labelled: int
                 cells = [[place[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], [value[a:b].astype(np.float32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__gl_label"), pa.array(cells[0], pa.binary()), pa.array(cells[1], pa.binary())], ["doc_id", "label", "place", "value"])
 
-    table = own.join(F.broadcast(chosen), own.doc_id == chosen["__gl_id"]).select("doc_id", "text", "__gl_label").mapInArrow(vectors, "doc_id long, label int, place binary, value binary").toArrow()
+    table = own.join(F.broadcast(chosen), own.doc_id == chosen["__gl_id"]).select("doc_id", "text", "__gl_label").mapInArrow(lean(vectors), "doc_id long, label int, place binary, value binary").toArrow()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "place", "value", "label")), strict=True))
     order = np.random.default_rng(seed).permutation(len(rows))
     return ftrl([(np.frombuffer(rows[i][1], np.int32).astype(np.int64), np.frombuffer(rows[i][2], np.float32).astype(np.float64), rows[i][3]) for i in order], bits)
@@ -132,7 +132,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = 18, threshold: float
                 blank = pc.equal(pc.utf8_trim_whitespace(pc.fill_null(part.column("text"), "")), "").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.round(p, 6)), pa.array((p >= threshold) & ~blank)], ["doc_id", "p", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, p double, keep boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, p double, keep boolean")
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, bits: int = 18, threshold: float = 0.5) -> DataFrame:
@@ -150,4 +150,4 @@ def keep_good(docs: DataFrame, weights: np.ndarray, bits: int = 18, threshold: f
                 blank = pc.equal(pc.utf8_trim_whitespace(pc.fill_null(part.column("text"), "")), "").to_numpy(zero_copy_only=False)
                 yield part.filter(pa.array((_scores(part.column("text"), w, bits) >= threshold) & ~blank))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

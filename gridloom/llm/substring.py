@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions, small
-from .text import DROP, Chunk, mix, pieces, rolling
+from .text import DROP, Chunk, lean, lean_groups, mix, pieces, rolling
 
 WINDOW = 50
 _WIRE = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary"
@@ -137,9 +137,9 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
         cat = lambda xs: np.concatenate(xs) if xs else none
         return pa.table({"doc_id": pa.array(cat(ids), mask=~cat(known).astype(bool)), "start_word": cat(starts).astype(np.int32), "end_word": cat(stops).astype(np.int32)})
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashes, _WIRE)
-    back = sent.groupBy("bucket").applyInArrow(count, _WIRE)
-    return back.groupBy("chunk").applyInArrow(merge, "doc_id long, start_word int, end_word int")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(hashes), _WIRE)
+    back = sent.groupBy("bucket").applyInArrow(lean_groups(count), _WIRE)
+    return back.groupBy("chunk").applyInArrow(lean_groups(merge), "doc_id long, start_word int, end_word int")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     columns["n_chars"] = pa.array([sizes.get(i, x) for i, x in enumerate(old.to_pylist())], old.type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), schema=own.schema).filter(pa.array(keep))
 
-    return joined.mapInArrow(rewrite, docs.schema)
+    return joined.mapInArrow(lean(rewrite), docs.schema)
 
 
 def repeats_sql(window: int = WINDOW) -> str:

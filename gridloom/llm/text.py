@@ -8,7 +8,8 @@ length is processed whole: chunks are cut between documents only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +154,33 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         stop = max(start + 1, int(np.searchsorted(ends, total + limit, "right")))
         yield batch.slice(start, stop - start)
         total, start = int(ends[stop - 1]), stop
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """`run`, of batches, whose worker gives back what it freed when its task ends: Spark keeps idle workers, and as many as ever ran at once."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def lean_groups(run: Callable, least: int = 1 << 20) -> Callable:
+    """The same of (key, table), after each group of at least so many bytes."""
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        out, large = run(key, table), table.nbytes >= least
+        del table
+        if large:
+            give_back()
+        return out
+
+    return whole

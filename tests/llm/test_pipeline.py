@@ -197,3 +197,36 @@ def test_stages_on_awkward_tables(spark, tmp_path, kind):
             assert all(r.source is not None and r.text.strip() for r in after)
     assert (len(after) > 0) == (kind != "empty")
     assert P.run(spark, str(tmp_path)).count() == len(after)
+
+
+def test_workers_give_back_what_their_task_used():
+    """Spark keeps Python workers that have nothing to do. Here a task of the quality stage runs in a process of its own."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import re
+from types import SimpleNamespace as N
+import numpy as np, pyarrow as pa
+from gridloom.llm import quality
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+context = N(broadcast=lambda v: N(value=v))
+docs = N(sparkSession=N(sparkContext=context), schema=None, mapInArrow=lambda run, schema: run)
+task = quality.keep_good(docs, np.full((1 << 18) + 1, 0.1))
+rng = np.random.default_rng(7)
+batch = lambda n: pa.RecordBatch.from_pydict({"doc_id": range(n), "text": [" ".join(f"w{x}" for x in rng.integers(0, 300_000, 500)) for _ in range(n)]})
+list(task(iter([batch(50)])))
+before = held()
+for out in task(batch(3000) for _ in range(3)):
+    pass
+del out
+print(held() - before)
+"""
+    root = Path(__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(root), "OMP_NUM_THREADS": "1"})
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 25, out.stdout
