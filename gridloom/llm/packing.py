@@ -26,8 +26,8 @@ from .common import shared_folder, shuffle_partitions
 from .text import Chunk, lean, mix, pieces
 
 SHARD_DOCS, WINDOW_WORDS, EVERY = 8192, 2048, 50
-#: Seeds of a round; windows of words by which their lists exceed the room at first; share of a shard's documents from which a term is multiplied densely.
-SEEDS, SLACK, DENSE = 512, 4, 0.05
+#: Seeds of a round; windows of words by which their lists exceed the room at first; share of the scores of a shard that a term must change to be multiplied densely.
+SEEDS, SLACK, DENSE = 1024, 8, 0.006
 K1, B = 1.2, 0.75
 
 
@@ -114,21 +114,22 @@ def _shards(batches: Iterator[pa.RecordBatch], firsts: dict[tuple[int, int], int
             yield s
 
 
-def _best(own: np.ndarray, counts: np.ndarray, limit: int, first: int = 256) -> np.ndarray:
-    """Of the documents of positive score, best first, the least number that have `limit` words, or all."""
-    free = np.flatnonzero(own > 0)
+def _best(own: np.ndarray, counts: np.ndarray, limit: int, least: float, first: int = 64) -> np.ndarray:
+    """Of the documents of positive score that is at least `least`, best first, the least number that have `limit` words, or all."""
+    free = np.flatnonzero(own >= least if least > 0 else own > 0)
+    score = own[free]
     while len(free) > first:
-        top = free[own[free] >= np.partition(own[free], len(free) - first)[len(free) - first]]
-        if counts[top].sum() >= limit:
-            free = top
+        top = score >= np.partition(score, len(free) - first)[len(free) - first]
+        if counts[free[top]].sum() >= limit:
+            free, score = free[top], score[top]
             break
         first *= 4
-    free = free[np.argsort(-own[free], kind="stable")]
+    free = free[np.argsort(-score, kind="stable")]
     return free[: int(np.searchsorted(np.cumsum(counts[free]), limit)) + 1]
 
 
-def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, limit: np.ndarray, least: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, mean: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(seed's position, places, counts, scores) of a shard: seed i asks with terms[ends[i]:ends[i + 1]] and their weights for documents of a score of at least least[i]."""
+def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, limit: np.ndarray, least: np.ndarray, ends: np.ndarray, terms: np.ndarray, asked: np.ndarray, weights: np.ndarray, mean: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(seed's position, places, counts, scores) of a shard: seed i asks with terms[asked[ends[i]:ends[i + 1]]] and their weights for documents of a score of at least least[i]."""
     alive = ~used[shard["places"]]
     n, at = int(alive.sum()), np.cumsum(alive) - 1
     if not n:
@@ -136,14 +137,18 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, l
     places, counts = shard["places"][alive], shard["counts"][alive]
     keep = alive[shard["docs"]]
     docs, tf = at[shard["docs"][keep]], shard["tfs"][keep]
-    posts = np.concatenate(([0], np.cumsum(keep)))[shard["ends"]]
+    posts = np.concatenate(([0], np.cumsum(np.add.reduceat(keep.view(np.uint8), shard["ends"][:-1], dtype=np.int64))))
     tf = tf.astype(np.float64)
-    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * counts[docs] / mean))
+    value = (K1 * (1 - B + B * counts / mean))[docs]
+    value += tf
+    tf *= K1 + 1
+    np.divide(tf, value, out=value)
     where = np.searchsorted(shard["vocabulary"], terms)
     where[where == len(shard["vocabulary"])] = 0
-    hit = shard["vocabulary"][where] == terms
-    size = np.where(hit, posts[where + 1] - posts[where], 0)
-    many = np.unique(where[size > max(8, DENSE * n)])
+    size = np.where(shard["vocabulary"][where] == terms, posts[where + 1] - posts[where], 0)
+    often = np.bincount(asked, minlength=len(terms))
+    many = where[often * size > max(8, DENSE * n * len(seeds))]
+    where, size = where[asked], size[asked]
     column = np.full(len(shard["vocabulary"]), -1)
     column[many] = np.arange(len(many))
     table = np.zeros((len(many), n))
@@ -152,6 +157,7 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, l
     asker = np.repeat(np.arange(len(seeds)), np.diff(ends))
     few = (size > 0) & (column[where] < 0)
     dense = (size > 0) & ~few
+    steps = np.arange(1 << 17)
     for low in range(0, len(seeds), 128):
         high = min(low + 128, len(seeds))
         a, b = ends[low], ends[high]
@@ -159,17 +165,20 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, l
         d = dense[a:b]
         query[asker[a:b][d] - low, column[where[a:b][d]]] = weights[a:b][d]
         scores = query @ table
-        for x in range(low, high, 32):  # as many postings at a time as caches hold
-            y = min(x + 32, high)
-            own = ends[x] + np.flatnonzero(few[ends[x] : ends[y]])
+        for i in range(low, high):
+            own = ends[i] + np.flatnonzero(few[ends[i] : ends[i + 1]])
             s, first = size[own], posts[where[own]]
             if total := int(s.sum()):
-                post = np.arange(total) + np.repeat(first - np.cumsum(s) + s, s)
-                scores[x - low : y - low] += np.bincount(np.repeat((asker[own] - x) * n, s) + docs[post], value[post] * np.repeat(weights[own], s), (y - x) * n).reshape(y - x, n)
+                post = np.repeat(first - np.cumsum(s) + s, s)
+                post += steps[:total] if total <= len(steps) else np.arange(total)
+                gain = value[post]
+                gain *= np.repeat(weights[own], s)
+                scores[i - low] += np.bincount(docs[post], gain, n)
         scores = np.round(scores, 6)
-        scores[(scores < least[low:high, None]) | (places <= seeds[low:high, None])] = 0
+        earlier = np.searchsorted(places, seeds[low:high], "right")
         for i in range(low, high):
-            if limit[i] and len(got := _best(scores[i - low], counts, int(limit[i]))):
+            scores[i - low, : earlier[i - low]] = 0
+            if limit[i] and len(got := _best(scores[i - low], counts, int(limit[i]), float(least[i]))):
                 yield np.full(len(got), i), places[got], counts[got], scores[i - low][got]
 
 
@@ -242,7 +251,8 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
         asked = open_.where(F.col("part") <= high).mapInArrow(lean(ask), "place long, n long, terms binary, tfs binary").toArrow().sort_by("place")
         n, terms, tfs = asked.column("n").to_numpy(), _numbers(asked.column("terms"), np.uint64), _numbers(asked.column("tfs"), np.int32)
         ends, flat = np.concatenate(([0], np.cumsum([len(t) for t in terms]))), np.concatenate(terms)
-        wanted = spark.sparkContext.broadcast(np.unique(flat))
+        names, asks = np.unique(flat, return_inverse=True)
+        wanted = spark.sparkContext.broadcast(names)
 
         def known(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -252,10 +262,10 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
         found = frequencies.mapInArrow(known, "term long, df long").toArrow()
         term, df = found.column("term").to_numpy().view(np.uint64), found.column("df").to_numpy()
         order = np.argsort(term)
-        df = df[order][np.searchsorted(term[order], flat)]
+        df = df[order][asks]  # every name is found
         room = np.where(n % window > 0, window - n % window, 0)
         limit = np.where(room > 0, room + slack, 0)
-        query = spark.sparkContext.broadcast((limit, ends, flat, np.log1p((total - df + 0.5) / (df + 0.5)) * np.concatenate(tfs)))
+        query = spark.sparkContext.broadcast((limit, ends, names, asks.astype(np.int32), np.log1p((total - df + 0.5) / (df + 0.5)) * np.concatenate(tfs)))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, query=query) -> Iterator[pa.RecordBatch]:
             (bits, batch), (limit, *asked) = sent.value, query.value
