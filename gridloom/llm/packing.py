@@ -26,8 +26,10 @@ from .common import shared_folder, shuffle_partitions
 from .text import Chunk, lean, mix, pieces
 
 SHARD_DOCS, WINDOW_WORDS, EVERY = 8192, 2048, 50
-#: Seeds of a round; windows of words by which their lists exceed the room at first; share of the scores of a shard that a term must change to be multiplied densely.
-SEEDS, SLACK, DENSE = 1024, 8, 0.006
+#: Seeds of a round; windows of words by which their lists exceed the room at first; share of the scores of a shard and group that a term must change to be multiplied densely.
+SEEDS, SLACK, DENSE = 8192, 8, 0.006
+#: Similar seeds that are scored together.
+GROUP = 512
 K1, B = 1.2, 0.75
 
 
@@ -114,18 +116,19 @@ def _shards(batches: Iterator[pa.RecordBatch], firsts: dict[tuple[int, int], int
             yield s
 
 
-def _best(own: np.ndarray, counts: np.ndarray, limit: int, least: float, first: int = 64) -> np.ndarray:
-    """Of the documents of positive score that is at least `least`, best first, the least number that have `limit` words, or all."""
-    free = np.flatnonzero(own >= least if least > 0 else own > 0)
-    score = own[free]
-    while len(free) > first:
-        top = score >= np.partition(score, len(free) - first)[len(free) - first]
-        if counts[free[top]].sum() >= limit:
-            free, score = free[top], score[top]
+def _best(own: np.ndarray, counts: np.ndarray, limit: int, least: float, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Of the documents of positive score, rounded, that is at least `least`, best first, the least number that have `limit` words, or all; with their scores."""
+    border = least
+    while first < len(own):
+        border = max(least, np.partition(own, len(own) - first)[len(own) - first])
+        if border <= least or counts[own >= border].sum() >= limit:
             break
-        first *= 4
-    free = free[np.argsort(-score, kind="stable")]
-    return free[: int(np.searchsorted(np.cumsum(counts[free]), limit)) + 1]
+        border, first = least, first * 4
+    free = np.flatnonzero(own >= border - 2e-6) if border > 0 else np.flatnonzero(own)  # those that are equal once rounded, too
+    score = np.round(own[free], 6)
+    order = np.argsort(-score, kind="stable")[: np.count_nonzero(score >= least if least > 0 else score > 0)]
+    order = order[: int(np.searchsorted(np.cumsum(counts[free[order]]), limit)) + 1]
+    return free[order], score[order]
 
 
 def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, limit: np.ndarray, least: np.ndarray, ends: np.ndarray, terms: np.ndarray, asked: np.ndarray, weights: np.ndarray, mean: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -145,41 +148,63 @@ def _search(shard: dict[str, np.ndarray], used: np.ndarray, seeds: np.ndarray, l
     np.divide(tf, value, out=value)
     where = np.searchsorted(shard["vocabulary"], terms)
     where[where == len(shard["vocabulary"])] = 0
-    size = np.where(shard["vocabulary"][where] == terms, posts[where + 1] - posts[where], 0)
-    often = np.bincount(asked, minlength=len(terms))
-    many = where[often * size > max(8, DENSE * n * len(seeds))]
-    where, size = where[asked], size[asked]
-    column = np.full(len(shard["vocabulary"]), -1)
-    column[many] = np.arange(len(many))
-    table = np.zeros((len(many), n))
-    for k, t in enumerate(many):
-        table[k, docs[posts[t] : posts[t + 1]]] = value[posts[t] : posts[t + 1]]
-    asker = np.repeat(np.arange(len(seeds)), np.diff(ends))
-    few = (size > 0) & (column[where] < 0)
-    dense = (size > 0) & ~few
-    steps = np.arange(1 << 17)
-    for low in range(0, len(seeds), 128):
-        high = min(low + 128, len(seeds))
-        a, b = ends[low], ends[high]
-        query = np.zeros((high - low, len(many)))
-        d = dense[a:b]
-        query[asker[a:b][d] - low, column[where[a:b][d]]] = weights[a:b][d]
-        scores = query @ table
-        for i in range(low, high):
-            own = ends[i] + np.flatnonzero(few[ends[i] : ends[i + 1]])
-            s, first = size[own], posts[where[own]]
-            if total := int(s.sum()):
-                post = np.repeat(first - np.cumsum(s) + s, s)
-                post += steps[:total] if total <= len(steps) else np.arange(total)
-                gain = value[post]
-                gain *= np.repeat(weights[own], s)
-                scores[i - low] += np.bincount(docs[post], gain, n)
-        scores = np.round(scores, 6)
-        earlier = np.searchsorted(places, seeds[low:high], "right")
-        for i in range(low, high):
-            scores[i - low, : earlier[i - low]] = 0
-            if limit[i] and len(got := _best(scores[i - low], counts, int(limit[i]), float(least[i]))):
-                yield np.full(len(got), i), places[got], counts[got], scores[i - low][got]
+    begin = posts[where]
+    size = np.where(shard["vocabulary"][where] == terms, posts[where + 1] - begin, 0)
+    earlier = np.searchsorted(places, seeds, "right")
+    for start in range(0, len(seeds), GROUP):
+        stop = min(start + GROUP, len(seeds))
+        mine, weight, cuts = asked[ends[start] : ends[stop]], weights[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
+        many = np.flatnonzero(np.bincount(mine, minlength=len(terms)) * size > max(8, DENSE * n * (stop - start)))
+        column = np.full(len(terms), -1)
+        column[many] = np.arange(len(many))
+        table = np.zeros((len(many), n))
+        for k, (a, b) in enumerate(zip(begin[many].tolist(), (begin + size)[many].tolist(), strict=True)):
+            table[k, docs[a:b]] = value[a:b]
+        column, asker = column[mine], np.repeat(np.arange(stop - start), np.diff(cuts))
+        dense, few = np.flatnonzero(column >= 0), np.flatnonzero((column < 0) & (size[mine] > 0))
+        query = np.zeros((stop - start, len(many)))
+        query[asker[dense], column[dense]] = weight[dense]
+        # of the terms that are added one posting at a time: postings, where they begin less those of the terms before
+        s, weight, cuts = size[mine[few]], weight[few], np.searchsorted(few, cuts)
+        before = np.concatenate(([0], np.cumsum(s)))
+        shift, steps = begin[mine[few]] - before[:-1], np.arange(int(np.diff(before[cuts]).max()))
+        for low in range(start, stop, 128):
+            high = min(low + 128, stop)
+            scores = query[low - start : high - start] @ table
+            for i in range(low, high):
+                a, b = cuts[i - start], cuts[i - start + 1]
+                if total := int(before[b] - before[a]):
+                    post = np.repeat(shift[a:b] + before[a], s[a:b])
+                    post += steps[:total]
+                    gain = value.take(post, mode="clip")
+                    gain *= np.repeat(weight[a:b], s[a:b])
+                    scores[i - low] += np.bincount(docs.take(post, mode="clip"), gain, n)
+                scores[i - low, : earlier[i]] = 0
+                if limit[i]:
+                    got, score = _best(scores[i - low], counts, int(limit[i]), float(least[i]))
+                    if len(got):
+                        yield np.full(len(got), i), places[got], counts[got], score
+
+
+def _part(chosen: np.ndarray, ends: np.ndarray, names: np.ndarray, asks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """ends, names, asks and weights of the chosen seeds alone."""
+    size = np.diff(ends)[chosen]
+    to = np.concatenate(([0], np.cumsum(size)))
+    at = np.repeat(ends[chosen] - to[:-1], size) + np.arange(int(to[-1]))
+    here = np.zeros(len(names), bool)
+    here[asks[at]] = True
+    return to, names[here], (np.cumsum(here, dtype=np.int32) - 1)[asks[at]], weights[at]
+
+
+def _alike(ends: np.ndarray, asks: np.ndarray, first: int = 24) -> np.ndarray:
+    """An order of the seeds in which those that ask for the same of the most frequent terms stand together, as do those of a language."""
+    common = np.full(int(asks.max()) + 1, -1)
+    often = np.argsort(-np.bincount(asks), kind="stable")[:first]
+    common[often] = np.arange(len(often))
+    has = np.zeros((len(often), len(ends) - 1), bool)
+    which = common[asks]
+    has[which[which >= 0], np.repeat(np.arange(len(ends) - 1), np.diff(ends))[which >= 0]] = True
+    return np.lexsort(has[::-1])
 
 
 def _merge(lists: pa.Table, limit: np.ndarray) -> tuple[pa.Table, np.ndarray]:
@@ -228,12 +253,43 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
     mean = max(1.0, sum(x[3] for x in sizes) / max(1, total))
     used, kind = np.zeros(count, bool), "window string, position int, place long, start_word int, end_word int, score double"
     spark.createDataFrame([], kind).write.parquet(f"{base}/out")
-    seeds, slack, cut_at = sum(x[4] for x in sizes), SLACK * window, {}  # the seeds have the first places
+    seeds, cut_at = sum(x[4] for x in sizes), {}  # the seeds have the first places
+
+    def look(shards: DataFrame, used: np.ndarray, batch: np.ndarray, limit: np.ndarray, ends: np.ndarray, names: np.ndarray, asks: np.ndarray, weights: np.ndarray, keys: np.ndarray) -> dict[int, tuple]:
+        """For each of `keys`, the unused neighbours of the seed of the same position in `batch`, best first: places, counts, scores, and whether these are all."""
+        query = spark.sparkContext.broadcast((np.packbits(used), batch, limit, ends, names, asks, weights))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, batch, limit, *asked = query.value
+            used, held, least = np.unpackbits(bits, count=count).astype(bool), [], np.zeros(len(batch))
+            for s in _shards(batches, firsts):
+                if got := list(_search(s, used, batch, limit, least, *asked, mean)):
+                    held.append(pa.table([np.concatenate(c) for c in zip(*got, strict=True)], names=["seed", "place", "n", "score"]))
+                    lists, least = _merge(pa.concat_tables(held), limit)
+                    held = [lists]
+            for lists in held:
+                yield from lists.to_batches()
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if held := list(batches):
+                yield from _merge(pa.Table.from_batches(held), query.value[2])[0].to_batches()
+
+        shape = "seed long, place long, n long, score double"
+        found = shards.mapInArrow(lean(search), shape).repartition("seed").mapInArrow(lean(merge), shape).toArrow().sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
+        query.destroy()
+        owner, *cells = (found.column(c).to_numpy() for c in ("seed", "place", "n", "score"))
+        first = np.searchsorted(owner, np.arange(len(batch) + 1)).tolist()
+        out = {}
+        for i, key in enumerate(keys.tolist()):
+            place, words, score = (c[first[i] : first[i + 1]] for c in cells)
+            out[key] = place, words, score, int(words.sum()) < limit[i]
+        return out
+
     while len(batch := np.flatnonzero(~used[:seeds])[:SEEDS]):
-        sent = spark.sparkContext.broadcast((np.packbits(used), batch))
+        sent = spark.sparkContext.broadcast(batch)
 
         def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            _, batch = sent.value
+            batch = sent.value
             for s in _shards(batches, firsts):
                 if not len(mine := np.flatnonzero(np.isin(s["places"], batch))):
                     continue
@@ -250,7 +306,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
         open_ = shards.where(F.col("part") >= low)
         asked = open_.where(F.col("part") <= high).mapInArrow(lean(ask), "place long, n long, terms binary, tfs binary").toArrow().sort_by("place")
         n, terms, tfs = asked.column("n").to_numpy(), _numbers(asked.column("terms"), np.uint64), _numbers(asked.column("tfs"), np.int32)
-        ends, flat = np.concatenate(([0], np.cumsum([len(t) for t in terms]))), np.concatenate(terms)
+        bounds, flat = np.concatenate(([0], np.cumsum([len(t) for t in terms]))), np.concatenate(terms)
         names, asks = np.unique(flat, return_inverse=True)
         wanted = spark.sparkContext.broadcast(names)
 
@@ -261,60 +317,45 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
 
         found = frequencies.mapInArrow(known, "term long, df long").toArrow()
         term, df = found.column("term").to_numpy().view(np.uint64), found.column("df").to_numpy()
-        order = np.argsort(term)
-        df = df[order][asks]  # every name is found
-        room = np.where(n % window > 0, window - n % window, 0)
-        limit = np.where(room > 0, room + slack, 0)
-        query = spark.sparkContext.broadcast((limit, ends, names, asks.astype(np.int32), np.log1p((total - df + 0.5) / (df + 0.5)) * np.concatenate(tfs)))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent, query=query) -> Iterator[pa.RecordBatch]:
-            (bits, batch), (limit, *asked) = sent.value, query.value
-            used, held, least = np.unpackbits(bits, count=count).astype(bool), [], np.zeros(len(batch))
-            for s in _shards(batches, firsts):
-                if got := list(_search(s, used, batch, limit, least, *asked, mean)):
-                    held.append(pa.table([np.concatenate(c) for c in zip(*got, strict=True)], names=["seed", "place", "n", "score"]))
-                    lists, least = _merge(pa.concat_tables(held), limit)
-                    held = [lists]
-            for lists in held:
-                yield from lists.to_batches()
-
-        def merge(key: tuple, table: pa.Table) -> pa.Table:
-            return _merge(table, query.value[0])[0]
-
-        shape = "seed long, place long, n long, score double"
-        lists = open_.mapInArrow(lean(search), shape).groupBy("seed").applyInArrow(merge, shape).toArrow().sort_by([("seed", "ascending"), ("score", "descending"), ("place", "ascending")])
-        owner, place, words, score = (lists.column(c).to_numpy() for c in ("seed", "place", "n", "score"))
-        first = np.searchsorted(owner, np.arange(len(batch) + 1))
-        rows, most = [], 0
-        for i, s in enumerate(batch):
-            if used[s]:
-                continue
-            mine = slice(first[i], first[i + 1])
-            taken = used[place[mine]]
-            lost = int(words[mine][taken].sum())
-            most = max(most, lost)
-            if lost > slack and words[mine].sum() >= limit[i]:
-                slack *= 2
-                break
-            used[s] = True
-            full = int(n[i]) // window
-            rows += [(f"s{s}-{k}", 0, int(s), k * window, (k + 1) * window, 0.0) for k in range(full)]
-            if not room[i]:
-                continue
-            rows.append((f"s{s}-{full}", 0, int(s), full * window, int(n[i]), 0.0))
-            space, position = int(room[i]), 1
-            for p, c, x in zip(place[mine][~taken].tolist(), words[mine][~taken].tolist(), score[mine][~taken].tolist(), strict=True):
-                rows.append((f"s{s}-{full}", position, p, 0, min(c, space), x))
-                used[p] = True
-                if c >= space:
-                    cut_at |= {p: space} if c > space else {}
-                    break
-                space, position = space - c, position + 1
-        else:
-            slack = max(SLACK * window, 2 * most)
+        df = df[np.argsort(term)][asks]  # every name is found
+        weights = np.log1p((total - df + 0.5) / (df + 0.5)) * np.concatenate(tfs)
+        asks, room = asks.astype(np.int32), np.where(n % window > 0, window - n % window, 0)
+        del asked, terms, tfs, flat, found, term, df
+        sent.destroy()
+        wanted.destroy()
+        lists, reach, rows, cuts, start = {}, np.full(len(batch), SLACK * window), [], [], 0
+        short = _alike(bounds, asks)
+        while len(short):
+            lists |= look(open_, used, batch[short], np.where(room[short] > 0, room[short] + reach[short], 0), *_part(short, bounds, names, asks, weights), short)
+            short, safe = [], None
+            for i in range(start, len(batch)):
+                if used[s := batch[i]]:
+                    continue
+                place, words, score, whole = lists[i] if room[i] else (*[np.empty(0, int)] * 3, True)
+                free = ~used[place]
+                if not whole and int(words[free].sum()) < room[i]:
+                    if safe is None:  # from here on it's only tried which other lists are too short
+                        safe, start = (used.copy(), len(rows), len(cuts)), i
+                    short.append(i)
+                used[s] = True
+                full = int(n[i]) // window
+                rows += [(f"s{s}-{k}", 0, int(s), k * window, (k + 1) * window, 0.0) for k in range(full)]
+                if not room[i]:
+                    continue
+                rows.append((f"s{s}-{full}", 0, int(s), full * window, int(n[i]), 0.0))
+                space, position = int(room[i]), 1
+                for p, c, x in zip(place[free].tolist(), words[free].tolist(), score[free].tolist(), strict=True):
+                    rows.append((f"s{s}-{full}", position, p, 0, min(c, space), x))
+                    used[p] = True
+                    if c >= space:
+                        cuts += [(p, space)] if c > space else []
+                        break
+                    space, position = space - c, position + 1
+            if safe:
+                used, rows, cuts, short = safe[0], rows[: safe[1]], cuts[: safe[2]], np.array(short)
+                reach[short] *= 4
+        cut_at |= dict(cuts)
         spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["window", "position", "place", "start_word", "end_word", "score"])).write.mode("append").parquet(f"{base}/out")
-        for x in (sent, wanted, query):
-            x.destroy()
     used[list(cut_at)] = False
     places = np.array(sorted(cut_at), np.int64)
     sent = spark.sparkContext.broadcast((np.packbits(used), places, np.array([cut_at[p] for p in places.tolist()], np.int64)))

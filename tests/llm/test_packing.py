@@ -154,3 +154,40 @@ def test_seeds_of_one_group_share_it_out(spark, monkeypatch):
     for r in sorted(pack_documents(df, window=60, shard_docs=64, every=5).where("window like 's%'").collect(), key=lambda r: r.position):
         got[r.window].append((r.doc_id, r.start_word, r.end_word))
     assert {tuple(w) for w in got.values()} == want
+
+
+def test_lists_that_are_too_short_are_searched_again_alone(spark, monkeypatch):
+    """Seeds that all want the same documents: the others of a round keep their lists, whatever the groups they are scored in."""
+    import gridloom.llm.packing as P
+
+    asked, numbers = [], P._numbers
+
+    def counted(column, kind):
+        asked.append(len(column))
+        return numbers(column, kind)
+
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 500, 12)]
+    texts = [" ".join([*base, f"v{x}"]) for x in rng.integers(0, 50, 300)] + [" ".join(f"w{x}" for x in rng.integers(0, 500, 13)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(P, "SLACK", 64)
+    want = sorted(pack_documents(docs, window=60, every=5).collect(), key=str)
+    monkeypatch.setattr(P, "SLACK", 1)
+    monkeypatch.setattr(P, "GROUP", 16, raising=False)
+    monkeypatch.setattr(P, "_numbers", counted)
+    assert sorted(pack_documents(docs, window=60, every=5).collect(), key=str) == want
+    assert sum(asked) == 2 * 80  # terms and counts of every seed, once
+
+
+def test_best_of_scores_that_are_equal_once_rounded():
+    from gridloom.llm.packing import _best
+
+    rng = np.random.default_rng(6)
+    for size, limit, least in ((5, 40, 0.0), (300, 90, 0.0), (300, 90, 0.00002), (300, 10_000, 0.0), (300, 10_000, 0.00003), (300, 400, 0.0)):
+        own = rng.integers(0, 40, size) * 1e-6 + rng.uniform(-4e-7, 4e-7, size)
+        own, counts = np.maximum(own, 0), rng.integers(1, 9, size)
+        score = np.round(own, 6)
+        order = [d for d in np.lexsort((np.arange(size), -score)) if score[d] > 0 and score[d] >= least]
+        want = order[: int(np.searchsorted(np.cumsum(counts[order]), limit)) + 1]
+        got, rounded = _best(own, counts, limit, least)
+        assert got.tolist() == want and np.array_equal(rounded, score[want])
