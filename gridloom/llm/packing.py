@@ -6,8 +6,8 @@ seed asks every shard; its unused neighbours, best first (ties: the earlier plac
 took, the rest of such documents included, is laid end to end, in the seeded order, in windows of its own. Every document's every word lands in exactly one window.
 
 The seeds' windows are those of a plain loop over the seeds. They are made in rounds: some of the next seeds are searched at once, and the driver then
-goes through them in order. Lists reach `slack` words beyond the room, so they are complete while no more words of them are taken by earlier
-seeds of the round; at a seed that lost more, the round ends, and the next one's lists reach twice as far.
+goes through them in order. Lists reach SLACK windows beyond the room. Where earlier seeds of the round took so much of a list that it no longer fills the room,
+the driver goes on only to see which other lists will be too short; these seeds are searched again, four times as far beyond the room, and it resumes at the first of them, whose list then suffices.
 
 Every seed is scored against every unused document, so the search grows with seeds x documents. The driver holds a byte, and tasks get a bit, for each document.
 """
@@ -30,6 +30,8 @@ SHARD_DOCS, WINDOW_WORDS, EVERY = 8192, 2048, 50
 SEEDS, SLACK, DENSE = 8192, 8, 0.006
 #: Similar seeds that are scored together.
 GROUP = 512
+#: What the driver holds at once, about: words of a round's seeds, rows of lists. There are fewer seeds to a search where they are long, or neighbours short.
+WORDS, ROWS = 5_000_000, 2_000_000
 K1, B = 1.2, 0.75
 
 
@@ -285,7 +287,9 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
             out[key] = place, words, score, int(words.sum()) < limit[i]
         return out
 
-    while len(batch := np.flatnonzero(~used[:seeds])[:SEEDS]):
+    own = sum(x[3] for x in sizes if x[4]) / max(1, sum(x[2] for x in sizes if x[4]))  # words of a seed
+    round_ = max(1, int(min(SEEDS, WORDS / max(1, own), ROWS * mean / (window * (1 + SLACK)))))
+    while len(batch := np.flatnonzero(~used[:seeds])[:round_]):
         sent = spark.sparkContext.broadcast(batch)
 
         def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -353,6 +357,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW_WORDS, shard_docs: int
                     space, position = space - c, position + 1
             if safe:
                 used, rows, cuts, short = safe[0], rows[: safe[1]], cuts[: safe[2]], np.array(short)
+                short = short[: max(1, int(np.searchsorted(np.cumsum((room + 4 * reach)[short]), ROWS * mean)))]
                 reach[short] *= 4
         cut_at |= dict(cuts)
         spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["window", "position", "place", "start_word", "end_word", "score"])).write.mode("append").parquet(f"{base}/out")

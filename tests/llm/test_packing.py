@@ -177,6 +177,8 @@ def test_lists_that_are_too_short_are_searched_again_alone(spark, monkeypatch):
     monkeypatch.setattr(P, "_numbers", counted)
     assert sorted(pack_documents(docs, window=60, every=5).collect(), key=str) == want
     assert sum(asked) == 2 * 80  # terms and counts of every seed, once
+    monkeypatch.setattr(P, "ROWS", 400, raising=False)  # the driver can't hold the lists of all seeds at once
+    assert sorted(pack_documents(docs, window=60, every=5).collect(), key=str) == want
 
 
 def test_best_of_scores_that_are_equal_once_rounded():
