@@ -25,23 +25,27 @@ def boxes(polygons: DataFrame) -> DataFrame:
     return polygons.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
 
 
+def _let(value, body) -> "F.Column":
+    """`body` of a value that is worked out once a row: a name for it, where Catalyst would put the whole expression in each place it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repair(polygons: DataFrame) -> DataFrame:
     """Rings without missing, repeated or closing vertices; polygons of fewer than three vertices or of no area go (D-19)."""
     known = F.filter("ring", lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
-    ring = polygons.withColumn("ring", known)
-    fresh = F.filter("ring", lambda p, i: (i == 0) | (p != F.element_at("ring", F.greatest(i, F.lit(1)))))
-    ring = ring.withColumn("ring", fresh)
-    last = F.size("ring") - 1
-    ring = ring.withColumn("ring", F.when((last > 0) & (F.element_at("ring", 1) == F.element_at("ring", -1)), F.slice("ring", 1, F.greatest(last, F.lit(0)))).otherwise(F.col("ring")))
-    return ring.where((F.size("ring") >= 3) & (area(F.col("ring")) > 0))
+    fresh = lambda ring: F.filter(ring, lambda p, i: (i == 0) | (p != F.element_at(ring, F.greatest(i, F.lit(1)))))
+    opened = lambda ring: F.when((F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))).otherwise(ring)
+    whole = lambda ring: F.when(F.size(ring) >= 3, F.when(area(ring) > 0, ring))
+    # explode(array(ring)) keeps the filter and what follows from asking for the ring's expression again
+    ring = _let(_let(_let(known, fresh), opened), whole)
+    return polygons.withColumn("__gl_ring", F.explode(F.array(ring))).where(F.col("__gl_ring").isNotNull()).withColumn("ring", F.col("__gl_ring")).drop("__gl_ring")
 
 
 def area(ring) -> "F.Column":
     """The area of a simple ring, by the shoelace formula."""
-    n = F.size(ring)
-    at = lambda k: F.element_at(ring, (k % n) + 1)
-    twice = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, k: s + at(k)["x"] * at(k + 1)["y"] - at(k + 1)["x"] * at(k)["y"])
-    return F.abs(twice) / 2
+    at = lambda r, k: F.element_at(r, (k % F.size(r)) + 1)
+    twice = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), F.lit(0.0), lambda s, k: s + at(r, k)["x"] * at(r, k + 1)["y"] - at(r, k + 1)["x"] * at(r, k)["y"])
+    return F.abs(_let(ring, twice)) / 2
 
 
 def candidates(a: DataFrame, b: DataFrame, cell: float, keep: list[str] | None = None) -> DataFrame:
