@@ -33,8 +33,8 @@ class Side:
         if "ring" in t.column_names:
             ring = t.column("ring").combine_chunks()
             flat = ring.flatten()
-            self.xy = np.stack([pc.struct_field(flat, [k]).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
-            self.size = pc.list_value_length(ring).to_numpy(zero_copy_only=False).astype(np.int64)
+            self.xy = np.stack([pc.struct_field(flat, [k]).to_numpy(zero_copy_only=False).astype(np.float64) for k in (0, 1)], 1)
+            self.size = pc.fill_null(pc.list_value_length(ring), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if "k" in t.column_names:
             self.k = t.column("k").to_numpy()
 

@@ -54,13 +54,13 @@ def point_in_polygon(spark: S, d: str) -> DataFrame:
 @query(sql("SELECT id FROM pp WHERE id IN (SELECT id FROM inn)", "pts", r=RECT2, pp=PP, inn=IN))
 def semi_on_peat(spark: S, d: str) -> DataFrame:
     p = probe(spark, d)
-    return p.join(J.points_in_polygons(p, ring_of(big_rects(spark, d)), 50.0), "id", "left_semi").select("id")
+    return p.join(J.points_held(p, ring_of(big_rects(spark, d)), 50.0), "id", "left_semi").select("id")
 
 
 @query(sql("SELECT id FROM pp WHERE id NOT IN (SELECT id FROM inn)", "pts", r=RECT2, pp=PP, inn=IN))
 def anti_off_peat(spark: S, d: str) -> DataFrame:
     p = probe(spark, d)
-    return p.join(J.points_in_polygons(p, ring_of(big_rects(spark, d)), 50.0), "id", "left_anti").select("id")
+    return p.join(J.points_held(p, ring_of(big_rects(spark, d)), 50.0), "id", "left_anti").select("id")
 
 
 @query(sql("SELECT pp.id, coalesce('poly ' || min(poly_id), 'Unknown') AS name FROM pp LEFT JOIN inn USING (id) GROUP BY 1", "pts", r=RECT2, pp=PP, inn=IN))
