@@ -84,7 +84,7 @@ def rect_intersection_area(spark: S, d: str) -> DataFrame:
 
 @query(sql(f"SELECT b.id AS b_id, count(*) AS n, round(sum(w),5) AS total, round(avg(w),5) AS mean FROM (SELECT a.id AS i, b.id, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS w {OVER}) b GROUP BY 1", a=RECT, b=RECT2))
 def intersection_summary(spark: S, d: str) -> DataFrame:
-    return J.rect_intersections(rects(spark, d), big_rects(spark, d), 50.0).transform(U.intersection_stats, "b_id").select("b_id", "n", F.round("total", 5).alias("total"), F.round("mean", 5).alias("mean"))
+    return J.rect_intersection_stats(rects(spark, d), big_rects(spark, d), 50.0).select("b_id", "n", F.round("total", 5).alias("total"), F.round("mean", 5).alias("mean"))
 
 
 PROX = "SELECT a.id, b.area_ha, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM pts a JOIN pts b ON abs(a.x-b.x)<=1000 AND abs(a.y-b.y)<=1000"
