@@ -58,28 +58,41 @@ def mask_cascade(df: DataFrame, value: str, masks: dict[str, str]) -> DataFrame:
     return out.withColumn(value, F.when(F.col("reason").isNull(), F.col(value)))
 
 
-def burn_rectangles(rects: DataFrame, spec: GridSpec, touched: bool = False) -> DataFrame:
-    """(row, col, id): pixels whose centre is in a rectangle (id, x0, y0, x1, y1), or that it touches; the greatest id wins.
-
-    Centre rule: left and lower bounds in, right and upper bounds out.
-    """
+def _pixel_ranges(rects: DataFrame, spec: GridSpec, touched: bool) -> DataFrame:
+    """(id, c0, c1, r0, r1): of each rectangle the columns and rows of pixels that it takes."""
     if touched:
         c0, c1 = F.floor((F.col("x0") - spec.ox) / spec.px), F.ceil((F.col("x1") - spec.ox) / spec.px) - 1
         r0, r1 = F.floor((F.lit(spec.oy) - F.col("y1")) / spec.px), F.ceil((F.lit(spec.oy) - F.col("y0")) / spec.px) - 1
     else:
         c0, c1 = F.ceil((F.col("x0") - spec.ox) / spec.px - 0.5), F.ceil((F.col("x1") - spec.ox) / spec.px - 0.5) - 1
         r0, r1 = F.floor((F.lit(spec.oy) - F.col("y1")) / spec.px - 0.5) + 1, F.floor((F.lit(spec.oy) - F.col("y0")) / spec.px - 0.5)
-    b = rects.select("id", F.greatest(c0, F.lit(0)).alias("c0"), F.least(c1, F.lit(spec.width - 1)).alias("c1"), F.greatest(r0, F.lit(0)).alias("r0"), F.least(r1, F.lit(spec.height - 1)).alias("r1")).where("c0 <= c1 and r0 <= r1")
-    cells = b.select("id", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").select("id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return rects.select("id", F.greatest(c0, F.lit(0)).alias("c0"), F.least(c1, F.lit(spec.width - 1)).alias("c1"), F.greatest(r0, F.lit(0)).alias("r0"), F.least(r1, F.lit(spec.height - 1)).alias("r1")).where("c0 <= c1 and r0 <= r1")
+
+
+def _burn_ranges(ranges: DataFrame) -> DataFrame:
+    """(row, col, id): the greatest id of the ranges that hold a pixel; of equal ranges only the greatest is spread over its pixels."""
+    top = ranges.groupBy("c0", "c1", "r0", "r1").agg(F.max("id").alias("id"))
+    cells = top.select("id", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").select("id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
     cells = cells.select("id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
     return cells.groupBy("row", "col").agg(F.max("id").alias("id"))
 
 
+def burn_rectangles(rects: DataFrame, spec: GridSpec, touched: bool = False) -> DataFrame:
+    """(row, col, id): pixels whose centre is in a rectangle (id, x0, y0, x1, y1), or that it touches; the greatest id wins.
+
+    Centre rule: left and lower bounds in, right and upper bounds out.
+    """
+    return _burn_ranges(_pixel_ranges(rects, spec, touched))
+
+
 def dual_burn(rects: DataFrame, spec: GridSpec, factor: int = 5) -> DataFrame:
-    """Touched pixels of the grid, and of a grid `factor` times finer brought up by maximum, into one array."""
+    """Touched pixels of the grid, and of a grid `factor` times finer brought up by maximum, into one array.
+
+    A range of fine pixels is brought up as a range: its pixels needn't be listed for that.
+    """
     fine = GridSpec(spec.ox, spec.oy, spec.px / factor, spec.width * factor, spec.height * factor)
-    up = burn_rectangles(rects, fine, True).select(F.expr(f"row div {factor}").cast("int").alias("row"), F.expr(f"col div {factor}").cast("int").alias("col"), "id")
-    return burn_rectangles(rects, spec, True).unionByName(up).groupBy("row", "col").agg(F.max("id").alias("id"))
+    up = _pixel_ranges(rects, fine, True).select("id", *[F.expr(f"{c} div {factor}").alias(c) for c in ("c0", "c1", "r0", "r1")])
+    return _burn_ranges(_pixel_ranges(rects, spec, True).unionByName(up))
 
 
 def category_codes(df: DataFrame, columns: list[str], missing: str = "NA") -> DataFrame:
