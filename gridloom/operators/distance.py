@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,27 +23,28 @@ def distance_capped(grid: DataFrame, seeds: DataFrame, spec: GridSpec, cap: floa
 
 
 def distance_full(grid: DataFrame, seeds: DataFrame, spec: GridSpec) -> DataFrame:
-    """(row, col, dist): exact, without a cap; NULL if there is no seed.
+    """(row, col, dist) of the pixels of `grid`, which may be some only: exact, without a cap; NULL if there is no seed.
 
-    Two passes. Columns: every seed row gives each of its column's rows the vertical distance to the nearest seed, one group a column.
+    Two passes. Columns: every seed row gives each of its column's rows the vertical distance to the nearest seed, one group a column, whose rows leave it as arrays of a band.
     Rows: the lower envelope of the parabolas of a row's columns (Felzenszwalb and Huttenlocher, 2012), for a band of `BAND` rows at a time, whose
-    columns are the same. A group is a column, or a band of rows, whatever the raster's size.
+    columns are the same. A group is a column, or a band of rows with its pixels of the grid, whatever the raster's size; no distance becomes a row but the grid's.
     """
     height, width, px = spec.height, spec.width, spec.px
 
-    def vertical(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.sort(pdf["row"].unique())
-        all_rows = np.arange(height)
+    def vertical(t: pa.Table) -> pa.Table:
+        rows = np.unique(t.column("row").to_numpy())
+        all_rows = np.arange(-(-height // BAND) * BAND)  # a whole number of bands
         at = np.searchsorted(rows, all_rows)
         up = np.abs(all_rows - rows[np.maximum(at - 1, 0)])
         down = np.abs(rows[np.minimum(at, len(rows) - 1)] - all_rows)
-        return pd.DataFrame({"row": all_rows, "col": int(key[0]), "g": np.minimum(up, down).astype("int64")})
+        g = np.minimum(up, down).astype(np.int64)
+        bands = np.arange(len(g) // BAND)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(bands * BAND, len(g)).astype(np.int32)), pa.array(g))
+        return pa.table({"band": bands, "col": pa.array(np.full(len(bands), t.column("col")[0].as_py()), pa.int32()), "g": lists})
 
-    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, rows = np.sort(pdf["col"].unique()).astype(np.float64), np.sort(pdf["row"].unique())
-        f = np.empty((len(rows), len(q)))
-        f[np.searchsorted(rows, pdf["row"].to_numpy()), np.searchsorted(q, pdf["col"].to_numpy())] = pdf["g"].to_numpy(np.float64) ** 2
-        n, every = len(rows), np.arange(len(rows))
+    def envelope(q: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """(rows, width): distances of a band whose columns `q`, in order, have the squared vertical distances `f`."""
+        n, every = len(f), np.arange(len(f))
         v, z, k = np.zeros((n, len(q)), np.int64), np.full((n, len(q) + 1), np.inf), np.zeros(n, np.int64)
         z[:, 0] = -np.inf
         for i in range(1, len(q)):
@@ -57,11 +59,21 @@ def distance_full(grid: DataFrame, seeds: DataFrame, spec: GridSpec) -> DataFram
             z[every, np.minimum(k + 1, len(q))] = np.inf
         x = np.arange(width)
         own = np.stack([v[r, np.searchsorted(z[r, 1 : k[r] + 1], x, "left")] for r in range(n)])
-        dist = np.sqrt((x[None, :] - q[own]) ** 2 + np.take_along_axis(f, own, 1)) * px
-        return pd.DataFrame({"row": np.repeat(rows, width).astype(np.int32), "col": np.tile(x, n).astype(np.int32), "dist": dist.ravel()})
-
-    columns = seeds.select("row", "col").groupBy("col").applyInPandas(vertical, "row int, col int, g long")
-    found = columns.groupBy(F.floor(F.col("row") / BAND)).applyInPandas(envelope, "row int, col int, dist double")
-    return grid.select("row", "col").join(found, ["row", "col"], "left")
+        return np.sqrt((x[None, :] - q[own]) ** 2 + np.take_along_axis(f, own, 1)) * px
 
+    def read(cells: pa.Table, columns: pa.Table) -> pa.Table:
+        row, col = (pc.fill_null(cells.column(c), -1).to_numpy() for c in ("row", "col"))
+        dist, known = np.zeros(len(row)), np.zeros(len(row), bool)
+        if len(row) and columns.num_rows:
+            order = np.argsort(columns.column("col").to_numpy())
+            f = np.stack(columns.column("g").combine_chunks().flatten().to_numpy().reshape(-1, BAND)[order], 1).astype(np.float64) ** 2
+            r = row % BAND
+            known = (row >= 0) & (row < height) & (col >= 0) & (col < width)
+            some = np.unique(r[known])
+            d = envelope(columns.column("col").to_numpy()[order].astype(np.float64), f[some])
+            dist[known] = d[np.searchsorted(some, r[known]), col[known]]
+        return pa.table({"row": cells.column("row"), "col": cells.column("col"), "dist": pa.array(dist, mask=~known)})
 
+    columns = seeds.where("row is not null and col is not null").select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).groupBy("col").applyInArrow(vertical, "band long, col int, g array<bigint>")
+    pixels = grid.select(F.floor(F.col("row") / BAND).alias("band"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    return pixels.groupBy("band").cogroup(columns.groupBy("band")).applyInArrow(read, "row int, col int, dist double")

@@ -137,8 +137,7 @@ def distance_full(spark: S, d: str) -> DataFrame:
 
 @query(sql("SELECT count(*) AS n, round(avg(dist),6) AS mean, round(min(dist),6) AS min, round(max(dist),6) AS max, round(quantile_cont(dist,0.5),6) AS p50, round(100.0*avg((dist<=50)::INTEGER),6) AS within_pct FROM f WHERE prob>=0.5", "px", s=SEEDS, f=FULL))
 def distance_summary(spark: S, d: str) -> DataFrame:
-    f = D.distance_full(V.px(spark, d), water(spark, d), spec(spark, d)).join(V.px(spark, d).where("prob >= 0.5").select("row", "col"), ["row", "col"])
-    f = cut(f)
+    f = cut(D.distance_full(V.px(spark, d).where("prob >= 0.5"), water(spark, d), spec(spark, d)))
     return _rounded(f.agg(F.count("*").alias("n"), F.avg("dist").alias("mean"), F.min("dist").alias("min"), F.max("dist").alias("max"), (100.0 * F.avg((F.col("dist") <= 50).cast("int"))).alias("within_pct")).crossJoin(F.broadcast(percentiles(f, "dist", [0.5]).select(F.col("q")[0].alias("p50")))))
 
 
